@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header row and no index column."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header row and no index column; values are written as they
+    are (Spark's writer would otherwise trim surrounding spaces)."""
+    (df.write.mode("overwrite").option("header", True)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def write_docs_as_text(df: DataFrame, path: str, key_cols: list[str], text_col: str = "text") -> None:
