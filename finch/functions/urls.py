@@ -29,9 +29,15 @@ def wiki_target(col) -> Column:
     return F.element_at(F.split(_c(col), "/wiki/"), -1)
 
 
+# scheme "://" authority; the authority ends at the first "/", "?" or "#".
+AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+
+
 def url_authority(col) -> Column:
-    """``urlparse(url).netloc``: user info and port kept; NULL when unparsable."""
-    return F.call_function("try_parse_url", _c(col), F.lit("AUTHORITY"))
+    """``urlparse(url).netloc``: user info and port kept, "" when there is no
+    "scheme://" prefix. A lenient split like the original's, so a stray "%"
+    does not make the whole URL unparsable."""
+    return F.regexp_extract(_c(col), AUTHORITY, 1)
 
 
 def url_topic(col) -> Column:
