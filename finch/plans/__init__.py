@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval", "corpus", "transactions", "pages", "links")
+_MODULES = ("retrieval", "corpus", "transactions", "pages", "links", "prompts")
 
 
 def _collect(attr: str) -> dict:
