@@ -33,8 +33,12 @@ def chunk_sentences(docs: DataFrame, doc_col: str, text_col: str, clean: bool =
     """Sentence chunks -> (doc, pos, chunk_id, text). Text files are chunked as
     they are; page text from PDFs is cleaned first (``clean=True``)."""
     text = clean_pdf_text(text_col, lowercase) if clean else F.col(text_col)
-    return (docs.select(F.col(doc_col), F.posexplode(sentence_split(text)).alias("pos", "text"))
-                .withColumn("chunk_id", F.shiftleft(F.col(doc_col).cast("long"), POS_BITS) + F.col("pos")))
+    out = docs.select(F.col(doc_col), F.posexplode(sentence_split(text)).alias("pos", "text"))
+    if dict(docs.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint"):
+        cid = F.shiftleft(F.col(doc_col).cast("long"), POS_BITS) + F.col("pos")
+    else:   # documents named by path: a hashed id
+        cid = F.xxhash64(F.col(doc_col), F.col("pos"))
+    return out.withColumn("chunk_id", cid)
 
 
 def dense_chunk_ids(chunks: DataFrame, doc_col: str, pos_col: str = "pos", out_col: str = "seq_id") -> DataFrame:

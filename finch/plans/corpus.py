@@ -144,3 +144,19 @@ ORACLE = {
     "scan_text_dir": "SELECT doc_id, text FROM documents",
     "chunks_append": f"SELECT doc_id, pos, text FROM ({sql_chunks()})",
 }
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents land as text files; the streaming ingest chunks them into
+    a parquet table (available-now trigger); the table is read back."""
+    from ..streaming.ingest import ingest_text_stream
+    src = scratch_path(spark, "stream-src")
+    write_docs_as_text(load(spark, d, "documents", ["lang", "doc_id", "text"]), src, ["lang", "doc_id"])
+    sink = scratch_path(spark, "stream-sink")
+    ingest_text_stream(spark, f"{src}/*/*", sink, doc_id_pattern="doc_id=(\\d+)",
+                       checkpoint=scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(sink).select(F.col("doc").alias("doc_id"), "pos", "text")
+
+
+QUERIES["stream_ingest"] = stream_ingest
+ORACLE["stream_ingest"] = f"SELECT doc_id, pos, text FROM ({sql_chunks()})"
