@@ -34,6 +34,21 @@ def bucket_counts(buckets, dim: int = HASH_DIM) -> Column:
                        lambda i: F.size(F.filter(b, lambda x: x == i)))
 
 
+def sparse_string(buckets) -> Column:
+    """"bucket:count" pairs in bucket order: the hashed vector in sparse form."""
+    b = _c(buckets)
+    return F.array_join(F.transform(F.array_distinct(F.array_sort(b)),
+                                    lambda i: F.concat(i.cast("string"), F.lit(":"),
+                                                       F.size(F.filter(b, lambda x: x == i)).cast("string"))), ",")
+
+
+def dense_to_sparse_string(vec) -> Column:
+    """Same form from a dense count vector."""
+    pairs = F.transform(_c(vec), lambda x, i: F.when(x > 0, F.concat(i.cast("string"), F.lit(":"),
+                                                                        x.cast("int").cast("string"))))
+    return F.array_join(F.filter(pairs, lambda p: p.isNotNull()), ",")
+
+
 def dot(a, b) -> Column:
     """Sum of element products in DOUBLE, left to right."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),

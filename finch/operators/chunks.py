@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import ensure_checkpoint_dir
+
 from ..functions.text import clean_pdf_text, pages_of, sentence_split
 
 # Sparse chunk id: document id in the high bits, sentence position in the low
@@ -59,7 +61,9 @@ def _prefix_sums(df: DataFrame, idx_col: str, val_col: str, out_col: str) -> Dat
     range partition and stitched with per-partition totals (no global window)."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, idx_col).withColumn("_pid", F.spark_partition_id())
+    # pinned so the per-partition totals and the rows use one partitioning
+    ensure_checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, idx_col).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     w_in = Window.partitionBy("_pid").orderBy(idx_col).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_loc", F.coalesce(F.sum(val_col).over(w_in), F.lit(0)))
     totals = ranged.groupBy("_pid").agg(F.sum(val_col).alias("_tot"))

@@ -17,8 +17,13 @@ def dense_index(df: DataFrame, order_cols: list, out_col: str = "idx",
     Range-partition on the order, number rows inside each partition, then add
     the row count of all earlier partitions. Only the per-partition counts (one
     row per partition, a proven bound) meet on one task; no global window.
-    The numbered table is checkpointed so the counts and the rows always come
-    from the same partition contents, also after an executor loss.
+
+    The numbered table is checkpointed (shared checkpoint folder) so the
+    counts and the rows come from the same partition contents: the count
+    branch is pruned to fewer columns, and adaptive execution may then feed the
+    range sampler differently sized input partitions than the row branch,
+    which would move the range bounds. The checkpoint also survives executor
+    loss. ``checkpoint=False`` is only safe when both branches plan identically.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -96,8 +96,9 @@ def first_valid(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS,
     """Rows of the first valid attempt per batch (attempts 1..max_attempts);
     a batch with no valid attempt is dropped, as in the original."""
     ok = checked.where(F.col("valid") & (F.col("attempt") <= max_attempts))
-    first = ok.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    chosen = ok.join(first, [*keys, "attempt"])
+    # one aggregate per batch (at most max_attempts rows) picks the first valid block
+    chosen = ok.groupBy(*keys).agg(F.min("attempt").alias("attempt"),
+                                   F.min_by("block", "attempt").alias("block"))
     rows = chosen.select(*keys, "attempt", F.posexplode("block").alias("line_no", "line"))
     (d, desc, amt, cat), _ = _split4(F.col("line"))
     return rows.select(*keys, "attempt", "line_no", d.alias("Date"), desc.alias("Description"),

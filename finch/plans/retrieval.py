@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.vectors import HASH_DIM, bucket_counts, cosine
+from ..functions.vectors import HASH_DIM, cosine, dense_to_sparse_string, sparse_string
 from ..operators.chunks import POS_BITS, chunk_sentences
 from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_with, knn_topk, search_report
 from .common import load, r6, sql_chunks, sql_sparse, sql_topk_buckets
@@ -83,17 +83,15 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
-    """V1, JVM-side default embedder; the vector is shown as its count string."""
+    """V1, JVM-side default embedder; the vector is shown in sparse form."""
     ch = embed_buckets(doc_chunks(spark, d), "text")
-    v = bucket_counts("buckets", HASH_DIM)
-    return ch.select("doc_id", "pos", F.size("buckets").alias("n_tokens"),
-                     F.array_join(v, ",").alias("vec"))
+    return ch.select("doc_id", "pos", F.size("buckets").alias("n_tokens"), sparse_string("buckets").alias("vec"))
 
 
 def embed_text_udf(spark: SparkSession, d: str) -> DataFrame:
     """V1 through the plug-in path: the Python embedder in an Arrow pandas UDF."""
     ch = embed_with(doc_chunks(spark, d), "text", HashingEmbedder(HASH_DIM))
-    return ch.select("doc_id", "pos", F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",").alias("vec"))
+    return ch.select("doc_id", "pos", dense_to_sparse_string("embedding").alias("vec"))
 
 
 QUERIES = {
@@ -155,13 +153,11 @@ FROM ({_sql_rag(False)})"""
 _SQL_EMBED = f"""
 WITH chunks AS ({sql_chunks()}),
 toks AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM chunks),
-cnt AS (SELECT doc_id, pos, (('0x' || substr(md5(t), 1, 8))::BIGINT % 256) AS b, count(*) AS c FROM toks GROUP BY ALL),
-grid AS (SELECT doc_id, pos, b FROM chunks, range(256) r(b))
-SELECT g.doc_id, g.pos,
-       CAST(sum(coalesce(cnt.c, 0)) AS INTEGER) AS n_tokens,
-       string_agg(CAST(coalesce(cnt.c, 0) AS VARCHAR), ',' ORDER BY g.b) AS vec
-FROM grid g LEFT JOIN cnt ON cnt.doc_id = g.doc_id AND cnt.pos = g.pos AND cnt.b = g.b
-GROUP BY g.doc_id, g.pos"""
+cnt AS (SELECT doc_id, pos, (('0x' || substr(md5(t), 1, 8))::BIGINT % 256) AS b, count(*) AS c FROM toks GROUP BY ALL)
+SELECT ch.doc_id, ch.pos, CAST(coalesce(sum(cnt.c), 0) AS INTEGER) AS n_tokens,
+       coalesce(string_agg(CAST(cnt.b AS VARCHAR) || ':' || CAST(cnt.c AS VARCHAR), ',' ORDER BY cnt.b), '') AS vec
+FROM chunks ch LEFT JOIN cnt ON cnt.doc_id = ch.doc_id AND cnt.pos = ch.pos
+GROUP BY ch.doc_id, ch.pos"""
 
 ORACLE = {
     "semantic_topk": _SQL_SEMANTIC,
