@@ -178,5 +178,5 @@ def fetch_outcome(attempts: DataFrame, url_col: str, order_cols: list[str], fail
         url_col,
         F.col("_ok_n").isNotNull().alias("ok"),
         (F.col("_ok_n") - 1).cast("int").alias("attempt"),
-        F.coalesce(F.element_at(ok_body, 1)["b"], F.lit(FAILURE_TEXT)).alias("text"),
+        F.coalesce(F.try_element_at(ok_body, F.lit(1))["b"], F.lit(FAILURE_TEXT)).alias("text"),
         waited.alias("waited_sec"))
