@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import HASH_DIM, cosine, dense_to_sparse_string, sparse_string
 from ..operators.chunks import POS_BITS, chunk_sentences
+from ..functions.constants import TOP_K
+from ..operators.ordering import MAX_BROADCAST_ROWS, broadcast_if_small, row_count_at_most
 from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_with, knn_topk, search_report
 from .common import load, r6, sql_chunks, sql_sparse, sql_topk_buckets
 
@@ -34,13 +36,15 @@ def label_centroids(emb: DataFrame) -> DataFrame:
 
 def rag_hits(spark: SparkSession, d: str, distinct: bool = False) -> DataFrame:
     """Top-5 chunks per benchmark question with the hashed embedder; text is
-    joined back only for the hits (size bound: questions x k)."""
+    joined back only for the hits. The hit table has at most questions x k
+    rows; it is broadcast when that bound is small, else the join shuffles."""
     chunks = doc_chunks(spark, d)
     qs = load(spark, d, "benchmark", ["item_id", "text"])
     hits = knn_topk(embed_buckets(chunks, "text"), embed_buckets(qs, "text"),
                     cand_id="chunk_id", cand_vec="buckets", query_id="item_id", query_vec="buckets",
                     kind="buckets", dim=HASH_DIM, distinct_scores=distinct)
-    return (F.broadcast(hits).join(chunks.select("chunk_id", "text"), hits.cid == chunks.chunk_id)
+    small = row_count_at_most(qs, MAX_BROADCAST_ROWS // TOP_K) is not None
+    return ((F.broadcast(hits) if small else hits).join(chunks.select("chunk_id", "text"), hits.cid == chunks.chunk_id)
              .select(F.col("qid").alias("item_id"),
                      F.shiftright("cid", POS_BITS).alias("doc_id"),
                      (F.col("cid").bitwiseAND(F.lit(POS_MASK))).cast("int").alias("pos"),
@@ -78,7 +82,7 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
     equi-join on label with the small centroid table)."""
     emb = load(spark, d, "embeddings", ["vec_id", "embedding", "label"])
     cent = label_centroids(emb)
-    return (emb.join(F.broadcast(cent), "label")
+    return (emb.join(broadcast_if_small(cent), "label")
                .select("vec_id", "label", F.round(cosine("embedding", "centroid"), 6).alias("sim")))
 
 
