@@ -36,12 +36,19 @@ def template_pieces(template: str, persona: str = PERSONA) -> list[tuple[str, st
     return [p for p in out if p != ("lit", "")]
 
 
-def render(template: str, persona: str = PERSONA, missing: str = MISSING_FIELD) -> Column:
+def render(template: str, persona: str = PERSONA, missing: str = MISSING_FIELD,
+           columns: list[str] | None = None) -> Column:
     """Prompt text from a template whose ``{name}`` slots name columns; a
-    missing value prints as ``missing``."""
+    missing value prints as ``missing``, and so does a slot whose column is
+    absent when ``columns`` (the frame's columns) is given."""
     parts = []
     for kind, v in template_pieces(template, persona):
-        parts.append(F.lit(v) if kind == "lit" else F.coalesce(F.col(v).cast("string"), F.lit(missing)))
+        if kind == "lit":
+            parts.append(F.lit(v))
+        elif columns is not None and v not in columns:
+            parts.append(F.lit(missing))
+        else:
+            parts.append(F.coalesce(F.col(v).cast("string"), F.lit(missing)))
     return F.concat(*parts)
 
 

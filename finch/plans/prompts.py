@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.constants import (EMPLOYMENT_VALUES, HORIZON_VALUES, MISSING_FIELD, PROMPT_NO_HITS, PROMPT_NON_RAG,
-                                   PROMPT_RAG, RISK_VALUES)
+from ..functions.constants import (EMPLOYMENT_VALUES, HORIZON_VALUES, MISSING_FIELD, PERSONA_NOTEBOOK, PROMPT_NO_HITS,
+                                   PROMPT_NON_RAG, PROMPT_RAG, PROMPT_RAG_NOTEBOOK, RISK_VALUES)
 from ..operators import evaluate as ev
 from ..operators import prompts as pr
 from ..operators.ordering import broadcast_if_small, dense_index
@@ -78,6 +78,14 @@ def prompt_fallback(spark, d):
     return a.select("profile_id", "item_id", prompt.alias("prompt"))
 
 
+def prompt_notebook(spark, d):
+    """The notebook frame (no location; life event absent -> N/A)."""
+    a = asks(spark, d).join(contexts(spark, d), "item_id", "left") \
+                      .withColumn("context", F.coalesce("context", F.lit("")))
+    return a.select("profile_id", "item_id",
+                    pr.render(PROMPT_RAG_NOTEBOOK, PERSONA_NOTEBOOK, columns=a.columns).alias("prompt"))
+
+
 def prompt_non_rag(spark, d):
     return asks(spark, d).select("profile_id", "item_id", pr.render(PROMPT_NON_RAG).alias("prompt"))
 
@@ -138,6 +146,7 @@ QUERIES = {
     "context_build": context_build,
     "prompt_rag": prompt_rag,
     "prompt_fallback": prompt_fallback,
+    "prompt_notebook": prompt_notebook,
     "prompt_non_rag": prompt_non_rag,
     "profile_validate": profile_validate,
     "eval_scores": eval_scores,
@@ -158,10 +167,15 @@ def _list(xs):
     return "[" + ", ".join(_lit(x) for x in xs) + "]"
 
 
-def _render(template):
+def _render(template, persona=None, absent=()):
     parts = []
-    for kind, v in pr.template_pieces(template):
-        parts.append(_lit(v) if kind == "lit" else f"coalesce(CAST({v} AS VARCHAR), '{MISSING_FIELD}')")
+    for kind, v in (pr.template_pieces(template, persona) if persona else pr.template_pieces(template)):
+        if kind == "lit":
+            parts.append(_lit(v))
+        elif v in absent:
+            parts.append(f"'{MISSING_FIELD}'")
+        else:
+            parts.append(f"coalesce(CAST({v} AS VARCHAR), '{MISSING_FIELD}')")
     return " || ".join(parts)
 
 
@@ -231,6 +245,9 @@ ORACLE = {
     "prompt_fallback": (f"WITH {_PROFILES} SELECT profile_id, item_id, CASE WHEN context IS NULL THEN "
                         f"{_render(PROMPT_NO_HITS)} ELSE {_render(PROMPT_RAG)} END AS prompt FROM "
                         f"(SELECT a.*, ctx.context FROM asks a LEFT JOIN ctx USING (item_id))"),
+    "prompt_notebook": (f"WITH {_PROFILES} SELECT profile_id, item_id, "
+                        f"{_render(PROMPT_RAG_NOTEBOOK, PERSONA_NOTEBOOK, ('life_event',))} AS prompt FROM "
+                        f"(SELECT a.*, coalesce(ctx.context, '') AS context FROM asks a LEFT JOIN ctx USING (item_id))"),
     "prompt_non_rag": f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_NON_RAG)} AS prompt FROM asks",
     "profile_validate": (f"WITH {_PROFILES}, {_RAW} SELECT profile_id, TRY_CAST(age AS INTEGER) AS age, "
                          f"TRY_CAST(income AS INTEGER) AS income, {_reason()} = '' AS valid, {_reason()} AS reason FROM raw"),
