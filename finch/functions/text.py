@@ -40,9 +40,12 @@ def clean_pdf_text(col, lowercase: bool = True) -> Column:
 
     The original runs three substitutions (blank lines, disallowed characters,
     whitespace runs) then strips; together they replace every maximal run of
-    characters outside the kept class with one space, which is a single pass here.
+    characters outside the kept class with one space and trim. Here that is one
+    pass that extracts the runs of kept characters and joins them with a
+    space (same result; extraction scales across cores much better than a
+    replacement with a match at every word gap).
     """
-    out = F.trim(F.regexp_replace(_c(col), f"[^{PDF_KEEP_CLASS}]+", " "))
+    out = F.array_join(F.regexp_extract_all(_c(col), F.lit(f"[{PDF_KEEP_CLASS}]+"), 0), " ")
     return F.lower(out) if lowercase else out
 
 

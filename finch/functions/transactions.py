@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .constants import CATEGORY_RULES, FIELD_SEP, STATE_CODES
-from .text import PY_SPACE, py_split_words
+from .text import py_split_words
 
 
 def _c(col) -> Column:
@@ -16,8 +16,9 @@ def clean_description(col, n_words: int = 3, states=STATE_CODES) -> Column:
     """Lower-case, collapse whitespace, keep only letters and spaces, keep the
     first ``n_words`` words, then delete state codes as whole words (this can
     leave a double space inside) and strip the ends."""
-    s = F.regexp_replace(F.lower(_c(col)), f"(?U){PY_SPACE}+", " ")
-    s = F.regexp_replace(s, "[^a-z ]", "")
+    # deleting everything but letters and whitespace, then splitting on
+    # whitespace runs, yields the same words as collapse -> delete -> split
+    s = F.regexp_replace(F.lower(_c(col)), f"(?U)[^a-z\\s\\x1c-\\x1f]", "")
     s = F.array_join(F.slice(py_split_words(s), 1, n_words), " ")
     s = F.regexp_replace(s, "\\b(?:" + "|".join(states) + ")\\b", "")
     return F.trim(F.replace(s, F.lit("-"), F.lit(" ")))
