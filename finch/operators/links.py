@@ -21,7 +21,7 @@ def internal_links(links: DataFrame, subreddit: str = WIKI_SUBREDDIT) -> DataFra
 
 
 def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int = 1000,
-          checkpoint_every: int = 1) -> DataFrame:
+          checkpoint_every: int = 4) -> DataFrame:
     """Pages reachable from ``start`` over (src, target, url) edges ->
     (target, url, depth), one row per target with the smallest URL that
     reached it first.

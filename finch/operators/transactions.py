@@ -31,11 +31,13 @@ def key_strings(df: DataFrame, cols=TXN_COLS, out_col: str = "line") -> DataFram
 
 
 def assign_batches(df: DataFrame, order_cols: list, size: int = BATCH_SIZE,
-                   drop_last: bool = False) -> DataFrame:
+                   drop_last: bool = False, index_col: str | None = None) -> DataFrame:
     """Position (``idx``) and batch (``batch_id`` = idx div size) in row order.
     ``drop_last=True`` reproduces the original loop, which never sends the
-    last batch."""
-    out = dense_index(df, order_cols, "idx").withColumn("batch_id", F.floor(F.col("idx") / size))
+    last batch. ``index_col`` names an existing position column (numbered
+    earlier, e.g. on the narrow source table before joins), so no second sort."""
+    numbered = df.withColumnRenamed(index_col, "idx") if index_col else dense_index(df, order_cols, "idx")
+    out = numbered.withColumn("batch_id", F.floor(F.col("idx") / size))
     if drop_last:
         out = out.where(F.col("batch_id") < out.select(F.max("batch_id")).scalar())
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import BATCH_INSTRUCTION, CATEGORY_RULES, STATE_CODES
 from ..operators import reports as rp
+from ..operators.ordering import dense_index
 from ..operators import transactions as tr
 from ..session import scratch_path
 from ..sinks.files import write_csv
@@ -45,14 +46,19 @@ FIVE_FIELDS = "A - B - C - D - E"
 # fixtures
 # ---------------------------------------------------------------------------
 
-def transactions(spark: SparkSession, d: str) -> DataFrame:
+def transactions(spark: SparkSession, d: str, numbered: bool = False) -> DataFrame:
+    """Transactions; with ``numbered`` each row carries ``idx``, its position in
+    ORDER. Rows are numbered on the narrow lineitem scan, before the join and
+    the text work, so the range sort never re-runs them."""
     li = load(spark, d, "lineitem", ORDER)
+    if numbered:
+        li = dense_index(li, ORDER, "idx")
     part = load(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     j = li.join(part, li.l_partkey == part.p_partkey)
     state = F.element_at(F.array(*[F.lit(s) for s in STATE_TOKENS]),
                          (F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(len(STATE_TOKENS))) + 1).cast("int"))
     date = F.when(F.pmod("l_orderkey", F.lit(97)) == 0, F.lit("n/a")).otherwise(F.date_format("l_shipdate", "MM/dd/yyyy"))
-    return j.select(*ORDER, date.alias("Date"),
+    return j.select(*ORDER, *(["idx"] if numbered else []), date.alias("Date"),
                     F.concat_ws(" ", state, "p_name", "p_brand", "p_type").alias("Description"),
                     F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("Amount"))
 
@@ -62,7 +68,8 @@ def cleaned(spark, d):
 
 
 def batched(spark, d):
-    return tr.assign_batches(tr.key_strings(cleaned(spark, d)), ORDER, drop_last=True)
+    rows = tr.key_strings(tr.clean_descriptions(transactions(spark, d, numbered=True)))
+    return tr.assign_batches(rows, ORDER, drop_last=True, index_col="idx")
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
