@@ -56,23 +56,86 @@ def dense_chunk_ids(chunks: DataFrame, doc_col: str, pos_col: str = "pos", out_c
         out_col, F.col("_off") + F.col(pos_col)).drop("_off")
 
 
-def _prefix_sums(df: DataFrame, idx_col: str, val_col: str, out_col: str) -> DataFrame:
-    """Exclusive prefix sum of ``val_col`` in ``idx_col`` order, computed per
-    range partition and stitched with per-partition totals (no global window)."""
+def prefix_scan(df: DataFrame, order_col: str, val_col: str, out_col: str, op: str = "sum") -> DataFrame:
+    """Exclusive running ``sum`` or ``max`` of ``val_col`` in ``order_col``
+    order over the whole table: computed inside each range partition (a window
+    per partition, bounded by partition size) and stitched with the running
+    value of earlier partitions (one row per partition meets on a task). No
+    window is keyed by a business key, so a huge document or account is split
+    across partitions like any other rows."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    agg = F.sum if op == "sum" else F.max
     # pinned so the per-partition totals and the rows use one partitioning
     ensure_checkpoint_dir(spark)
-    ranged = df.repartitionByRange(n, idx_col).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    w_in = Window.partitionBy("_pid").orderBy(idx_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(val_col).over(w_in), F.lit(0)))
-    totals = ranged.groupBy("_pid").agg(F.sum(val_col).alias("_tot"))
-    base = totals.select("_pid", F.coalesce(F.sum("_tot").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranged = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    w_in = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_loc", agg(val_col).over(w_in))
+    totals = ranged.groupBy("_pid").agg(agg(val_col).alias("_tot"))
+    base = totals.select("_pid", agg("_tot").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    if op == "sum":
+        combined = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
+    else:
+        combined = F.greatest(F.col("_base"), F.col("_loc"))
     return (local.join(F.broadcast(base), "_pid")
-                 .withColumn(out_col, F.col("_base") + F.col("_loc"))
+                 .withColumn(out_col, combined)
                  .drop("_pid", "_loc", "_base"))
 
 
+def _prefix_sums(df: DataFrame, idx_col: str, val_col: str, out_col: str) -> DataFrame:
+    return prefix_scan(df, idx_col, val_col, out_col, "sum")
+
+
+CLOSERS = "[\"')\\]]"
+NON_CLOSER = "[^\"')\\]]"
+
+
+def chunk_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no", text_col: str = "text",
+                lowercase: bool = True) -> DataFrame:
+    """Sentence chunks of each document's cleaned pages joined without a
+    separator, computed without ever building a document's text.
+
+    Cleaned pages have no whitespace at either end, so no sentence boundary
+    (punctuation, closing quotes, whitespace) sits on a page junction: pages
+    split locally, and the last piece of a page continues into the next page.
+    The one boundary that depends on earlier pages is a page that begins with
+    closing quotes and a space right after text ending in . ! or ?; the
+    nearest earlier non-closer character is found with a running max over the
+    global page order. Sentence numbers are running sums of boundary counts.
+    Only the pieces of one sentence are grouped to rebuild it.
+    Equal to ``chunk_sentences(concat_pages(clean_pages(pages)))``.
+    """
+    from .ordering import dense_index
+    p = (pages.select(F.col(doc_col).alias("_doc"), F.col(page_col).alias("_page"),
+                      clean_pdf_text(text_col, lowercase).alias("_t"))
+              .where(F.col("_t") != ""))
+    p = dense_index(p, ["_doc", "_page"], "_g")
+    p = p.select("_doc", "_g", sentence_split("_t").alias("_f"),
+                 F.regexp_extract("_t", f"^({CLOSERS}+) ", 1).alias("_lead"),
+                 F.regexp_extract("_t", f"({NON_CLOSER}){CLOSERS}*$", 1).alias("_tail"))
+    # nearest earlier page (global order) whose text has a non-closer character
+    marked = p.withColumn("_tg", F.when(F.col("_tail") != "", F.col("_g")))
+    scanned = prefix_scan(marked, "_g", "_tg", "_pg", "max")
+    prev = p.select(F.col("_g").alias("_pg"), F.col("_doc").alias("_pdoc"), F.col("_tail").alias("_ptail"))
+    j = scanned.join(prev, "_pg", "left")
+    cross = ((F.col("_lead") != "") & (F.col("_pdoc") == F.col("_doc"))
+             & F.col("_ptail").isin(".", "!", "?"))
+    j = j.withColumn("_x", F.coalesce(cross, F.lit(False))) \
+         .withColumn("_b", F.size("_f") - 1 + F.col("_x").cast("int"))
+    counted = prefix_scan(j, "_g", "_b", "_S", "sum")
+    first = counted.groupBy("_doc").agg(F.min("_S").alias("_S0"))
+    rest0 = F.expr("substring(element_at(_f, 1), char_length(_lead) + 2)")
+    pieces = F.when(F.col("_x"), F.concat(F.array(F.col("_lead"), rest0), F.slice("_f", 2, F.size("_f")))) \
+              .otherwise(F.col("_f"))
+    exploded = (counted.join(first, "_doc")
+                       .select("_doc", "_g", (F.col("_S") - F.col("_S0")).alias("_base"),
+                               F.posexplode(pieces).alias("_j", "_piece"))
+                       .withColumn("_sid", F.col("_base") + F.col("_j")))
+    ordered = F.array_sort(F.collect_list(F.struct("_g", "_j", "_piece")))
+    sent = exploded.groupBy("_doc", "_sid").agg(F.array_join(F.transform(ordered, lambda x: x["_piece"]), "").alias("text"))
+    return sent.select(F.col("_doc").alias(doc_col), F.col("_sid").cast("int").alias("pos"), "text")
+
+
 def chunk_counts(chunks: DataFrame, doc_col: str) -> DataFrame:
     return chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators.chunks import chunk_counts as _chunk_counts, chunk_sentences, clean_pages, concat_pages, \
-    dense_chunk_ids, split_pages
+from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk_sentences, clean_pages, \
+    concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
 from ..sinks.files import append_rows, write_docs_as_text
 from ..sources.files import read_text_dir
@@ -39,8 +39,9 @@ def pages_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """C4 PDF path: cleaned page text is chunked (text files are not cleaned)."""
-    return chunk_sentences(pages_concat(spark, d), "doc_id", "text").select("doc_id", "pos", "text")
+    """C2-C4 PDF path: pages are cleaned, fused and chunked (text files are
+    not cleaned) - page by page, without building whole documents."""
+    return chunk_pages(scan_doc_pages(spark, d), "doc_id")
 
 
 def chunk_sentences_q(spark: SparkSession, d: str) -> DataFrame:

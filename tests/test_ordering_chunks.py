@@ -25,3 +25,42 @@ def test_chunk_ids_keep_document_order(spark):
     docs = spark.createDataFrame([Row(doc_id=1, text="x. y."), Row(doc_id=2, text="z.")])
     ids = [r.chunk_id for r in chunk_sentences(docs, "doc_id", "text").orderBy("chunk_id").collect()]
     assert ids == sorted(ids) and len(ids) == 3
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+from finch.operators.chunks import chunk_pages, clean_pages, prefix_scan  # noqa: E402
+
+PAGE_CHARS = st.lists(st.sampled_from(list("ab.!?'\")] #\n") + ["  ", "x."]), max_size=12).map("".join)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(PAGE_CHARS, max_size=5)), min_size=1, max_size=4))
+def test_chunk_pages_equals_concatenate_then_split(spark, docs):
+    rows = [Row(doc=d * 10 + k, page_no=i, text=t) for k, (d, ps) in enumerate(docs) for i, t in enumerate(ps)]
+    if not rows:
+        return
+    pages = spark.createDataFrame(rows, "doc long, page_no int, text string")
+    expect = chunk_sentences(concat_pages(clean_pages(pages), "doc"), "doc", "text")
+    got = chunk_pages(pages, "doc")
+    assert sorted(map(tuple, got.select("doc", "pos", "text").collect())) == \
+        sorted(map(tuple, expect.select("doc", "pos", "text").collect()))
+
+
+def test_chunk_pages_cross_page_cases(spark):
+    pages = spark.createDataFrame([
+        Row(doc=1, page_no=0, text="He said. It ended."), Row(doc=1, page_no=1, text="' Next one"),
+        Row(doc=1, page_no=2, text="%%%"), Row(doc=1, page_no=3, text="\") then!"), Row(doc=1, page_no=4, text="\" Last"),
+        Row(doc=2, page_no=0, text="' Starts new doc."),
+    ])
+    got = sorted(map(tuple, chunk_pages(pages, "doc", lowercase=False).collect()))
+    assert got == [(1, 0, "He said."), (1, 1, "It ended.'"), (1, 2, "Next one\") then!\""), (1, 3, "Last"),
+                   (2, 0, "' Starts new doc.")]
+
+
+def test_prefix_scan_max_and_sum(spark):
+    df = spark.createDataFrame([Row(g=i, v=(i if i % 3 == 0 else None), w=1) for i in range(50)])
+    mx = {r.g: r.m for r in prefix_scan(df, "g", "v", "m", "max").collect()}
+    sm = {r.g: r.s for r in prefix_scan(df, "g", "w", "s", "sum").collect()}
+    assert mx[0] is None and mx[1] == 0 and mx[4] == 3 and mx[49] == 48
+    assert all(sm[i] == i for i in range(50))
