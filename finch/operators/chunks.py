@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -30,12 +33,23 @@ def concat_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no",
     return pages.groupBy(doc_col).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(text_col))
 
 
+def split_with(splitter: Callable[[str], list[str]]):
+    """Plug-in sentence splitter (e.g. a Punkt model) as an Arrow-batched
+    pandas UDF: str -> array<string>; the model loads once per worker."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def _split(texts: pd.Series) -> pd.Series:
+        return pd.Series([[s.strip() for s in splitter(t) if s.strip()] if t is not None else None for t in texts])
+    return _split
+
+
 def chunk_sentences(docs: DataFrame, doc_col: str, text_col: str, clean: bool = False,
-                    lowercase: bool = True) -> DataFrame:
+                    lowercase: bool = True, splitter: Callable[[str], list[str]] | None = None) -> DataFrame:
     """Sentence chunks -> (doc, pos, chunk_id, text). Text files are chunked as
-    they are; page text from PDFs is cleaned first (``clean=True``)."""
+    they are; page text from PDFs is cleaned first (``clean=True``). The rule
+    splitter runs JVM-side; ``splitter`` plugs in any Python splitter."""
     text = clean_pdf_text(text_col, lowercase) if clean else F.col(text_col)
-    out = docs.select(F.col(doc_col), F.posexplode(sentence_split(text)).alias("pos", "text"))
+    parts = split_with(splitter)(text) if splitter else sentence_split(text)
+    out = docs.select(F.col(doc_col), F.posexplode(parts).alias("pos", "text"))
     if dict(docs.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint"):
         cid = F.shiftleft(F.col(doc_col).cast("long"), POS_BITS) + F.col("pos")
     else:   # documents named by path: a hashed id

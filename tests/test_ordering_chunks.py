@@ -64,3 +64,15 @@ def test_prefix_scan_max_and_sum(spark):
     sm = {r.g: r.s for r in prefix_scan(df, "g", "w", "s", "sum").collect()}
     assert mx[0] is None and mx[1] == 0 and mx[4] == 3 and mx[49] == 48
     assert all(sm[i] == i for i in range(50))
+
+
+def test_plugin_splitter(spark):
+    docs = spark.createDataFrame([Row(doc_id=1, text="Mr. Smith left. He came back.")])
+    rule = [r.text for r in chunk_sentences(docs, "doc_id", "text").orderBy("pos").collect()]
+    assert rule == ["Mr.", "Smith left.", "He came back."]
+
+    def abbrev_aware(t):
+        import re
+        return re.split(r"(?<!Mr\.)(?<=[.!?])\s+", t)
+    plug = [r.text for r in chunk_sentences(docs, "doc_id", "text", splitter=abbrev_aware).orderBy("pos").collect()]
+    assert plug == ["Mr. Smith left.", "He came back."]
