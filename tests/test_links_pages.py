@@ -67,3 +67,19 @@ def test_fetch_outcome(spark):
     assert (out["u1"].ok, out["u1"].attempt, out["u1"].text, out["u1"].waited_sec) == (True, 2, "ok3", 3.0)
     assert (out["u2"].attempt, out["u2"].text, out["u2"].waited_sec) == (1, "ok", 1.0)
     assert (out["u3"].ok, out["u3"].text, out["u3"].waited_sec) == (False, "Failed to retrieve content after several attempts", 31.0)
+
+
+def test_fetch_outcome_hot_url_is_cut_before_shuffle(spark):
+    # one URL holds a third of all attempts: only its first 5 attempts per map
+    # partition may cross the shuffle (partial WindowGroupLimit before Exchange)
+    from pyspark.sql import functions as F
+    n = 30000
+    log = (spark.range(n).repartition(8)
+                .select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (F.col("id") % 500).cast("string"))).alias("url"),
+                        F.col("id").alias("n"), (F.col("id") < 6).alias("err"), F.lit("body").alias("body")))
+    out = pg.fetch_outcome(log, "url", ["n"], F.col("err"), "body")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    limits = [l for l in plan.split("\n") if "WindowGroupLimit" in l]
+    assert any("Partial" in l for l in limits) and any("Final" in l for l in limits)
+    hot = out.where("url = 'hot'").first()
+    assert (hot.ok, hot.attempt, hot.waited_sec) == (True, 2, 3.0)   # ids 0 and 3 failed, 6 succeeded
