@@ -38,10 +38,14 @@ def html_text(col) -> Column:
     dropped. (An approximation of a tree walk, JVM-side.)"""
     s = F.regexp_replace(_c(col), "(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>", "")
     s = F.regexp_replace(s, "(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, "<[^>]*>", "\n")
-    for ent, ch in ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    lines = F.transform(F.split(s, "\n"), lambda l: F.regexp_replace(l, f"(?U)^{PY_SPACE}+|{PY_SPACE}+$", ""))
+
+    def decode(piece):
+        for ent, ch in ENTITIES:
+            piece = F.replace(piece, F.lit(ent), F.lit(ch))
+        return F.regexp_replace(piece, f"(?U)^{PY_SPACE}+|{PY_SPACE}+$", "")
+    # every tag is a line break: split on tags and newlines in one pass, then
+    # decode entities per piece (a decoded "<" can no longer look like a tag)
+    lines = F.transform(F.split(s, "<[^>]*>|\n"), decode)
     return F.array_join(F.filter(lines, lambda l: l != ""), "\n")
 
 

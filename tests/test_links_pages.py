@@ -83,3 +83,14 @@ def test_fetch_outcome_hot_url_is_cut_before_shuffle(spark):
     assert any("Partial" in l for l in limits) and any("Final" in l for l in limits)
     hot = out.where("url = 'hot'").first()
     assert (hot.ok, hot.attempt, hot.waited_sec) == (True, 2, 3.0)   # ids 0 and 3 failed, 6 succeeded
+
+
+def test_text_dir_flat_and_recursive(spark):
+    from finch.session import scratch_path
+    from finch.sinks.files import write_docs_as_text
+    from finch.sources.files import read_text_dir
+    root = scratch_path(spark, "t-dir")
+    docs = spark.createDataFrame([Row(lang="en", doc_id=1, text="a"), Row(lang="fr", doc_id=2, text="b")])
+    write_docs_as_text(docs, root, ["lang", "doc_id"])
+    assert read_text_dir(spark, root).count() == 2                             # recursive, *.txt only
+    assert read_text_dir(spark, f"{root}/lang=en/doc_id=1", recursive=False).count() == 1
