@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.constants import REPORT_FORMAT, TOP_K
 from ..functions.vectors import HASH_DIM, token_buckets
+from ..session import ensure_checkpoint_dir
 from .ordering import dense_index, row_count_at_most
 
-QUERY_BLOCK_ROWS = 1024      # queries broadcast per pass over the candidates
-ROW_SLICE = 4096             # candidate rows scored per matrix product
+QUERY_BLOCK_BYTES = 64 << 20  # query vectors broadcast per pass over the candidates
+QUERY_SUB_BLOCK = 1024        # queries scored per matrix product inside a task
+ROW_SLICE = 4096              # candidate rows scored per matrix product
 
 HIT_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType(), False),
@@ -92,10 +94,11 @@ def _block_candidates(S: np.ndarray, k: int, distinct: bool):
     return np.concatenate(rs), np.concatenate(qs)
 
 
-def _make_scorer(bc, kind: str, dim: int, k: int, distinct: bool):
+def _make_scorer(bc, kind: str, dim: int, k: int, distinct: bool, sub_block: int = QUERY_SUB_BLOCK):
     def score(batches):
-        qids, Q, qn2 = bc.value
-        QT = np.ascontiguousarray(Q.T)
+        qids, Q, qn2_all = bc.value
+        subs = [(lo, np.ascontiguousarray(Q[lo:lo + sub_block].T), qn2_all[lo:lo + sub_block])
+                for lo in range(0, len(qids), sub_block)]
         acc_q, acc_c, acc_s = [], [], []
         for rb in batches:
             if rb.num_rows == 0:
@@ -112,18 +115,19 @@ def _make_scorer(bc, kind: str, dim: int, k: int, distinct: bool):
                     continue
                 M = _dense_from_buckets(lst, dim) if kind == "buckets" else _dense_from_arrays(lst, dim)
                 cn2 = np.einsum("ij,ij->i", M, M)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    if kind == "buckets":   # integer counts: dot / sqrt(|c|^2 |q|^2) is exact-rounded
-                        S = (M @ QT) / np.sqrt(cn2[:, None] * qn2[None, :])
-                    else:
-                        S = (M @ QT) / (np.sqrt(cn2)[:, None] * np.sqrt(qn2)[None, :])
-                S[~np.isfinite(S)] = -np.inf
-                S[cn2 == 0, :] = -np.inf
-                r, q = _block_candidates(S, k, distinct)
                 cid = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-                acc_q.append(q.astype(np.int64))
-                acc_c.append(cid[r])
-                acc_s.append(S[r, q])
+                for q0, QT, qn2 in subs:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        if kind == "buckets":   # integer counts: dot / sqrt(|c|^2 |q|^2) is exact-rounded
+                            S = (M @ QT) / np.sqrt(cn2[:, None] * qn2[None, :])
+                        else:
+                            S = (M @ QT) / (np.sqrt(cn2)[:, None] * np.sqrt(qn2)[None, :])
+                    S[~np.isfinite(S)] = -np.inf
+                    S[cn2 == 0, :] = -np.inf
+                    r, q = _block_candidates(S, k, distinct)
+                    acc_q.append(q.astype(np.int64) + q0)
+                    acc_c.append(cid[r])
+                    acc_s.append(S[r, q])
             if acc_q and sum(len(a) for a in acc_q) > 8 * k * len(qids):
                 sel = _select_topk(np.concatenate(acc_q), np.concatenate(acc_c), np.concatenate(acc_s), k, distinct)
                 acc_q, acc_c, acc_s = [sel[0]], [sel[1]], [sel[2]]
@@ -154,7 +158,7 @@ def _query_matrix(rows, kind: str, dim: int):
 def knn_topk(candidates: DataFrame, queries: DataFrame, *, cand_id: str, cand_vec: str,
              query_id: str, query_vec: str, k: int = TOP_K, kind: str = "dense",
              dim: int | None = None, distinct_scores: bool = False,
-             block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+             block_rows: int | None = None, sub_block: int = QUERY_SUB_BLOCK) -> DataFrame:
     """Exact cosine top-k of every query over every candidate.
 
     ``kind="dense"``: vectors are array<float|double> of length ``dim``;
@@ -164,11 +168,22 @@ def knn_topk(candidates: DataFrame, queries: DataFrame, *, cand_id: str, cand_ve
     is the search that skips repeated texts and repeated scores whenever equal
     texts get equal vectors (one embedder for the whole table).
 
+    The broadcast block holds at most ``QUERY_BLOCK_BYTES`` of query vectors
+    (``block_rows`` overrides); inside a task queries are scored in sub-blocks,
+    so task memory stays at ROW_SLICE x QUERY_SUB_BLOCK scores. With more than
+    one block the compact candidate table (id, vector) is checkpointed once
+    and every pass reads it instead of recomputing the vectors.
+
     Returns (qid, cid, sim, rank) with rank 1..k.
     """
     spark = candidates.sparkSession
     if dim is None:
-        dim = HASH_DIM if kind == "buckets" else len(candidates.select(cand_vec).first()[0])
+        first = candidates.select(cand_vec).where(F.col(cand_vec).isNotNull()).first()
+        if first is None:
+            return spark.createDataFrame([], HIT_SCHEMA.add("rank", T.IntegerType()))
+        dim = HASH_DIM if kind == "buckets" else len(first[0])
+    if block_rows is None:
+        block_rows = max(1, QUERY_BLOCK_BYTES // (8 * dim))
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("qv"))
     cands = candidates.select(F.col(cand_id).cast("long").alias("cid"), F.col(cand_vec).alias("v"))
     if kind == "dense":
@@ -177,6 +192,8 @@ def knn_topk(candidates: DataFrame, queries: DataFrame, *, cand_id: str, cand_ve
     if row_count_at_most(q, block_rows) is not None:
         blocks = [q.orderBy("qid").collect()]
     else:   # more queries than one broadcast block: number them, one pass per block
+        ensure_checkpoint_dir(spark)
+        cands = cands.checkpoint(eager=True)
         qi = dense_index(q, ["qid"], "_qidx")
         nq = qi.count()
         blocks = [qi.where((F.col("_qidx") >= lo) & (F.col("_qidx") < lo + block_rows))
@@ -188,7 +205,7 @@ def knn_topk(candidates: DataFrame, queries: DataFrame, *, cand_id: str, cand_ve
         if len(qids) == 0:
             continue
         bc = spark.sparkContext.broadcast((qids, Q, qn2))
-        parts.append(cands.mapInArrow(_make_scorer(bc, kind, dim, k, distinct_scores), HIT_SCHEMA))
+        parts.append(cands.mapInArrow(_make_scorer(bc, kind, dim, k, distinct_scores, sub_block), HIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], HIT_SCHEMA.add("rank", T.IntegerType()))
     hits = parts[0]

@@ -29,8 +29,8 @@ def collect_hits(df):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [1024, 3])
-def test_dense_topk_matches_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows,sub_block", [(1024, 1024), (3, 1024), (1024, 2)])
+def test_dense_topk_matches_brute_force(spark, block_rows, sub_block):
     rng = np.random.default_rng(7)
     C = rng.normal(size=(300, 8)).astype(np.float32)
     C[10] = C[11]                      # exact tie: smaller id first
@@ -38,7 +38,7 @@ def test_dense_topk_matches_brute_force(spark, block_rows):
     cands = spark.createDataFrame([(i, C[i].tolist()) for i in range(300)], "id long, v array<float>").repartition(5)
     qs = spark.createDataFrame([(100 + i, Q[i].tolist()) for i in range(7)], "qid long, qv array<float>")
     got = collect_hits(knn_topk(cands, qs, cand_id="id", cand_vec="v", query_id="qid", query_vec="qv", k=5,
-                                block_rows=block_rows))
+                                block_rows=block_rows, sub_block=sub_block))
     exp = brute(C.astype(np.float64), list(range(300)), Q.astype(np.float64), [100 + i for i in range(7)], 5)
     assert got == exp
 
