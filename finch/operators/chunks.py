@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 from ..functions.text import clean_pdf_text, pages_of, sentence_split
 
@@ -115,41 +115,66 @@ def chunk_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no", text_
     split locally, and the last piece of a page continues into the next page.
     The one boundary that depends on earlier pages is a page that begins with
     closing quotes and a space right after text ending in . ! or ?; the
-    nearest earlier non-closer character is found with a running max over the
-    global page order. Sentence numbers are running sums of boundary counts.
-    Only the pieces of one sentence are grouped to rebuild it.
+    nearest earlier page with a non-closer character comes from a running max
+    over (document, page) order. Sentence numbers are running sums of boundary
+    counts. Both scans run on a narrow projection of a page-feature table
+    written once to the shared checkpoint folder; only the pieces of one
+    sentence are grouped to rebuild it.
     Equal to ``chunk_sentences(concat_pages(clean_pages(pages)))``.
     """
-    from .ordering import dense_index
-    p = (pages.select(F.col(doc_col).alias("_doc"), F.col(page_col).alias("_page"),
-                      clean_pdf_text(text_col, lowercase).alias("_t"))
-              .where(F.col("_t") != ""))
-    p = dense_index(p, ["_doc", "_page"], "_g")
-    p = p.select("_doc", "_g", sentence_split("_t").alias("_f"),
-                 F.regexp_extract("_t", f"^({CLOSERS}+) ", 1).alias("_lead"),
-                 F.regexp_extract("_t", f"({NON_CLOSER}){CLOSERS}*$", 1).alias("_tail"))
-    # nearest earlier page (global order) whose text has a non-closer character
-    marked = p.withColumn("_tg", F.when(F.col("_tail") != "", F.col("_g")))
-    scanned = prefix_scan(marked, "_g", "_tg", "_pg", "max")
-    prev = p.select(F.col("_g").alias("_pg"), F.col("_doc").alias("_pdoc"), F.col("_tail").alias("_ptail"))
-    j = scanned.join(prev, "_pg", "left")
-    cross = ((F.col("_lead") != "") & (F.col("_pdoc") == F.col("_doc"))
-             & F.col("_ptail").isin(".", "!", "?"))
-    j = j.withColumn("_x", F.coalesce(cross, F.lit(False))) \
-         .withColumn("_b", F.size("_f") - 1 + F.col("_x").cast("int"))
-    counted = prefix_scan(j, "_g", "_b", "_S", "sum")
+    spark = pages.sparkSession
+    t = clean_pdf_text(text_col, lowercase)
+    feat = (pages.select(F.col(doc_col).alias("_doc"), F.col(page_col).alias("_page"), t.alias("_t"))
+                 .where(F.col("_t") != "")
+                 .select("_doc", "_page", sentence_split("_t").alias("_f"),
+                         F.regexp_extract("_t", f"^({CLOSERS}+) ", 1).alias("_lead"),
+                         F.regexp_extract("_t", f"({NON_CLOSER}){CLOSERS}*$", 1).alias("_tail")))
+    path = scratch_path(spark, "page-features")
+    feat.write.parquet(path)
+    feat = spark.read.parquet(path)
+
+    key = F.struct("_doc", "_page")
+    narrow = feat.select(key.alias("_k"), "_doc", (F.col("_lead") != "").alias("_hl"),
+                         (F.size("_f") - 1).alias("_nb"),
+                         F.when(F.col("_tail") != "", F.struct(key.alias("k"), F.col("_tail").alias("c"))).alias("_tk"))
+    scanned = prefix_scan(narrow, "_k", "_tk", "_prev", "max")
+    cross = (F.col("_hl") & (F.col("_prev.k._doc") == F.col("_doc")) & F.col("_prev.c").isin(".", "!", "?"))
+    counted = prefix_scan(scanned.withColumn("_x", F.coalesce(cross, F.lit(False)))
+                                 .withColumn("_b", F.col("_nb") + F.col("_x").cast("int")),
+                          "_k", "_b", "_S", "sum")
     first = counted.groupBy("_doc").agg(F.min("_S").alias("_S0"))
+    per_page = counted.join(first, "_doc").select(F.col("_k._doc").alias("_doc"), F.col("_k._page").alias("_page"),
+                                                 "_x", (F.col("_S") - F.col("_S0")).alias("_base"))
+
     rest0 = F.expr("substring(element_at(_f, 1), char_length(_lead) + 2)")
     pieces = F.when(F.col("_x"), F.concat(F.array(F.col("_lead"), rest0), F.slice("_f", 2, F.size("_f")))) \
               .otherwise(F.col("_f"))
-    exploded = (counted.join(first, "_doc")
-                       .select("_doc", "_g", (F.col("_S") - F.col("_S0")).alias("_base"),
-                               F.posexplode(pieces).alias("_j", "_piece"))
-                       .withColumn("_sid", F.col("_base") + F.col("_j")))
-    ordered = F.array_sort(F.collect_list(F.struct("_g", "_j", "_piece")))
+    exploded = (feat.join(per_page, ["_doc", "_page"])
+                    .select("_doc", "_page", "_base", F.posexplode(pieces).alias("_j", "_piece"))
+                    .withColumn("_sid", F.col("_base") + F.col("_j")))
+    ordered = F.array_sort(F.collect_list(F.struct("_page", "_j", "_piece")))
     sent = exploded.groupBy("_doc", "_sid").agg(F.array_join(F.transform(ordered, lambda x: x["_piece"]), "").alias("text"))
     return sent.select(F.col("_doc").alias(doc_col), F.col("_sid").cast("int").alias("pos"), "text")
 
 
+MAX_GROUP_PAGES = 4096   # pages one task may gather for one document (~8 MB of text)
+
+
+def chunk_pdf_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no", text_col: str = "text",
+                    lowercase: bool = True, max_group_pages: int = MAX_GROUP_PAGES) -> DataFrame:
+    """PDF path: clean pages, fuse each document's pages, split sentences.
+
+    Both plans are exact. When the largest document has at most
+    ``max_group_pages`` pages (one partial aggregate proves it), a document's
+    pages are gathered into one row (cheapest); otherwise ``chunk_pages``
+    splits page by page so a huge document spreads over all tasks."""
+    biggest = pages.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if biggest is None or biggest <= max_group_pages:
+        fused = concat_pages(clean_pages(pages.select(doc_col, page_col, text_col), text_col, lowercase),
+                             doc_col, page_col, text_col)
+        return chunk_sentences(fused, doc_col, text_col).select(doc_col, "pos", "text")
+    return chunk_pages(pages, doc_col, page_col, text_col, lowercase)
+
+
 def chunk_counts(chunks: DataFrame, doc_col: str) -> DataFrame:
     return chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("n_chunks"))

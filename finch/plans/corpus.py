@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk_sentences, clean_pages, \
+from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pdf_pages, chunk_sentences, clean_pages, \
     concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
 from ..sinks.files import append_rows, write_docs_as_text
@@ -40,8 +40,8 @@ def pages_concat(spark: SparkSession, d: str) -> DataFrame:
 
 def pdf_chunks(spark: SparkSession, d: str) -> DataFrame:
     """C2-C4 PDF path: pages are cleaned, fused and chunked (text files are
-    not cleaned) - page by page, without building whole documents."""
-    return chunk_pages(scan_doc_pages(spark, d), "doc_id")
+    not cleaned); documents above the page bound are chunked page by page."""
+    return chunk_pdf_pages(scan_doc_pages(spark, d), "doc_id")
 
 
 def chunk_sentences_q(spark: SparkSession, d: str) -> DataFrame:

@@ -69,3 +69,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint root for intermediate tables."""
     return f"{checkpoint_root(spark)}/finch-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def configure_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20,
+                        min_partitions: int = 200) -> int:
+    """Size shuffles for the data at hand: about one shuffle partition per
+    ``target_bytes`` of input (AQE coalesces small ones at run time and splits
+    skewed ones), and file splits of the same size. Returns the partition count."""
+    n = max(min_partitions, -(-input_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes // 2))
+    return n

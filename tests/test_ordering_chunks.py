@@ -29,7 +29,7 @@ def test_chunk_ids_keep_document_order(spark):
 
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
-from finch.operators.chunks import chunk_pages, clean_pages, prefix_scan  # noqa: E402
+from finch.operators.chunks import chunk_pages, chunk_pdf_pages, clean_pages, prefix_scan  # noqa: E402
 
 PAGE_CHARS = st.lists(st.sampled_from(list("ab.!?'\")] #\n") + ["  ", "x."]), max_size=12).map("".join)
 
@@ -76,3 +76,21 @@ def test_plugin_splitter(spark):
         return re.split(r"(?<!Mr\.)(?<=[.!?])\s+", t)
     plug = [r.text for r in chunk_sentences(docs, "doc_id", "text", splitter=abbrev_aware).orderBy("pos").collect()]
     assert plug == ["Mr. Smith left.", "He came back."]
+
+
+def test_configure_for_input(spark):
+    from finch.session import configure_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert configure_for_input(spark, 100 << 40) == 819200        # 100 TB / 128 MB
+        assert configure_for_input(spark, 1 << 20) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_chunk_pdf_pages_paths_agree(spark):
+    pages = spark.createDataFrame([Row(doc=1, page_no=i, text=t) for i, t in enumerate(
+        ["One. Two", "more. Three!", "' Four", "five."])] + [Row(doc=2, page_no=0, text="Solo.")])
+    small = sorted(map(tuple, chunk_pdf_pages(pages, "doc").collect()))
+    paged = sorted(map(tuple, chunk_pdf_pages(pages, "doc", max_group_pages=1).collect()))
+    assert small == paged == [(1, 0, "one."), (1, 1, "twomore."), (1, 2, "three!'"), (1, 3, "fourfive."), (2, 0, "solo.")]
