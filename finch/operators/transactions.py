@@ -74,13 +74,17 @@ def validate_categories(parsed: DataFrame, column: str = "category", max_words:
 def response_block(responses: DataFrame, resp_col: str = "response") -> DataFrame:
     """Notebook form: the lines between the first two empty lines (after the
     only one, if there is one); NULL when the response has no empty line."""
-    lines = F.split(resp_col, "\n")
-    blanks = F.filter(F.transform(lines, lambda l, i: F.when(l == "", i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    # lines and blank positions get their own projections so the split and the
+    # higher-order scan run once per response, not once per CASE branch
+    tmp = responses.withColumn("_lines", F.split(resp_col, "\n"))
+    tmp = tmp.withColumn("_blanks", F.filter(
+        F.transform("_lines", lambda l, i: F.when(l == "", i).otherwise(F.lit(-1))), lambda i: i >= 0))
+    lines, blanks = F.col("_lines"), F.col("_blanks")
     b0, b1 = blanks.getItem(0), blanks.getItem(1)
     block = (F.when(F.size(blanks) == 0, F.lit(None))
               .when(F.size(blanks) == 1, F.slice(lines, b0 + 2, F.size(lines) - b0 - 1))
               .otherwise(F.slice(lines, b0 + 2, b1 - b0 - 1)))
-    return responses.withColumn("block", block)
+    return tmp.withColumn("block", block).drop("_lines", "_blanks")
 
 
 def batch_valid(blocks: DataFrame) -> DataFrame:

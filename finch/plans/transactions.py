@@ -54,7 +54,7 @@ def transactions(spark: SparkSession, d: str, numbered: bool = False) -> DataFra
     if numbered:
         li = dense_index(li, ORDER, "idx")
     part = load(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
-    j = li.join(part, li.l_partkey == part.p_partkey)
+    j = li.join(part, li.l_partkey == part.p_partkey, "left")   # keeps every row, so numbering first is exact
     state = F.element_at(F.array(*[F.lit(s) for s in STATE_TOKENS]),
                          (F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(len(STATE_TOKENS))) + 1).cast("int"))
     date = F.when(F.pmod("l_orderkey", F.lit(97)) == 0, F.lit("n/a")).otherwise(F.date_format("l_shipdate", "MM/dd/yyyy"))
@@ -259,7 +259,7 @@ txn AS (
     CASE WHEN l_orderkey % 97 = 0 THEN 'n/a' ELSE strftime(l_shipdate, '%m/%d/%Y') END AS Date,
     concat_ws(' ', {_list(STATE_TOKENS)}[(l_orderkey * 7 + l_linenumber) % {len(STATE_TOKENS)} + 1], p_name, p_brand, p_type) AS Description,
     CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS Amount
-  FROM lineitem JOIN part ON l_partkey = p_partkey),
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
 clean AS (
   SELECT * EXCLUDE (Description), Description AS raw,
     trim(replace(regexp_replace(array_to_string(list_slice(list_filter(string_split(
