@@ -12,13 +12,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def clean_description(col, n_words: int = 3, states=STATE_CODES) -> Column:
+def clean_description(col, n_words: int = 3, states=STATE_CODES, faithful_nulls: bool = False) -> Column:
     """Lower-case, collapse whitespace, keep only letters and spaces, keep the
     first ``n_words`` words, then delete state codes as whole words (this can
-    leave a double space inside) and strip the ends."""
+    leave a double space inside) and strip the ends. A missing description
+    stays NULL, or becomes "nan" with ``faithful_nulls`` (what printing a
+    missing CSV cell gives in the original)."""
+    src = F.coalesce(_c(col), F.lit("nan")) if faithful_nulls else _c(col)
     # deleting everything but letters and whitespace, then splitting on
     # whitespace runs, yields the same words as collapse -> delete -> split
-    s = F.regexp_replace(F.lower(_c(col)), f"(?U)[^a-z\\s\\x1c-\\x1f]", "")
+    s = F.regexp_replace(F.lower(src), f"(?U)[^a-z\\s\\x1c-\\x1f]", "")
     s = F.array_join(F.slice(py_split_words(s), 1, n_words), " ")
     s = F.regexp_replace(s, "\\b(?:" + "|".join(states) + ")\\b", "")
     return F.trim(F.replace(s, F.lit("-"), F.lit(" ")))

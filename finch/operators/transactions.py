@@ -20,9 +20,9 @@ def require_column(df: DataFrame | None, column: str) -> None:
         raise ValueError(f"DataFrame is None or column {column} not found.")
 
 
-def clean_descriptions(df: DataFrame, column: str = "Description") -> DataFrame:
+def clean_descriptions(df: DataFrame, column: str = "Description", faithful_nulls: bool = False) -> DataFrame:
     require_column(df, column)
-    return df.withColumn(column, clean_description(column))
+    return df.withColumn(column, clean_description(column, faithful_nulls=faithful_nulls))
 
 
 def key_strings(df: DataFrame, cols=TXN_COLS, out_col: str = "line") -> DataFrame:
@@ -111,6 +111,16 @@ def first_valid(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS,
                        amt.alias("Amount"), cat.alias("Category"))
 
 
+def rejected_batches(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS, keys=("batch_id",)) -> DataFrame:
+    """Batches with no valid attempt among the first ``max_attempts`` (the
+    original drops them silently; here they are kept as a reject table)."""
+    within = checked.where(F.col("attempt") <= max_attempts)
+    return (within.groupBy(*keys)
+                  .agg(F.count(F.lit(1)).alias("attempts"),
+                       F.max(F.col("valid").cast("int")).alias("_any"))
+                  .where(F.col("_any") == 0).drop("_any"))
+
+
 def join_categories(txn: DataFrame, cats: DataFrame, keys=TXN_COLS, dedupe_right: bool = False) -> DataFrame:
     """Left join of categories on the three row fields; missing keys match
     each other (null-safe). Duplicate right keys fan out unless

@@ -5,7 +5,8 @@ transactions = lineitem joined with part; Date from l_shipdate (every 97th
 order gets an unparsable date), Description = state token + part name, brand
 and type, Amount = extended price as text with two decimals. Model responses
 are built per batch and attempt from those rows with a category list, with
-malformed variants injected by (batch, attempt).
+malformed variants injected by (batch, attempt); every 7th batch never gets a
+well-formed answer.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     body = rows.groupBy("batch_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("idx", "rl"))), lambda r: r["rl"]), "\n").alias("body"))
     att = body.select("batch_id", "body", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
-    f = F.pmod(F.col("batch_id") * 3 + F.col("attempt"), F.lit(5))
+    # every 7th batch only ever gets malformed answers (it ends in the reject table)
+    bad_only = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(4)), (F.pmod("attempt", F.lit(3)) + 1).cast("int"))
+    f = F.when(F.pmod("batch_id", F.lit(7)) == 0, bad_only).otherwise(F.pmod(F.col("batch_id") * 3 + F.col("attempt"), F.lit(5)))
     b = F.col("body")
     resp = (F.when(f == 0, F.concat(F.lit(HEADER + "\n"), b))
              .when(f == 1, F.concat(F.lit(HEADER + "\n\n"), b, F.lit(f"\n{BAD_LINE}\n\n{FOOTER}")))
@@ -143,6 +146,11 @@ def resp_first_valid(spark, d):
     return first_valid_rows(spark, d)
 
 
+def resp_rejected(spark, d):
+    """T11 reject table: batches without a valid attempt in four tries."""
+    return tr.rejected_batches(tr.batch_valid(tr.response_block(responses(spark, d))))
+
+
 def txn_union(spark, d):
     """Batch results appended; both parse paths, tagged."""
     nb = first_valid_rows(spark, d).select(F.lit("notebook").alias("path"), "batch_id", "attempt", "line_no",
@@ -222,6 +230,7 @@ QUERIES = {
     "resp_block": resp_block,
     "resp_batch_valid": resp_batch_valid,
     "resp_first_valid": resp_first_valid,
+    "resp_rejected": resp_rejected,
     "txn_union": txn_union,
     "txn_join_category": txn_join_category,
     "txn_head": txn_head,
@@ -277,7 +286,7 @@ body AS (SELECT batch_id, string_agg(rl, chr(10) ORDER BY idx) AS body FROM rl G
 att AS (SELECT batch_id, body, unnest(range(1, 6)) AS attempt FROM body),
 responses AS (
   SELECT batch_id, CAST(attempt AS INTEGER) AS attempt,
-    CASE (batch_id * 3 + attempt) % 5
+    CASE CASE WHEN batch_id % 7 = 0 THEN [0, 1, 4][attempt % 3 + 1] ELSE (batch_id * 3 + attempt) % 5 END
       WHEN 0 THEN {_lit(HEADER)} || chr(10) || body
       WHEN 1 THEN {_lit(HEADER)} || chr(10) || chr(10) || body || chr(10) || {_lit(BAD_LINE)} || chr(10) || chr(10) || {_lit(FOOTER)}
       WHEN 2 THEN {_lit(HEADER)} || chr(10) || chr(10) || body
@@ -342,6 +351,8 @@ ORACLE = {
                    f"FROM blocks WHERE block IS NOT NULL)"),
     "resp_batch_valid": f"WITH {_RESP} SELECT batch_id, attempt, valid FROM checked",
     "resp_first_valid": f"WITH {_RESP} SELECT * FROM fv",
+    "resp_rejected": (f"WITH {_RESP} SELECT batch_id, count(*) AS attempts FROM checked WHERE attempt <= 4 "
+                      f"GROUP BY batch_id HAVING max(CAST(valid AS INTEGER)) = 0"),
     "txn_union": (f"WITH {_RESP} SELECT 'notebook' AS path, batch_id, attempt, line_no, Date, Description, Amount, Category FROM fv "
                   f"UNION ALL SELECT 'module', batch_id, attempt, line_no, date, description, amount, category FROM validated"),
     "txn_join_category": (f"WITH {_RESP} SELECT c.l_orderkey, c.l_linenumber, c.Date, c.Description, c.Amount, f.Category "

@@ -14,3 +14,14 @@ def test_stream_ingest_chunks_new_files_once(spark):
     ingest_text_stream(spark, f"{src}/*", sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=ckpt)  # nothing new
     got = sorted((r.doc, r.pos, r.text) for r in spark.read.parquet(sink).collect())
     assert got == [(1, 0, "A b."), (1, 1, "C d!"), (2, 0, "E.")]
+
+
+def test_stream_ingest_picks_up_new_files_only(spark):
+    src, sink = scratch_path(spark, "t-src2"), scratch_path(spark, "t-sink2")
+    ckpt = scratch_path(spark, "t-ckpt2")
+    write_docs_as_text(spark.createDataFrame([Row(doc_id=1, text="One. Two.")]), f"{src}/a", ["doc_id"])
+    ingest_text_stream(spark, f"{src}/*/*", sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=ckpt)
+    write_docs_as_text(spark.createDataFrame([Row(doc_id=2, text="Three.")]), f"{src}/b", ["doc_id"])
+    ingest_text_stream(spark, f"{src}/*/*", sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=ckpt)
+    got = sorted((r.doc, r.pos, r.text) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, 0, "One."), (1, 1, "Two."), (2, 0, "Three.")]
