@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.constants import BATCH_INSTRUCTION, CATEGORY_RULES, STATE_CODES
+from ..functions.constants import BATCH_INSTRUCTION, BATCH_INSTRUCTION_SRC, CATEGORY_RULES, STATE_CODES
 from ..operators import reports as rp
 from ..operators.ordering import dense_index
 from ..operators import transactions as tr
@@ -125,6 +125,13 @@ def txn_batch_prompts(spark, d):
     return tr.batch_prompts(batched(spark, d))
 
 
+def txn_batch_prompts_src(spark, d):
+    """T6 module form: instruction + rows joined by newlines. The original
+    sends every row in one prompt; here the same text is built per batch, so
+    no single group ever holds the whole table."""
+    return tr.batch_prompts(batched(spark, d), sep="\n", instruction=BATCH_INSTRUCTION_SRC)
+
+
 def resp_parse_lines(spark, d):
     return tr.parse_response_lines(responses(spark, d))
 
@@ -225,6 +232,7 @@ QUERIES = {
     "txn_key_string": txn_key_string,
     "txn_batches": txn_batches,
     "txn_batch_prompts": txn_batch_prompts,
+    "txn_batch_prompts_src": txn_batch_prompts_src,
     "resp_parse_lines": resp_parse_lines,
     "resp_validate": resp_validate,
     "resp_block": resp_block,
@@ -344,6 +352,8 @@ ORACLE = {
     "txn_batches": f"WITH {_TXN} SELECT idx, batch_id, line FROM batched",
     "txn_batch_prompts": (f"WITH {_TXN} SELECT batch_id, {_lit(BATCH_INSTRUCTION)} || string_agg(line, ',' ORDER BY idx) "
                           f"AS prompt FROM batched GROUP BY batch_id"),
+    "txn_batch_prompts_src": (f"WITH {_TXN} SELECT batch_id, {_lit(BATCH_INSTRUCTION_SRC)} || "
+                              f"string_agg(line, chr(10) ORDER BY idx) AS prompt FROM batched GROUP BY batch_id"),
     "resp_parse_lines": f"WITH {_RESP} SELECT * FROM parsed",
     "resp_validate": f"WITH {_RESP} SELECT * FROM validated",
     "resp_block": (f"WITH {_RESP} SELECT batch_id, attempt, CAST(line_no - 1 AS INTEGER) AS line_no, line FROM ("
