@@ -99,3 +99,14 @@ def test_generator_plugin(spark):
     df = spark.createDataFrame([Row(k=1, prompt='x\n   Your Question: "Why?"\n')])
     out = pr.generate(df, ["k"], "prompt", pr.StubGenerator()).first()
     assert out.attempt == 1 and 'Your Question: "Why?"' in out.response
+
+
+def test_no_hits_frame_is_used_without_context(spark):
+    from finch.functions.constants import PROMPT_NO_HITS, PROMPT_RAG
+    df = spark.createDataFrame([Row(question="Q", context=None), Row(question="Q", context="ctx")],
+                               "question string, context string")
+    frame = F.when(F.col("context").isNull(), pr.render(PROMPT_NO_HITS, persona="P", columns=df.columns)) \
+             .otherwise(pr.render(PROMPT_RAG, persona="P", columns=df.columns))
+    a, b = [r.p for r in df.select(frame.alias("p")).collect()]
+    assert "\nContext:" not in a and "\nContext: ctx" in b
+    assert "Age: N/A" in a and 'Your Question: "Q"' in a

@@ -73,3 +73,12 @@ def test_python_embedder_matches_native_buckets(spark):
     dense = embed_with(df, "text", HashingEmbedder(256)).first().embedding
     counts = np.bincount(native, minlength=256)
     assert list(counts) == [int(x) for x in dense]
+
+
+def test_topk_edge_cases(spark):
+    cands = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<double>")
+    qs = spark.createDataFrame([(7, [0.0, 0.0]), (8, [2.0, 0.0])], "qid long, qv array<double>")
+    hits = knn_topk(cands, qs, cand_id="id", cand_vec="v", query_id="qid", query_vec="qv").collect()
+    assert [(r.qid, r.cid, r.rank) for r in hits] == [(8, 1, 1)]        # zero vectors have no cosine
+    empty = spark.createDataFrame([], "id long, v array<double>")
+    assert knn_topk(empty, qs, cand_id="id", cand_vec="v", query_id="qid", query_vec="qv").count() == 0
