@@ -94,3 +94,19 @@ def test_chunk_pdf_pages_paths_agree(spark):
     small = sorted(map(tuple, chunk_pdf_pages(pages, "doc").collect()))
     paged = sorted(map(tuple, chunk_pdf_pages(pages, "doc", max_group_pages=1).collect()))
     assert small == paged == [(1, 0, "one."), (1, 1, "twomore."), (1, 2, "three!'"), (1, 3, "fourfive."), (2, 0, "solo.")]
+
+
+def test_hot_document_spreads_over_partitions(spark):
+    # one document holds most pages: the page-wise path must not put it in one task
+    words = ["alpha", "beta.", "gamma", "delta!", "'", "eps"]
+    rows = [Row(doc=0, page_no=i, text=" ".join(words[(i + j) % 6] for j in range(7))) for i in range(1200)]
+    rows += [Row(doc=d, page_no=0, text="small doc. end") for d in range(1, 40)]
+    pages = spark.createDataFrame(rows, "doc long, page_no int, text string").repartition(8)
+    paged = chunk_pdf_pages(pages, "doc", max_group_pages=100)          # forces the page-wise path
+    whole = chunk_pdf_pages(pages, "doc")
+    assert sorted(map(tuple, paged.collect())) == sorted(map(tuple, whole.collect()))
+    # the range-partitioned scan places the hot document's pages in several partitions
+    from finch.operators.chunks import prefix_scan
+    narrow = pages.select(F.struct("doc", "page_no").alias("k"), "doc", F.lit(1).alias("one"))
+    parts = prefix_scan(narrow, "k", "one", "s").where("doc = 0").select(F.spark_partition_id()).distinct().count()
+    assert parts > 1
