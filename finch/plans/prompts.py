@@ -239,7 +239,7 @@ def _sparse_cos(x, y):
 
 
 ORACLE = {
-    "context_build": f"WITH {_PROFILES} SELECT item_id, context, length(context) AS n_chars FROM ctx",
+    "context_build": f"WITH {_PROFILES} SELECT item_id, context, CAST(length(context) AS INTEGER) AS n_chars FROM ctx",
     "prompt_rag": (f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_RAG)} AS prompt FROM "
                    f"(SELECT a.*, coalesce(ctx.context, '') AS context FROM asks a LEFT JOIN ctx USING (item_id))"),
     "prompt_fallback": (f"WITH {_PROFILES} SELECT profile_id, item_id, CASE WHEN context IS NULL THEN "
