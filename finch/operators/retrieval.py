@@ -6,7 +6,9 @@ with a BLAS matrix product inside ``mapInArrow`` and emits only its local top-k
 per query. A per-query ``row_number`` window then keeps the global top-k; Spark
 inserts a partial ``WindowGroupLimit`` before that shuffle, so at most
 partitions * k rows per query ever move. No pair table (query x candidate) is
-materialised. Query sets larger than one block are processed block by block.
+materialised. A block holds at most QUERY_BLOCK_BYTES of query vectors and is
+scored in sub-blocks of QUERY_SUB_BLOCK queries; query sets larger than one
+block take one pass per block over a checkpointed (id, vector) candidate table.
 """
 
 from __future__ import annotations
