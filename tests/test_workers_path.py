@@ -19,10 +19,10 @@ print("ROWS", E.entry(spark).count(), E.queries()["page_text_exact"](spark, "/ro
 
 
 def test_worker_functions_ship_by_value():
-    with tempfile.TemporaryDirectory() as cwd:
-        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-        out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True,
-                             text=True, timeout=600)
+    cwd = tempfile.mkdtemp(prefix="finch-cwd-")        # a fresh empty folder, left in place
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True,
+                         text=True, timeout=600)
     line = [l for l in out.stdout.splitlines() if l.startswith("ROWS")]
     assert line, out.stderr[-2000:]
     _, n_entry, n_pages = line[0].split()
