@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sentencepiece_codec, shards, syncmers
+from . import backoff_lm, bloom_cascade, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, syncmers
 from .common import table
 
 
@@ -13,6 +13,50 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"), held_out=F.coalesce(held_out, F.lit(False)))
+
+
+# The rules of the query's contract; the longest that fits decides.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+# Words that put a host on the list of the method's own verdict.
+LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """(key): the hosts of ``pages`` with a name part that is a listed word."""
+    host, _ = bloom_cascade.host_and_path(F.col("url"))
+    return pages.select(host.alias("key")).where(
+        F.arrays_overlap(F.split("key", "[.-]"), F.array(*[F.lit(w) for w in LISTED_WORDS]))).distinct()
+
+
+def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return bloom_cascade.judge_urls(pages, URL_RULES, listed_hosts(pages))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_fusion.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -25,6 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "parity", "round_trip", F.xxhash64("token_ids").alias("ids_hash"), "token_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op9_sharding, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_resampling, op4_backoff_lm, op5_bloom_cascade,
+                                 op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {}

@@ -79,17 +79,18 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
-    ids = base.select("key", "h", F.floor(F.length("text") / 4).cast("int").alias("need")).distinct()
+    row = F.xxhash64("key", "h").alias("row")              # (row, h) stands for (key, text): never null, unlike key
+    ids = base.select("key", row, "h", F.floor(F.length("text") / 4).cast("int").alias("need")).distinct()
     order = dense_index(ids, [F.col("key").asc_nulls_first(), "h"], "idx")
-    n = order.count()
-    after = order.select(F.pmod(F.col("idx") - 1, F.lit(max(n, 1)).cast("long")).alias("idx"), F.col("key").alias("next_key"), F.col("h").alias("next_h"))
-    links = order.withColumnRenamed("key", "cur_key").withColumnRenamed("h", "cur_h").join(after, "idx").drop("idx")
-    rows = (base.withColumn("fp", fingerprint(F.col("text"))).repartition("key", "h")
-            .withColumn("rn", F.row_number().over(Window.partitionBy("key", "h").orderBy("h"))))
-    ahead = (rows.where("rn = 1").join(links, rows["key"].eqNullSafe(links["next_key"]) & (rows["h"] == links["next_h"]))
-             .select("cur_key", "cur_h", F.col("text").substr(F.lit(1), F.col("need")).alias("next_prefix"), F.col("fp").alias("next_fp")))
-    return rows.join(ahead, rows["key"].eqNullSafe(ahead["cur_key"]) & (rows["h"] == ahead["cur_h"])).select(
-        "key", "h", "text", "fp", "next_prefix", "next_fp")
+    n = F.lit(max(order.count(), 1)).cast("long")
+    cur = order.select("idx", F.col("row").alias("cur_row"), F.col("h").alias("cur_h"), "need")
+    links = cur.join(order.select(F.pmod(F.col("idx") - 1, n).alias("idx"), "row", "h"), "idx").drop("idx")
+    rows = base.select("key", row, "h", "text", fingerprint(F.col("text")).alias("fp")).withColumn(
+        "rn", F.row_number().over(Window.partitionBy("row", "h").orderBy("h")))
+    ahead = rows.where("rn = 1").join(links, ["row", "h"]).select(
+        F.col("cur_row").alias("row"), F.col("cur_h").alias("h"), F.col("text").substr(F.lit(1), F.col("need")).alias("next_prefix"),
+        F.col("fp").alias("next_fp"))
+    return rows.join(ahead, ["row", "h"]).select("key", "h", "text", "fp", "next_prefix", "next_fp")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
