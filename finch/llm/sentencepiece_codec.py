@@ -21,6 +21,7 @@ import re
 import struct
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6     # piece types of the model format
 SEGMENT = re.compile(" +[^ ]*")
+GROUP, LINE = 65_536, 128        # words looked at together; words of one line
 
 
 def _fields(buf: bytes):
@@ -127,7 +129,7 @@ def segmentable(spec: dict) -> bool:
 class Codec:
     """Encoder and decoder of one task, with a bounded memory of segments."""
 
-    def __init__(self, tokenizer_json: str, model: bytes, by_segment: bool, threads: int = 2, keep: int = 200_000):
+    def __init__(self, tokenizer_json: str, model: bytes, by_segment: bool, threads: int = 2, keep: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -138,43 +140,62 @@ class Codec:
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.encode_special_tokens = True
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.by_segment, self.threads, self.keep, self.known = by_segment, threads, keep, {}
-
-    def _learn(self, segments: list[str]) -> None:
-        fresh = [s for s in dict.fromkeys(segments) if s not in self.known]
-        if len(self.known) + len(fresh) > self.keep:
-            self.known.clear()
-            fresh = list(dict.fromkeys(segments))
-        got = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
-        theirs = self.sp.encode(fresh, num_threads=self.threads)
+        self.by_segment, self.threads, self.keep = by_segment, threads, keep
+        self.known: dict[str, list[int]] = {}
+        self.starts = np.array([(self.tok.id_to_token(i) or "").startswith(MARK) for i in range(self.sp.get_piece_size())])
+        self.unlike, self.lossy = set(), set()          # segments without parity, without round trip
+
+    def _learn(self, segments: set[str]) -> None:
+        if len(self.known) > self.keep:                 # frequent segments are in nearly every slice and stay
+            self.known = {s: self.known[s] for s in segments & self.known.keys()}
+            self.unlike &= self.known.keys()
+            self.lossy &= self.known.keys()
+        fresh = [s for s in segments if s not in self.known]
+        words = [s for s in fresh if " " not in s and MARK not in s] if self.by_segment else []
+        alone = [s for s in fresh if " " in s or MARK in s] if self.by_segment else fresh
+        for a in range(0, len(words), GROUP):           # words side by side, cut again where a marker starts a piece
+            alone += self._learn_group(words[a : a + GROUP])
+        got = [e.ids for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
+        theirs = self.sp.encode(alone, num_threads=self.threads)
         back = self.tok.decode_batch(got, skip_special_tokens=False)
-        for s, ids, sp_ids, text in zip(fresh, got, theirs, back):
-            self.known[s] = (ids, ids == list(sp_ids), text == s)
+        self.known.update(zip(alone, got))
+        self.unlike.update(s for s, x, y in zip(alone, got, theirs) if x != y)
+        self.lossy.update(s for s, x in zip(alone, back) if x != s)
+
+    def _learn_group(self, words: list[str]) -> list[str]:
+        """Learn words by one text of lines of them; returns those to be looked at alone."""
+        lines = [" ".join(words[a : a + LINE]) for a in range(0, len(words), LINE)]
+        got = [e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
+        theirs = self.sp.encode(lines, num_threads=self.threads)
+        back = self.tok.decode_batch(got, skip_special_tokens=False)
+        odd = []
+        for k, (line, ids, sp_ids, text) in enumerate(zip(lines, got, theirs, back)):
+            some = words[k * LINE : (k + 1) * LINE]
+            cuts = np.flatnonzero(self.starts[np.array(ids, int)]).tolist()
+            if ids == sp_ids and text == line and len(cuts) == len(some):
+                self.known.update(zip(some, (ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)]))))
+            else:
+                odd += some
+        return odd
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        """(ids, parity, round trip) of each text."""
         parts = []
         for t in texts:
             if not t:
                 parts.append([])
             elif self.by_segment and MARK not in t:
-                parts.append([m[1:] for m in SEGMENT.findall(" " + t)])
+                # the first character of a match is the marker that every encoding puts in front
+                parts.append([m[1:] for m in SEGMENT.findall(" " + t)] if "  " in t or t[0] == " " or t[-1] == " " else t.split(" "))
             else:
                 parts.append([t])
-        self._learn([s for p in parts for s in p if s])
-        known = self.known
-        known[""] = ([self.tok.token_to_id(MARK)], True, True)      # a single space at the end of a text
-        ids, same, back = [], [], []
-        for p in parts:
-            row: list[int] = []
-            ok = rt = True
-            for s in p:
-                got = known[s]
-                row.extend(got[0])
-                ok &= got[1]
-                rt &= got[2]
-            ids.append(row)
-            same.append(ok)
-            back.append(rt)
+        distinct = set(chain.from_iterable(parts))
+        distinct.discard("")
+        self._learn(distinct)
+        self.known[""] = [self.tok.token_to_id(MARK)]          # a single space at the end of a text
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
+        same = [self.unlike.isdisjoint(p) for p in parts] if self.unlike else [True] * len(parts)
+        back = [self.lossy.isdisjoint(p) for p in parts] if self.lossy else [True] * len(parts)
         return ids, same, back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -213,7 +234,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
             for a, b in slices(texts):
                 ids, same, back = codec.encode(texts[a:b])
                 lens = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter((x for r in ids for x in r), np.int32, int(lens.sum()))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
                 cut = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*cut.columns, lists, pa.array(lens), pa.array(same), pa.array(back)],
