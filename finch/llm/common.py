@@ -45,7 +45,7 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = [tuple(r[k] for k in keys) for r in counts.where(F.col("_n") >= max(1, total * share)).select(*keys).collect()]
-    if total < 10_000 or not hot:
+    if not hot:
         return left.join(right, keys, how)
     hot_keys = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)
     mark = left.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), keys, "left")

@@ -72,4 +72,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_resampling, op4_backoff_lm, op5_bloom_cascade,
                                  op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece)}
 
-ORACLE: dict[str, str] = {}
+_RULES = ", ".join(f"('{key}', '{key[: key.index('/')]}', '{key[key.index('/') :]}', '{verdict}')" for key, verdict in URL_RULES)
+_WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
+
+ORACLE: dict[str, str] = {
+    "op5_bloom_cascade": f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules AS (SELECT * FROM (VALUES {_RULES}) AS t(key, rule_host, rule_path, verdict)),
+fits AS (SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(key, length(key)) AS rule, arg_max(verdict, length(key)) AS said
+         FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+         GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), [{_WORDS}]) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits""",
+}
