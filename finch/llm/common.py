@@ -34,17 +34,14 @@ def hash_pair(*cols) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(-7046029254386353131), *cols)
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                   share: float = 0.01) -> DataFrame:
+def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int = 100) -> DataFrame:
     """Equi-join against ``right`` (one row per key) whatever the skew of ``left``.
 
-    Keys that hold at least ``share`` of the left rows, of which there can be at
-    most ``1/share``, are joined by broadcast; no key of the rest holds more
-    than ``share`` of the rows. ``keys`` must not be null.
+    The ``most`` commonest keys of the left side are joined by broadcast, so that
+    no key of the rest holds more than ``1/most`` of the rows. ``keys`` must not be null.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [tuple(r[k] for k in keys) for r in counts.where(F.col("_n") >= max(1, total * share)).select(*keys).collect()]
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    hot = [tuple(r[k] for k in keys) for r in counts.orderBy(F.desc("_n")).limit(most).collect()]
     if not hot:
         return left.join(right, keys, how)
     hot_keys = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)

@@ -10,9 +10,9 @@ from .common import hot_split_join, written
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is a node of the component.
 
-    Each round every node hooks onto its least neighbour, chains of two hooks are
-    cut to one, and the edges are rewritten to the nodes that are left; a star of
-    any size is done after one round. Least neighbours are found by partial
+    Each round every node hooks onto its least neighbour (in hash order, so that
+    a chain of nodes breaks up in few rounds), chains of two hooks are cut to one,
+    and the edges are rewritten to the nodes that are left. Least neighbours are found by partial
     aggregates, and the hooks are joined back with hot nodes split off. Rounds are
     written to the shared folder.
     """
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = roots.withColumn("root", F.col("node"))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("p"))
+        least = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("n"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n")))
+        hook = both.groupBy("a").agg(least["n"].alias("p")).withColumnRenamed("a", "n")
         hook = written(hook, "cc-hooks")
         up = hook.select(F.col("n").alias("p"), F.col("p").alias("q"))
         hook = written(hot_split_join(hook, up, ["p"]).select("n", F.col("q").alias("p")), "cc-hooks")
