@@ -52,8 +52,11 @@ def clean_pdf_text(col, lowercase: bool = True) -> Column:
 def sentence_split(col) -> Column:
     """Rule sentence splitter: break after . ! ? (plus closing quotes or
     brackets) followed by whitespace; strip each sentence, drop empty ones."""
-    marked = F.regexp_replace(_c(col), f"({SENTENCE_END}{SENTENCE_CLOSERS}){SENTENCE_GAP}", "$1" + _MARK)
-    parts = F.transform(F.split(marked, _MARK), lambda s: F.regexp_replace(s, SENTENCE_TRIM, ""))
+    # a marker character in the text itself becomes marker + "t", a boundary is marker + "b"
+    safe = F.replace(_c(col), F.lit(_MARK), F.lit(_MARK + "t"))
+    marked = F.regexp_replace(safe, f"({SENTENCE_END}{SENTENCE_CLOSERS}){SENTENCE_GAP}", "$1" + _MARK + "b")
+    parts = F.transform(F.split(marked, _MARK + "b"), lambda s: F.replace(
+        F.regexp_replace(s, SENTENCE_TRIM, ""), F.lit(_MARK + "t"), F.lit(_MARK)))
     return F.filter(parts, lambda s: s != "")
 
 

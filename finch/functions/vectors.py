@@ -27,13 +27,6 @@ def token_buckets(col, dim: int = HASH_DIM) -> Column:
     return F.transform(tokens(col), lambda t: F.pmod(token_hash(t), F.lit(dim)).cast("int"))
 
 
-def bucket_counts(buckets, dim: int = HASH_DIM) -> Column:
-    """Dense count vector (array<int> of length ``dim``) from bucket ids."""
-    b = _c(buckets)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(b, lambda x: x == i)))
-
-
 def sparse_string(buckets) -> Column:
     """"bucket:count" pairs in bucket order: the hashed vector in sparse form."""
     b = _c(buckets)

@@ -11,10 +11,6 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 from ..functions.text import clean_pdf_text, pages_of, sentence_split
 
-# Sparse chunk id: document id in the high bits, sentence position in the low
-# 24 bits, so id order is (document, position) order without a global pass.
-POS_BITS = 24
-
 
 def split_pages(docs: DataFrame, id_col: str, text_col: str, page_chars: int = 2000) -> DataFrame:
     """Fixed-size pages of each document -> (id, page_no, text)."""
@@ -44,30 +40,26 @@ def split_with(splitter: Callable[[str], list[str]]):
 
 def chunk_sentences(docs: DataFrame, doc_col: str, text_col: str, clean: bool = False,
                     lowercase: bool = True, splitter: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """Sentence chunks -> (doc, pos, chunk_id, text). Text files are chunked as
+    """Sentence chunks -> (doc, pos, text), keyed by (doc, pos). Text files are chunked as
     they are; page text from PDFs is cleaned first (``clean=True``). The rule
     splitter runs JVM-side; ``splitter`` plugs in any Python splitter."""
     text = clean_pdf_text(text_col, lowercase) if clean else F.col(text_col)
     parts = split_with(splitter)(text) if splitter else sentence_split(text)
-    out = docs.select(F.col(doc_col), F.posexplode(parts).alias("pos", "text"))
-    if dict(docs.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint"):
-        cid = F.shiftleft(F.col(doc_col).cast("long"), POS_BITS) + F.col("pos")
-    else:   # documents named by path: a hashed id
-        cid = F.xxhash64(F.col(doc_col), F.col("pos"))
-    return out.withColumn("chunk_id", cid)
+    return docs.select(F.col(doc_col), F.posexplode(parts).alias("pos", "text"))
 
 
-def dense_chunk_ids(chunks: DataFrame, doc_col: str, pos_col: str = "pos", out_col: str = "seq_id") -> DataFrame:
-    """Sequential ids from 0 over all documents in (doc, pos) order.
+def dense_chunk_ids(docs: DataFrame, doc_col: str, text_col: str, out_col: str = "seq_id") -> DataFrame:
+    """Sequential ids from 0 over all sentence chunks in (doc, pos) order ->
+    (doc, pos, out_col). One row per document id is expected.
 
     Per-document counts get a running offset in document order (a prefix sum
-    over the counts table, never over chunk rows); each chunk id is offset +
-    position. The counts table joins back on the document key.
+    over the counts table, never over chunk rows); positions are exploded last,
+    from the counts alone, so each text is split once and never moves.
     """
-    counts = chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = docs.select(doc_col, F.size(sentence_split(F.col(text_col))).alias("_n")).where("_n > 0")
     offs = _prefix_sums(counts, doc_col, "_n", "_off")
-    return chunks.join(offs.select(doc_col, "_off"), doc_col).withColumn(
-        out_col, F.col("_off") + F.col(pos_col)).drop("_off")
+    pos = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("pos")
+    return offs.select(doc_col, pos, "_off").select(doc_col, "pos", (F.col("_off") + F.col("pos")).alias(out_col))
 
 
 def prefix_scan(df: DataFrame, order_col: str, val_col: str, out_col: str, op: str = "sum") -> DataFrame:
@@ -157,24 +149,5 @@ def chunk_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no", text_
     return sent.select(F.col("_doc").alias(doc_col), F.col("_sid").cast("int").alias("pos"), "text")
 
 
-MAX_GROUP_PAGES = 4096   # pages one task may gather for one document (~8 MB of text)
-
-
-def chunk_pdf_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no", text_col: str = "text",
-                    lowercase: bool = True, max_group_pages: int = MAX_GROUP_PAGES) -> DataFrame:
-    """PDF path: clean pages, fuse each document's pages, split sentences.
-
-    Both plans are exact. When the largest document has at most
-    ``max_group_pages`` pages (one partial aggregate proves it), a document's
-    pages are gathered into one row (cheapest); otherwise ``chunk_pages``
-    splits page by page so a huge document spreads over all tasks."""
-    biggest = pages.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= max_group_pages:
-        fused = concat_pages(clean_pages(pages.select(doc_col, page_col, text_col), text_col, lowercase),
-                             doc_col, page_col, text_col)
-        return chunk_sentences(fused, doc_col, text_col).select(doc_col, "pos", "text")
-    return chunk_pages(pages, doc_col, page_col, text_col, lowercase)
-
-
 def chunk_counts(chunks: DataFrame, doc_col: str) -> DataFrame:
     return chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -20,7 +20,7 @@ def internal_links(links: DataFrame, subreddit: str = WIKI_SUBREDDIT) -> DataFra
     return links.where(is_internal_wiki("url", subreddit)).withColumn("target", wiki_target("url"))
 
 
-def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int = 1000,
+def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int | None = None,
           checkpoint_every: int = 4) -> DataFrame:
     """Pages reachable from ``start`` over (src, target, url) edges ->
     (target, url, depth), one row per target with the smallest URL that
@@ -30,7 +30,8 @@ def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int = 1000
     the visited set, so each page is expanded once and cycles end the loop.
     Edges and every round's result are checkpointed to the shared checkpoint
     folder, which bounds lineage and survives executor loss.
-    ``max_rounds=1`` is the one-hop variant.
+    The loop ends when a round finds nothing new; ``max_rounds=1`` is the
+    one-hop variant.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select("src", "target", "url").distinct().checkpoint(eager=True)
@@ -38,7 +39,7 @@ def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int = 1000
                      .withColumn("depth", F.lit(1)).checkpoint(eager=True))
     visited = frontier
     rounds = 1
-    while rounds < max_rounds and not frontier.isEmpty():
+    while (max_rounds is None or rounds < max_rounds) and not frontier.isEmpty():
         e = edges.alias("e")
         nxt = (frontier.alias("f").join(e, F.col("f.target") == F.col("e.src"))
                        .select(F.col("e.target").alias("target"), F.col("e.url").alias("url"))

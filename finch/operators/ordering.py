@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Row counts above which a side is never broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
+# Size above which a side is never broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def dense_index(df: DataFrame, order_cols: list, out_col: str = "idx",
@@ -45,13 +45,15 @@ def dense_index(df: DataFrame, order_cols: list, out_col: str = "idx",
                   .drop("_pid", "_mid", "_off"))
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> int | None:
-    """Number of rows if it is at most ``limit``, else None (reads at most limit+1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
+def bytes_at_most(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """Do the rows, printed as JSON, come to at most ``limit`` bytes? Sums are
+    taken map-side; only one number reaches the driver."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
+    return (size or 0) <= limit
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave the
-    join to the planner (sort-merge with AQE skew handling)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after checking the size in bytes; otherwise leave the
+    join to the planner (sort-merge with AQE skew handling). ``df`` is read twice,
+    so callers pass a stored or cheap table."""
+    return F.broadcast(df) if bytes_at_most(df, limit) else df

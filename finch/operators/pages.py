@@ -26,7 +26,8 @@ def _c(col) -> Column:
 
 
 def main_block(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """First non-empty of main / article / div role=main / body -> (tag, block)."""
+    """JVM-side approximation of ``page_main``: the first non-empty of main /
+    article / div role=main / body, up to its first close tag -> (tag, block)."""
     found = [(name, F.nullif(F.regexp_extract(html_col, pat, 1), F.lit(""))) for name, pat in MAIN_PATTERNS]
     tag = F.coalesce(*[F.when(b.isNotNull(), F.lit(name)) for name, b in found])
     return df.withColumn("tag", tag).withColumn("block", F.coalesce(*[b for _, b in found]))
@@ -61,98 +62,106 @@ def trim_lines(df: DataFrame, col: str = "text", skip_lines: int = 6, min_words:
 # exact tree-walk extraction (Python, Arrow batches)
 # ---------------------------------------------------------------------------
 
-def extract_main_text(html: str) -> str:
-    """Text of the main node's child elements (script/style children skipped);
-    strings inside a child are stripped and joined by newlines, children are
-    joined by a space. Script, style and comment text never counts."""
-    from html.parser import HTMLParser
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT_TAGS = frozenset(("script", "style", "template"))
+
 
-    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-            "source", "track", "wbr"}
+def main_node(html: str | None) -> tuple[str | None, str | None, str]:
+    """(tag, block, text) of a page's main node: the first ``main``, else the first
+    ``article``, else the first ``div role=main``, else ``body``; a node counts
+    even when empty. ``block`` is the markup between its tags.
 
-    class Node:
-        __slots__ = ("tag", "attrs", "children", "parent")
+    ``text`` joins its child elements by a space; the strings inside a child are
+    stripped and joined by newlines. Text directly below the node, script, style
+    and template children and their contents, and comments do not count. A page
+    without any such node gives (None, None, "").
 
-        def __init__(self, tag, attrs, parent):
-            self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
+    The tree is never built: open tags are a stack, and each candidate collects
+    its text while it is open, so depth and unclosed tags cost nothing extra.
+    """
+    from html.parser import HTMLParser
 
-    class Builder(HTMLParser):
+    found: dict[str, dict] = {}                     # first node of each kind
+
+    class Walk(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.root = Node("[document]", [], None)
-            self.cur = self.root
+            self.stack: list[str] = []
+            self.open: dict[str, int] = {}          # how often a tag is on the stack
+            self.live: list[dict] = []              # candidates that are open
+            self.silent = 0                         # open tags whose strings do not count
 
-        def handle_starttag(self, tag, attrs):
-            n = Node(tag, attrs, self.cur)
-            self.cur.children.append(n)
-            if tag not in void:
-                self.cur = n
+        def place(self):
+            line, col = self.getpos()
+            return starts[line - 1] + col
 
-        def handle_startendtag(self, tag, attrs):
-            self.cur.children.append(Node(tag, attrs, self.cur))
+        def handle_starttag(self, tag, attrs):
+            self.handle_startendtag(tag, attrs)
+            if tag in VOID_TAGS:
+                return
+            self.stack.append(tag)
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.silent += tag in SILENT_TAGS
+            kind = tag if tag in ("main", "article", "body") else "div_main" if tag == "div" and dict(attrs).get("role") == "main" else None
+            if kind and kind not in found:
+                node = {"depth": len(self.stack), "from": self.place() + len(self.get_starttag_text()), "to": len(html), "parts": []}
+                found[kind] = node
+                self.live.append(node)
+
+        def handle_startendtag(self, tag, attrs):   # also called for every start tag: a child of the node just above
+            for node in self.live:
+                if node["depth"] == len(self.stack) and tag not in ("script", "style"):
+                    node["parts"].append([])
 
         def handle_endtag(self, tag):
-            n = self.cur
-            while n is not None and n.tag != tag:
-                n = n.parent
-            if n is not None and n.parent is not None:
-                self.cur = n.parent
+            if not self.open.get(tag):
+                return
+            while True:
+                last = self.stack.pop()
+                self.open[last] -= 1
+                self.silent -= last in SILENT_TAGS
+                for node in [n for n in self.live if n["depth"] > len(self.stack)]:
+                    node["to"] = self.place()
+                    self.live.remove(node)
+                if last == tag:
+                    return
 
         def handle_data(self, data):
-            self.cur.children.append(data)
-
-    b = Builder()
-    b.feed(html or "")
-    b.close()
-
-    def find(n, pred):
-        for ch in n.children:
-            if isinstance(ch, Node):
-                if pred(ch):
-                    return ch
-                r = find(ch, pred)
-                if r is not None:
-                    return r
-        return None
-
-    def strings(n):
-        if n.tag in ("script", "style", "template"):
-            return
-        for ch in n.children:
-            if isinstance(ch, Node):
-                yield from strings(ch)
-            else:
-                yield ch
-
-    def nonempty(n):
-        return n is not None and len(n.children) > 0
-
-    main = None
-    for pred in (lambda n: n.tag == "main", lambda n: n.tag == "article",
-                 lambda n: n.tag == "div" and n.attrs.get("role") == "main"):
-        cand = find(b.root, pred)
-        if nonempty(cand):
-            main = cand
-            break
-    if main is None:
-        main = find(b.root, lambda n: n.tag == "body")
-    if main is None:
-        return ""
-    parts = []
-    for ch in main.children:
-        if isinstance(ch, Node) and ch.tag not in ("script", "style"):
-            parts.append("\n".join(s.strip() for s in strings(ch) if s.strip()))
-    return " ".join(parts)
-
-
-def page_text_exact(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
-    """Exact extraction with a stdlib tree walk inside mapInPandas (per row
-    Python is the small helper; Spark spreads pages over tasks)."""
+            text = data.strip()
+            if text and not self.silent:
+                for node in self.live:
+                    if node["depth"] < len(self.stack):
+                        node["parts"][-1].append(text)
+
+    html = html or ""
+    starts = [0]
+    for line in html.split("\n")[:-1]:
+        starts.append(starts[-1] + len(line) + 1)
+    walk = Walk()
+    walk.feed(html)
+    walk.close()
+    for kind in ("main", "article", "div_main", "body"):
+        if kind in found:
+            node = found[kind]
+            return kind, html[node["from"]:node["to"]], " ".join("\n".join(p) for p in node["parts"])
+    return None, None, ""
+
+
+def page_main(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """(id, tag, block, text) of every page's main node: a small per-row helper
+    in mapInPandas; Spark spreads pages over tasks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "text": [extract_main_text(h) for h in pdf[html_col]]})
+            rows = [main_node(h) for h in pdf[html_col]]
+            out = pd.DataFrame(rows, columns=["tag", "block", "text"], index=pdf.index)
+            out.insert(0, id_col, pdf[id_col])
+            yield out
     id_type = dict(df.dtypes)[id_col]
-    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {id_type}, text string")
+    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {id_type}, tag string, block string, text string")
+
+
+def page_text_exact(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    return page_main(df, id_col, html_col).select(id_col, "text")
 
 
 # ---------------------------------------------------------------------------

@@ -1,19 +1,23 @@
 """Exact cosine top-k retrieval, embeddings and search reports.
 
-Plan shape for ``knn_topk``: the query vectors (a size-checked block) are
-broadcast once; every candidate partition scores its rows against the block
-with a BLAS matrix product inside ``mapInArrow`` and emits only its local top-k
-per query. A per-query ``row_number`` window then keeps the global top-k; Spark
-inserts a partial ``WindowGroupLimit`` before that shuffle, so at most
-partitions * k rows per query ever move. No pair table (query x candidate) is
-materialised. A block holds at most QUERY_BLOCK_BYTES of query vectors and is
-scored in sub-blocks of QUERY_SUB_BLOCK queries; query sets larger than one
-block take one pass per block over a checkpointed (id, vector) candidate table.
+Plan shape for ``knn_topk``: a block of query vectors (at most QUERY_BLOCK_BYTES)
+is broadcast; every candidate partition scores its rows against the block with a
+BLAS matrix product inside ``mapInArrow`` and emits only its local top-k per query.
+A per-query ``row_number`` window then keeps the global top-k; Spark inserts a
+partial ``WindowGroupLimit`` before that shuffle, so at most partitions * k rows
+per query ever move. No pair table (query x candidate) is materialised.
+
+The matrix product only selects: its last bits depend on the shape of the batch.
+The score of a selected pair is computed anew, in one fixed order, so equal vectors
+have equal scores wherever they stand.
+
+Query sets larger than one block take one pass per block over a stored (id,
+vector) candidate table; only one block is ever on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,16 +26,18 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.constants import REPORT_FORMAT, TOP_K
 from ..functions.vectors import HASH_DIM, token_buckets
-from ..session import ensure_checkpoint_dir
-from .ordering import dense_index, row_count_at_most
+from ..session import scratch_path
+from .ordering import dense_index
 
 QUERY_BLOCK_BYTES = 64 << 20  # query vectors broadcast per pass over the candidates
 QUERY_SUB_BLOCK = 1024        # queries scored per matrix product inside a task
 ROW_SLICE = 4096              # candidate rows scored per matrix product
+MARGIN = 1e-9                 # scores this close to the k-th best are computed anew
 
 HIT_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType(), False),
     T.StructField("cid", T.LongType(), False),
+    T.StructField("cpos", T.IntegerType(), False),
     T.StructField("sim", T.DoubleType(), False),
 ])
 
@@ -40,60 +46,54 @@ HIT_SCHEMA = T.StructType([
 # numpy helpers used inside tasks
 # ---------------------------------------------------------------------------
 
-def _dense_from_buckets(lst: pa.ListArray, dim: int) -> np.ndarray:
-    """Count matrix (rows x dim) from a list<int> column of bucket ids."""
+def _matrix(lst: pa.ListArray, kind: str, dim: int) -> np.ndarray:
+    """Vectors as rows: counts of bucket ids, or the stored values. A value of
+    another length or a bucket outside the width raises."""
     n = len(lst)
     lengths = lst.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    vals = lst.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    vals = lst.flatten().to_numpy(zero_copy_only=False)
+    if kind == "dense":
+        if (lengths != dim).any():
+            raise ValueError(f"a vector of length {lengths[lengths != dim][0]} where {dim} is expected")
+        return vals.astype(np.float64).reshape(n, dim)
+    if len(vals) and not 0 <= vals.min() <= vals.max() < dim:
+        raise ValueError(f"a bucket outside 0..{dim - 1}")
     rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-    return np.bincount(rows * dim + vals, minlength=n * dim).reshape(n, dim).astype(np.float64)
-
-
-def _dense_from_arrays(lst: pa.ListArray, dim: int) -> np.ndarray:
-    vals = lst.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return vals.reshape(len(lst), dim)
+    return np.bincount(rows * dim + vals.astype(np.int64), minlength=n * dim).reshape(n, dim).astype(np.float64)
 
 
-def _select_topk(qi: np.ndarray, cid: np.ndarray, sim: np.ndarray, k: int, distinct: bool):
-    """Per query index: best ``k`` by (sim desc, cid asc); with ``distinct`` only
-    the smallest cid of each equal score is kept (and counts once)."""
+def _select_topk(qi, cid, cpos, sim, k: int, distinct: bool):
+    """Per query index: best ``k`` by (sim desc, cid, cpos); with ``distinct`` only
+    the smallest key of each equal score is kept (and counts once)."""
     if len(qi) == 0:
-        return qi, cid, sim
-    order = np.lexsort((cid, -sim, qi))
-    qi, cid, sim = qi[order], cid[order], sim[order]
+        return qi, cid, cpos, sim
+    order = np.lexsort((cpos, cid, -sim, qi))
+    qi, cid, cpos, sim = qi[order], cid[order], cpos[order], sim[order]
     if distinct:
         keep = np.ones(len(qi), dtype=bool)
         keep[1:] = (qi[1:] != qi[:-1]) | (sim[1:] != sim[:-1])
-        qi, cid, sim = qi[keep], cid[keep], sim[keep]
+        qi, cid, cpos, sim = qi[keep], cid[keep], cpos[keep], sim[keep]
     start = np.r_[0, np.flatnonzero(qi[1:] != qi[:-1]) + 1]
     rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
     keep = rank < k
-    return qi[keep], cid[keep], sim[keep]
+    return qi[keep], cid[keep], cpos[keep], sim[keep]
 
 
 def _block_candidates(S: np.ndarray, k: int, distinct: bool):
-    """(row, query) index pairs that can be in a query's top-k within S."""
+    """(row, query) index pairs that can be in a query's top-k within S. With
+    ``distinct`` k counts scores that differ by more than the margin."""
     n = S.shape[0]
     if n <= k:
-        r, q = np.nonzero(np.isfinite(S))
-        return r, q
-    if not distinct:
+        return np.nonzero(np.isfinite(S))
+    if distinct:
+        down = -np.sort(-S, axis=0)
+        with np.errstate(invalid="ignore"):
+            step = np.cumsum(np.r_[np.ones((1, S.shape[1]), int), (down[:-1] - down[1:] > MARGIN).astype(int)], axis=0)
+        last = np.maximum((step <= k).sum(0) - 1, 0)
+        kth = down[last, np.arange(S.shape[1])]
+    else:
         kth = np.partition(S, n - k, axis=0)[n - k, :]
-        r, q = np.nonzero((S >= kth[None, :]) & np.isfinite(S))
-        return r, q
-    rs, qs = [], []
-    for j in range(S.shape[1]):
-        col = S[:, j]
-        u = np.unique(col[np.isfinite(col)])
-        if len(u) == 0:
-            continue
-        t = u[max(len(u) - k, 0)]
-        r = np.flatnonzero(col >= t)
-        rs.append(r)
-        qs.append(np.full(len(r), j, dtype=np.int64))
-    if not rs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(rs), np.concatenate(qs)
+    return np.nonzero((S >= kth[None, :] - MARGIN) & np.isfinite(S))
 
 
 def _make_scorer(bc, kind: str, dim: int, k: int, distinct: bool, sub_block: int = QUERY_SUB_BLOCK):
@@ -101,124 +101,106 @@ def _make_scorer(bc, kind: str, dim: int, k: int, distinct: bool, sub_block: int
         qids, Q, qn2_all = bc.value
         subs = [(lo, np.ascontiguousarray(Q[lo:lo + sub_block].T), qn2_all[lo:lo + sub_block])
                 for lo in range(0, len(qids), sub_block)]
-        acc_q, acc_c, acc_s = [], [], []
+        acc = []
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids_all = rb.column(0)
-            vec_all = rb.column(1)
             for lo in range(0, rb.num_rows, ROW_SLICE):
-                ids = ids_all.slice(lo, ROW_SLICE)
-                lst = vec_all.slice(lo, ROW_SLICE)
-                if lst.null_count:
-                    ok = lst.is_valid()
-                    ids, lst = ids.filter(ok), lst.filter(ok)
-                if len(lst) == 0:
+                part = rb.slice(lo, ROW_SLICE)
+                part = part.filter(part.column(2).is_valid())
+                if part.num_rows == 0:
                     continue
-                M = _dense_from_buckets(lst, dim) if kind == "buckets" else _dense_from_arrays(lst, dim)
+                M = _matrix(part.column(2), kind, dim)
                 cn2 = np.einsum("ij,ij->i", M, M)
-                cid = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+                cid = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                cpos = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 for q0, QT, qn2 in subs:
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        if kind == "buckets":   # integer counts: dot / sqrt(|c|^2 |q|^2) is exact-rounded
-                            S = (M @ QT) / np.sqrt(cn2[:, None] * qn2[None, :])
-                        else:
-                            S = (M @ QT) / (np.sqrt(cn2)[:, None] * np.sqrt(qn2)[None, :])
+                        S = (M @ QT) / np.sqrt(cn2[:, None] * qn2[None, :])
                     S[~np.isfinite(S)] = -np.inf
-                    S[cn2 == 0, :] = -np.inf
                     r, q = _block_candidates(S, k, distinct)
-                    acc_q.append(q.astype(np.int64) + q0)
-                    acc_c.append(cid[r])
-                    acc_s.append(S[r, q])
-            if acc_q and sum(len(a) for a in acc_q) > 8 * k * len(qids):
-                sel = _select_topk(np.concatenate(acc_q), np.concatenate(acc_c), np.concatenate(acc_s), k, distinct)
-                acc_q, acc_c, acc_s = [sel[0]], [sel[1]], [sel[2]]
-        if not acc_q:
+                    exact = np.empty(len(r))
+                    for a in range(0, len(r), 8192):
+                        rr, qq = r[a:a + 8192], q[a:a + 8192]
+                        # one pair at a time in the order of the dimensions, then one rounding of the quotient
+                        exact[a:a + 8192] = np.einsum("ij,ij->i", M[rr], Q[q0 + qq]) / np.sqrt(cn2[rr] * qn2[qq])
+                    acc.append((q.astype(np.int64) + q0, cid[r], cpos[r], exact))
+            if sum(len(x[0]) for x in acc) > 8 * k * len(qids):
+                acc = [_select_topk(*map(np.concatenate, zip(*acc)), k, distinct)]
+        if not acc:
             return
-        qi, cid, sim = _select_topk(np.concatenate(acc_q), np.concatenate(acc_c), np.concatenate(acc_s), k, distinct)
+        qi, cid, cpos, sim = _select_topk(*map(np.concatenate, zip(*acc)), k, distinct)
         if len(qi):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[qi], pa.int64()), pa.array(cid, pa.int64()), pa.array(sim, pa.float64())],
-                schema=pa.schema([("qid", pa.int64(), False), ("cid", pa.int64(), False), ("sim", pa.float64(), False)]))
+                [pa.array(qids[qi], pa.int64()), pa.array(cid, pa.int64()), pa.array(cpos, pa.int32()), pa.array(sim, pa.float64())],
+                schema=pa.schema([("qid", pa.int64(), False), ("cid", pa.int64(), False), ("cpos", pa.int32(), False), ("sim", pa.float64(), False)]))
     return score
 
 
-def _query_matrix(rows, kind: str, dim: int):
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    if kind == "buckets":
-        Q = np.zeros((len(rows), dim), dtype=np.float64)
-        for i, r in enumerate(rows):
-            if r[1]:
-                np.add.at(Q[i], np.asarray(r[1], dtype=np.int64), 1.0)
-    else:
-        Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), dim)
-    qn2 = np.einsum("ij,ij->i", Q, Q)
-    keep = qn2 > 0               # a zero vector has no cosine with anything
-    return qids[keep], Q[keep], qn2[keep]
+def _query_vectors(queries: DataFrame, kind: str, dim: int) -> DataFrame:
+    """(qid, v binary): each query's vector in 8 * dim bytes; zero vectors, which
+    have no cosine with anything, and null ones go."""
+    def run(batches):
+        for rb in batches:
+            rb = rb.filter(rb.column(1).is_valid())
+            Q = _matrix(rb.column(1), kind, dim)
+            keep = np.einsum("ij,ij->i", Q, Q) > 0
+            ids = rb.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array([x.tobytes() for x in Q[keep]], pa.binary())], names=["qid", "v"])
+    return queries.mapInArrow(run, "qid long, v binary")
 
 
 def knn_topk(candidates: DataFrame, queries: DataFrame, *, cand_id: str, cand_vec: str,
-             query_id: str, query_vec: str, k: int = TOP_K, kind: str = "dense",
-             dim: int | None = None, distinct_scores: bool = False,
-             block_rows: int | None = None, sub_block: int = QUERY_SUB_BLOCK) -> DataFrame:
+             query_id: str, query_vec: str, dim: int, cand_pos: str | None = None, k: int = TOP_K, kind: str = "dense",
+             distinct_scores: bool = False, block_rows: int | None = None, sub_block: int = QUERY_SUB_BLOCK) -> DataFrame:
     """Exact cosine top-k of every query over every candidate.
 
-    ``kind="dense"``: vectors are array<float|double> of length ``dim``;
-    ``kind="buckets"``: vectors are array<int> token bucket ids (hashed bag of
-    words of width ``dim``). Ties break on the smaller candidate id. With
-    ``distinct_scores`` a score already taken by a smaller id is skipped, which
+    ``kind="dense"``: vectors are array<float|double> of length ``dim`` (any other
+    length raises); ``kind="buckets"``: vectors are array<int> token bucket ids
+    (hashed bag of words of width ``dim``). A candidate's key is ``cand_id``, or
+    the pair (``cand_id``, ``cand_pos``). Ties break on the smaller key. With
+    ``distinct_scores`` a score already taken by a smaller key is skipped, which
     is the search that skips repeated texts and repeated scores whenever equal
     texts get equal vectors (one embedder for the whole table).
 
     The broadcast block holds at most ``QUERY_BLOCK_BYTES`` of query vectors
     (``block_rows`` overrides); inside a task queries are scored in sub-blocks,
     so task memory stays at ROW_SLICE x QUERY_SUB_BLOCK scores. With more than
-    one block the compact candidate table (id, vector) is checkpointed once
-    and every pass reads it instead of recomputing the vectors.
+    one block the compact candidate table (id, vector) is stored once, and each
+    pass adds its hits to a stored table before the next block is collected.
 
-    Returns (qid, cid, sim, rank) with rank 1..k.
+    Returns (qid, cid, cpos, sim, rank) with rank 1..k; cpos is 0 without ``cand_pos``.
     """
     spark = candidates.sparkSession
-    if dim is None:
-        first = candidates.select(cand_vec).where(F.col(cand_vec).isNotNull()).first()
-        if first is None:
-            return spark.createDataFrame([], HIT_SCHEMA.add("rank", T.IntegerType()))
-        dim = HASH_DIM if kind == "buckets" else len(first[0])
     if block_rows is None:
         block_rows = max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("qv"))
-    cands = candidates.select(F.col(cand_id).cast("long").alias("cid"), F.col(cand_vec).alias("v"))
-    if kind == "dense":
-        cands = cands.where(F.size("v") == dim)
-
-    if row_count_at_most(q, block_rows) is not None:
-        blocks = [q.orderBy("qid").collect()]
-    else:   # more queries than one broadcast block: number them, one pass per block
-        ensure_checkpoint_dir(spark)
-        cands = cands.checkpoint(eager=True)
-        qi = dense_index(q, ["qid"], "_qidx")
-        nq = qi.count()
-        blocks = [qi.where((F.col("_qidx") >= lo) & (F.col("_qidx") < lo + block_rows))
-                    .select("qid", "qv").collect() for lo in range(0, nq, block_rows)]
-
-    parts = []
-    for rows in blocks:
-        qids, Q, qn2 = _query_matrix([(r[0], r[1]) for r in rows], kind, dim)
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, Q, qn2))
-        parts.append(cands.mapInArrow(_make_scorer(bc, kind, dim, k, distinct_scores, sub_block), HIT_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], HIT_SCHEMA.add("rank", T.IntegerType()))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    q = _query_vectors(queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("qv")), kind, dim)
+    pos = F.col(cand_pos).cast("int") if cand_pos else F.lit(0)
+    cands = candidates.select(F.col(cand_id).cast("long").alias("cid"), pos.alias("cpos"), F.col(cand_vec).alias("v"))
+
+    def scored(rows):
+        block = (np.array([r["qid"] for r in rows], np.int64), np.array([np.frombuffer(r["v"]) for r in rows]).reshape(len(rows), dim))
+        bc = spark.sparkContext.broadcast((*block, np.einsum("ij,ij->i", block[1], block[1])))
+        return bc, cands.mapInArrow(_make_scorer(bc, kind, dim, k, distinct_scores, sub_block), HIT_SCHEMA)
+
+    first = q.limit(block_rows + 1).collect()
+    if len(first) <= block_rows:
+        hits = scored(sorted(first))[1]
+    else:
+        path = scratch_path(spark, "knn")
+        cands.write.parquet(f"{path}/candidates")
+        cands = spark.read.parquet(f"{path}/candidates")
+        dense_index(q, ["qid"], "_qidx").withColumn("block", F.floor(F.col("_qidx") / block_rows).cast("int")).write.partitionBy("block").parquet(f"{path}/queries")
+        stored = spark.read.parquet(f"{path}/queries")
+        for b in range(stored.agg(F.max("block")).first()[0] + 1):
+            bc, part = scored(stored.where(F.col("block") == b).select("qid", "v").collect())
+            part.write.mode("append").parquet(f"{path}/hits")
+            bc.destroy()
+        hits = spark.read.schema(HIT_SCHEMA).parquet(f"{path}/hits")
     if distinct_scores:
-        hits = hits.groupBy("qid", "sim").agg(F.min("cid").alias("cid"))
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid"))
+        hits = hits.groupBy("qid", "sim").agg(F.min(F.struct("cid", "cpos")).alias("c")).select("qid", "c.cid", "c.cpos", "sim")
+    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid"), F.col("cpos"))
     return (hits.withColumn("rank", F.row_number().over(w))
                 .where(F.col("rank") <= k)
-                .select("qid", "cid", "sim", "rank"))
+                .select("qid", "cid", "cpos", "sim", "rank"))
 
 
 # ---------------------------------------------------------------------------
@@ -230,17 +212,28 @@ def embed_buckets(df: DataFrame, text_col: str, out_col: str = "buckets", dim: i
     return df.withColumn(out_col, token_buckets(text_col, dim))
 
 
-def embed_with(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list[list[float]]],
+def embed_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]],
                out_col: str = "embedding") -> DataFrame:
-    """Plug-in embedder: an injected batch callable runs in an Arrow-batched
-    pandas UDF; a model object is built once per Python worker by the callable."""
+    """Plug-in embedder: ``factory()`` builds the model once per task, inside the
+    worker, and its batch callable runs over Arrow batches; the model itself never
+    travels with the plan. Null texts are embedded as empty ones."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(texts: pd.Series) -> pd.Series:
-        vecs = embedder(texts.fillna("").tolist())
-        return pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
+    def _embed(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in chunks:
+            yield pd.Series([np.asarray(v, dtype=np.float32) for v in model(texts.fillna("").tolist())], dtype=object)
     return df.withColumn(out_col, _embed(F.col(text_col)))
 
 
+def embed_new(chunks: DataFrame, path: str, key_cols: list[str], embed: Callable[[DataFrame], DataFrame]) -> None:
+    """K6: embed the rows whose key is not stored at ``path`` yet and append them
+    (keys and what ``embed`` adds); rows that are stored are not embedded again."""
+    from ..sinks.files import stored_keys
+    stored = stored_keys(chunks.sparkSession, path, key_cols)
+    new = chunks if stored is None else chunks.join(stored, key_cols, "left_anti")
+    embed(new).write.mode("append").parquet(path)
+
+
 class HashingEmbedder:
     """Deterministic Python embedder: the same hashed bag of words as
     ``embed_buckets`` returned as dense float counts (used as the default
@@ -251,8 +244,8 @@ class HashingEmbedder:
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         import hashlib
-        import regex
-        pat = regex.compile(r"[\p{L}\p{N}]+")
+        import re
+        pat = re.compile(r"[^\W_]+")          # letters and digits
         out = []
         for t in texts:
             v = np.zeros(self.dim, dtype=np.float32)

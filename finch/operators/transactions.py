@@ -5,7 +5,7 @@ groups (a batch holds at most ``BATCH_SIZE`` rows)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.constants import BATCH_INSTRUCTION, BATCH_SIZE, FIELD_SEP, MAX_ATTEMPTS
 from ..functions.transactions import canonical_category, category_is_short, clean_description, row_key
@@ -102,9 +102,9 @@ def first_valid(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS,
     """Rows of the first valid attempt per batch (attempts 1..max_attempts);
     a batch with no valid attempt is dropped, as in the original."""
     ok = checked.where(F.col("valid") & (F.col("attempt") <= max_attempts))
-    # one aggregate per batch (at most max_attempts rows) picks the first valid block
-    chosen = ok.groupBy(*keys).agg(F.min("attempt").alias("attempt"),
-                                   F.min_by("block", "attempt").alias("block"))
+    # the first of a batch's few attempts is cut out before the shuffle (WindowGroupLimit)
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))
+    chosen = ok.select(*keys, "attempt", "block").withColumn("_turn", turn).where("_turn = 1")
     rows = chosen.select(*keys, "attempt", F.posexplode("block").alias("line_no", "line"))
     (d, desc, amt, cat), _ = _split4(F.col("line"))
     return rows.select(*keys, "attempt", "line_no", d.alias("Date"), desc.alias("Description"),
@@ -123,8 +123,10 @@ def rejected_batches(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS, keys=
 
 def join_categories(txn: DataFrame, cats: DataFrame, keys=TXN_COLS, dedupe_right: bool = False) -> DataFrame:
     """Left join of categories on the three row fields; missing keys match
-    each other (null-safe). Duplicate right keys fan out unless
-    ``dedupe_right`` keeps one category per key (the smallest)."""
+    each other (null-safe). As in the original, m equal rows against n equal
+    answers give m x n rows: the result itself grows so. ``dedupe_right`` keeps
+    one category per key (the smallest) and every left row once; use it where
+    rows repeat often."""
     right = cats.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("Category"))
     if dedupe_right:
         right = right.groupBy(*[f"_r_{k}" for k in keys]).agg(F.min("Category").alias("Category"))

@@ -8,30 +8,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-# Key each table is spread by when it arrives in fewer files than tasks.
-SPREAD_KEY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "lineitem": "l_orderkey",
-              "events": "event_id", "customer": "c_custkey", "orders": "o_orderkey", "embeddings": "vec_id"}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
     """Read one parquet table; selecting ``cols`` here keeps the scan's
-    ReadSchema to those columns.
-
-    A table stored as fewer files than the session's shuffle parallelism
-    (one file is often one row group, i.e. one busy task) is hash-spread by
-    its id, so per-row work (regexes, tokenising, scoring) uses every core; the
-    same layout then serves later aggregations on that id. Tables arriving as
-    many files - the normal case at scale - are not shuffled.
-    """
+    ReadSchema to those columns. Tasks follow the files' splits."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if cols:
-        df = df.select(*cols)
-    key = SPREAD_KEY.get(name)
-    if key and key in df.columns:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if len(df.inputFiles()) < n:
-            df = df.repartition(n, key)
-    return df
+    return df.select(*cols) if cols else df
 
 
 def r6(col: str) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pdf_pages, chunk_sentences, clean_pages, \
+from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk_sentences, clean_pages, \
     concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
 from ..sinks.files import append_rows, write_docs_as_text
@@ -39,9 +39,9 @@ def pages_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """C2-C4 PDF path: pages are cleaned, fused and chunked (text files are
-    not cleaned); documents above the page bound are chunked page by page."""
-    return chunk_pdf_pages(scan_doc_pages(spark, d), "doc_id")
+    """C2-C4 PDF path: pages are cleaned, fused and chunked page by page (text
+    files are not cleaned)."""
+    return chunk_pages(scan_doc_pages(spark, d), "doc_id")
 
 
 def chunk_sentences_q(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def chunk_sentences_q(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     """Sequential ids from 0 across all documents."""
-    return dense_chunk_ids(doc_chunks(spark, d), "doc_id").select("doc_id", "pos", "seq_id")
+    return dense_chunk_ids(_docs(spark, d), "doc_id", "text")
 
 
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def quote_block(spark: SparkSession, d: str) -> DataFrame:
 
 def peek_one(spark: SparkSession, d: str) -> DataFrame:
     """The first stored chunk (a limit is the feature here)."""
-    return doc_chunks(spark, d).orderBy("chunk_id").limit(1).select("doc_id", "pos", "text")
+    return doc_chunks(spark, d).orderBy("doc_id", "pos").limit(1).select("doc_id", "pos", "text")
 
 
 def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +86,32 @@ def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_append(spark: SparkSession, d: str) -> DataFrame:
-    """K4: the chunk table written twice; the keyed append skips stored ids."""
+    """K4: the chunk table written twice; the keyed append skips stored chunks."""
     path = scratch_path(spark, "chunks")
     chunks = doc_chunks(spark, d)
-    append_rows(chunks, path, key_col="chunk_id")
-    append_rows(chunks, path, key_col="chunk_id")
+    append_rows(chunks, path, ["doc_id", "pos"])
+    append_rows(chunks, path, ["doc_id", "pos"])
     return spark.read.parquet(path).select("doc_id", "pos", "text")
 
 
+def chunks_append_plain(spark: SparkSession, d: str) -> DataFrame:
+    """K4 without a key: the second write adds every chunk again, as the original."""
+    path = scratch_path(spark, "chunks-plain")
+    for _ in range(2):
+        append_rows(doc_chunks(spark, d), path)
+    return spark.read.parquet(path).select("doc_id", "pos", "text")
+
+
+def scan_text_dir_flat(spark: SparkSession, d: str) -> DataFrame:
+    """One folder of text files, not searched below."""
+    path = scratch_path(spark, "textdir-flat")
+    docs = load(spark, d, "documents", ["lang", "doc_id", "text"]).withColumn("text", F.regexp_replace("text", "\\R", " "))
+    docs.select(F.concat_ws("|", "doc_id", "text").alias("value")).write.text(path)
+    files = read_text_dir(spark, path, recursive=False)
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.substring_index("line", "|", 1).cast("long").alias("doc_id"), F.expr("substring(line, instr(line, '|') + 1)").alias("text"))
+
+
 QUERIES = {
     "doc_clean": doc_clean,
     "doc_clean_cased": doc_clean_cased,
@@ -109,6 +127,8 @@ QUERIES = {
     "peek_one": peek_one,
     "scan_text_dir": scan_text_dir,
     "chunks_append": chunks_append,
+    "chunks_append_plain": chunks_append_plain,
+    "scan_text_dir_flat": scan_text_dir_flat,
 }
 
 # ---------------------------------------------------------------------------
@@ -144,6 +164,8 @@ ORACLE = {
     "peek_one": f"SELECT doc_id, pos, text FROM ({sql_chunks()}) ORDER BY chunk_id LIMIT 1",
     "scan_text_dir": "SELECT doc_id, text FROM documents",
     "chunks_append": f"SELECT doc_id, pos, text FROM ({sql_chunks()})",
+    "chunks_append_plain": f"SELECT doc_id, pos, text FROM ({sql_chunks()}), range(2)",
+    "scan_text_dir_flat": r"SELECT doc_id, regexp_replace(text, '\r\n|[\n\v\f\r\x{85}\x{2028}\x{2029}]', ' ', 'g') AS text FROM documents",
 }
 
 

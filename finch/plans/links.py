@@ -14,11 +14,12 @@ from ..functions.text import remove_phrases
 from ..functions.urls import url_authority, url_file_name
 from ..operators import links as lk
 from ..operators import pages as pg
+from ..operators.ordering import dense_index
 from ..session import scratch_path
-from ..sinks.files import write_text_by_file
+from ..sinks.files import write_ordered, write_text_by_file
 from ..sources.files import read_sitemap
 from .common import load
-from .pages import PY_WS, sql_html_text, sql_line_trim, sql_main_block
+from .pages import PY_WS, sql_line_trim, sql_page_text
 
 WIKI = "https://www.reddit.com/r/personalfinance/wiki/"
 OTHER_WIKI = "https://www.reddit.com/r/investing/wiki/p"
@@ -80,9 +81,9 @@ def write_sitemap(spark: SparkSession, d: str) -> str:
 
 def sitemap(spark, d):
     sm = read_sitemap(spark, write_sitemap(spark, d))
-    # one global position: file number, then position inside the file
+    # position over all files, in (file, place in the file) order
     fno = F.regexp_extract("file", "file_no=(\\d+)", 1).cast("long")
-    return sm.withColumn("pos", fno * URLS_PER_SITEMAP + F.col("pos")).drop("file")
+    return dense_index(sm.withColumn("file", fno), ["file", "pos"], "n").withColumn("pos", F.col("n")).drop("file", "n")
 
 
 def survivors(spark, d):
@@ -152,19 +153,24 @@ def url_counts(spark, d):
 
 def corpus_records(spark, d):
     """K3: one record per kept sitemap URL, in sitemap order: topic, then the
-    lower-cased page text without the fixed phrases, then "###"."""
+    lower-cased page text without the fixed phrases, then "###". A kept URL
+    without a stored page has an empty text. Records are written in order, one
+    Parquet file after another, and read back."""
     kept = lk.keep_topics(lk.with_topic(survivors(spark, d)))
-    text = pg.page_text(load(spark, d, "pages", ["url", "html"])).select("url", "text")
-    j = kept.join(text, kept.loc == text.url)
-    rec = F.concat(F.col("topic"), F.lit("\n"), remove_phrases("text"), F.lit("\n###\n"))
-    return j.select("pos", rec.alias("record"))
+    text = pg.trim_lines(pg.page_text_exact(load(spark, d, "pages", ["url", "html"]), "url"))
+    j = kept.join(text, kept.loc == text.url, "left")
+    rec = F.concat(F.col("topic"), F.lit("\n"), remove_phrases(F.coalesce("text", F.lit(""))), F.lit("\n###\n"))
+    path = scratch_path(spark, "corpus")
+    write_ordered(j.select("pos", rec.alias("record")), path, "pos")
+    return spark.read.parquet(path)
 
 
 def sink_text_by_file(spark, d):
     """K2+K5: trimmed page texts saved under their file names (one per name)."""
-    p = lk.with_file_name(load(spark, d, "pages", ["url", "html"]))
-    keep = lk.file_name_dedup(p.select("file", "url"))
-    texts = pg.trim_lines(pg.page_text(p.join(keep, ["file", "url"])))
+    p = lk.with_file_name(load(spark, d, "pages", ["url"]))
+    keep = lk.file_name_dedup(p)
+    html = load(spark, d, "pages", ["url", "html"]).join(keep, "url", "left_semi")
+    texts = pg.trim_lines(pg.page_text_exact(html, "url").join(keep, "url"))
     path = scratch_path(spark, "by-file")
     write_text_by_file(texts, path)
     return spark.read.parquet(path).select("file", "text")
@@ -235,7 +241,6 @@ kept AS (SELECT * FROM topics WHERE NOT contains(topic, 'hindi')
 
 _FILE = f"string_split(url, '/')[-1]"
 _FILE_NAME = f"regexp_replace({_FILE}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.txt'"
-_TAG, _BLOCK = sql_main_block()
 _PHRASES = ("replace(replace(replace(lower({t}), 'key takeaways from this chapter', ''), "
             "'we recommend reading this chapter on varsity to learn more and understand the concepts in-depth.', ''), "
             "'varsity', '')")
@@ -255,11 +260,10 @@ ORACLE = {
                            f"(SELECT url FROM closure UNION SELECT loc FROM nopct)"),
     "url_counts": (f"WITH RECURSIVE {_CLOSURE}, {_SITEMAP} SELECT (SELECT count(DISTINCT url) FROM closure) AS n_wiki_links, "
                    f"(SELECT count(*) FROM nopct) AS n_sitemap_urls"),
-    "corpus_records": (f"WITH {_SITEMAP}, pt AS (SELECT url, {sql_html_text(_BLOCK)} AS text FROM pages) "
-                       f"SELECT k.pos, k.topic || chr(10) || {_PHRASES.format(t='pt.text')} || chr(10) || '###' || chr(10) AS record "
-                       f"FROM kept k JOIN pt ON k.loc = pt.url"),
-    "sink_text_by_file": (f"WITH f AS (SELECT {_FILE_NAME} AS file, url, html FROM pages), "
-                          f"k AS (SELECT file, max(url) AS url FROM f GROUP BY file) "
-                          f"SELECT f.file, {sql_line_trim(sql_html_text(_BLOCK.replace('html', 'f.html')))} AS text "
-                          f"FROM f JOIN k ON f.file = k.file AND f.url = k.url"),
+    "corpus_records": (f"WITH {_SITEMAP}, pt AS (SELECT url, {sql_line_trim('text')} AS text FROM (SELECT url, {sql_page_text()} AS text FROM pages)) "
+                       f"SELECT k.pos, k.topic || chr(10) || {_PHRASES.format(t="coalesce(pt.text, '')")} || chr(10) || '###' || chr(10) AS record "
+                       f"FROM kept k LEFT JOIN pt ON k.loc = pt.url"),
+    "sink_text_by_file": (f"WITH k AS (SELECT {_FILE_NAME} AS file, max(url) AS url FROM pages GROUP BY 1), "
+                          f"t AS (SELECT k.file, {sql_page_text('pages.html')} AS text FROM k JOIN pages ON pages.url = k.url) "
+                          f"SELECT file, {sql_line_trim('text')} AS text FROM t"),
 }

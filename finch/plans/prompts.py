@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.constants import (EMPLOYMENT_VALUES, HORIZON_VALUES, MISSING_FIELD, PERSONA_NOTEBOOK, PROMPT_NO_HITS,
-                                   PROMPT_NON_RAG, PROMPT_RAG, PROMPT_RAG_NOTEBOOK, RISK_VALUES)
+from ..functions.constants import (EMPLOYMENT_VALUES, HORIZON_VALUES, MISSING_FIELD, PROMPT_LOCAL_NOTEBOOK,
+                                   PROMPT_NO_HITS, PROMPT_NON_RAG, PROMPT_NON_RAG_NOTEBOOK, PROMPT_RAG,
+                                   PROMPT_RAG_NOTEBOOK, RISK_VALUES)
 from ..operators import evaluate as ev
 from ..operators import prompts as pr
 from ..operators.ordering import broadcast_if_small, dense_index
@@ -78,12 +79,31 @@ def prompt_fallback(spark, d):
     return a.select("profile_id", "item_id", prompt.alias("prompt"))
 
 
+def _with_context(spark, d):
+    return asks(spark, d).join(contexts(spark, d), "item_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
 def prompt_notebook(spark, d):
-    """The notebook frame (no location; life event absent -> N/A)."""
-    a = asks(spark, d).join(contexts(spark, d), "item_id", "left") \
-                      .withColumn("context", F.coalesce("context", F.lit("")))
-    return a.select("profile_id", "item_id",
-                    pr.render(PROMPT_RAG_NOTEBOOK, PERSONA_NOTEBOOK, columns=a.columns).alias("prompt"))
+    """The notebook's retrieval frame (no location; life event absent -> N/A)."""
+    a = _with_context(spark, d)
+    return a.select("profile_id", "item_id", pr.render(PROMPT_RAG_NOTEBOOK, columns=a.columns).alias("prompt"))
+
+
+def prompt_notebook_non_rag(spark, d):
+    """The notebook's frame without retrieval (three examples)."""
+    a = asks(spark, d)
+    return a.select("profile_id", "item_id", pr.render(PROMPT_NON_RAG_NOTEBOOK, columns=a.columns).alias("prompt"))
+
+
+def prompt_notebook_local(spark, d):
+    """The notebook's frame for a local model (no life events)."""
+    return _with_context(spark, d).select("profile_id", "item_id", pr.render(PROMPT_LOCAL_NOTEBOOK).alias("prompt"))
+
+
+def answer_lines(spark, d):
+    """A local model's answers, split into lines."""
+    answers = pr.generate(prompt_notebook_local(spark, d), ["profile_id", "item_id"], "prompt", pr.StubGenerator())
+    return answers.select("profile_id", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
 
 
 def prompt_non_rag(spark, d):
@@ -121,7 +141,8 @@ def eval_scores(spark, d):
 
 
 def eval_text_scores(spark, d):
-    """P8 on answer texts with the hashed embedder, as sparse equi-joins."""
+    """P8 on answer texts with the hashed embedder, as sparse equi-joins. Every
+    case stays; a missing or empty answer has no score."""
     conv = load(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     cases = conv.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("q_turn"))
     sv = ev.sparse_vectors(conv, ["conv_id", "turn"], "text")
@@ -133,8 +154,8 @@ def eval_text_scores(spark, d):
     t, r, n = side(1), side(3), side(2)
     rag = ev.sparse_cosine(t, r, keys).withColumnRenamed("sim", "rag_score")
     non = ev.sparse_cosine(t, n, keys).withColumnRenamed("sim", "non_rag_score")
-    return rag.join(non, keys).select(*keys, F.round("rag_score", 6).alias("rag_score"),
-                                      F.round("non_rag_score", 6).alias("non_rag_score"))
+    return cases.join(rag, keys, "left").join(non, keys, "left").select(
+        *keys, F.round("rag_score", 6).alias("rag_score"), F.round("non_rag_score", 6).alias("non_rag_score"))
 
 
 def generate_answers(spark, d):
@@ -147,6 +168,9 @@ QUERIES = {
     "prompt_rag": prompt_rag,
     "prompt_fallback": prompt_fallback,
     "prompt_notebook": prompt_notebook,
+    "prompt_notebook_non_rag": prompt_notebook_non_rag,
+    "prompt_notebook_local": prompt_notebook_local,
+    "answer_lines": answer_lines,
     "prompt_non_rag": prompt_non_rag,
     "profile_validate": profile_validate,
     "eval_scores": eval_scores,
@@ -238,6 +262,16 @@ def _sparse_cos(x, y):
              ON a.conv_id = b.conv_id AND a.q_turn = b.q_turn AND a.b = b.b GROUP BY ALL) d USING (conv_id, q_turn))"""
 
 
+_ASKED = "(SELECT a.*, coalesce(ctx.context, '') AS context FROM asks a LEFT JOIN ctx USING (item_id))"
+
+
+def _answer(prompt):
+    """What the stub model says: the first line that asks, and the prompt's length."""
+    line = r"trim(regexp_extract(prompt, '(?m)^[ \t]*(Your Question:[^\n]*)', 1))"
+    said = f"'Here is some advice.' || chr(10) || chr(10) || {line} || chr(10) || chr(10) || 'Answer length ' || length(prompt) || '.'"
+    return said.replace("prompt", f"({prompt})")
+
+
 ORACLE = {
     "context_build": f"WITH {_PROFILES} SELECT item_id, context, CAST(length(context) AS INTEGER) AS n_chars FROM ctx",
     "prompt_rag": (f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_RAG)} AS prompt FROM "
@@ -245,9 +279,14 @@ ORACLE = {
     "prompt_fallback": (f"WITH {_PROFILES} SELECT profile_id, item_id, CASE WHEN context IS NULL THEN "
                         f"{_render(PROMPT_NO_HITS)} ELSE {_render(PROMPT_RAG)} END AS prompt FROM "
                         f"(SELECT a.*, ctx.context FROM asks a LEFT JOIN ctx USING (item_id))"),
-    "prompt_notebook": (f"WITH {_PROFILES} SELECT profile_id, item_id, "
-                        f"{_render(PROMPT_RAG_NOTEBOOK, PERSONA_NOTEBOOK, ('life_event',))} AS prompt FROM "
-                        f"(SELECT a.*, coalesce(ctx.context, '') AS context FROM asks a LEFT JOIN ctx USING (item_id))"),
+    "prompt_notebook": (f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_RAG_NOTEBOOK, absent=('life_event',))} AS prompt FROM {_ASKED}"),
+    "prompt_notebook_non_rag": (f"WITH {_PROFILES} SELECT profile_id, item_id, "
+                                f"{_render(PROMPT_NON_RAG_NOTEBOOK, absent=('life_event',))} AS prompt FROM asks"),
+    "prompt_notebook_local": f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_LOCAL_NOTEBOOK)} AS prompt FROM {_ASKED}",
+    "answer_lines": (f"WITH {_PROFILES}, a AS (SELECT profile_id, {_answer(_render(PROMPT_LOCAL_NOTEBOOK))} AS response FROM {_ASKED}) "
+                     f"SELECT profile_id, CAST(n - 1 AS INTEGER) AS line_no, line FROM (SELECT profile_id, unnest(l) AS line, "
+                     f"generate_subscripts(l, 1) AS n FROM (SELECT profile_id, string_split(response, chr(10)) AS l FROM a))"),
+    "generate_answers": (f"WITH {_PROFILES} SELECT profile_id, item_id, CAST(1 AS INTEGER) AS attempt, {_answer(_render(PROMPT_RAG))} AS response FROM {_ASKED}"),
     "prompt_non_rag": f"WITH {_PROFILES} SELECT profile_id, item_id, {_render(PROMPT_NON_RAG)} AS prompt FROM asks",
     "profile_validate": (f"WITH {_PROFILES}, {_RAW} SELECT profile_id, TRY_CAST(age AS INTEGER) AS age, "
                          f"TRY_CAST(income AS INTEGER) AS income, {_reason()} = '' AS valid, {_reason()} AS reason FROM raw"),
@@ -259,7 +298,7 @@ SELECT case_id,
   round(list_inner_product(t, r) / sqrt(list_inner_product(t, t) * list_inner_product(r, r)), 6) AS rag_score,
   round(list_inner_product(t, n) / sqrt(list_inner_product(t, t) * list_inner_product(n, n)), 6) AS non_rag_score
 FROM g WHERE t IS NOT NULL AND r IS NOT NULL AND n IS NOT NULL""",
-    "eval_text_scores": (f"WITH {_SPARSE_CONV} SELECT r.conv_id, r.q_turn, round(r.sim, 6) AS rag_score, "
-                         f"round(n.sim, 6) AS non_rag_score FROM {_sparse_cos('side_t', 'side_r')} r "
-                         f"JOIN {_sparse_cos('side_t', 'side_n')} n USING (conv_id, q_turn)"),
+    "eval_text_scores": (f"WITH {_SPARSE_CONV} SELECT cases.conv_id, cases.q_turn, round(r.sim, 6) AS rag_score, "
+                         f"round(n.sim, 6) AS non_rag_score FROM cases LEFT JOIN {_sparse_cos('side_t', 'side_r')} r USING (conv_id, q_turn) "
+                         f"LEFT JOIN {_sparse_cos('side_t', 'side_n')} n USING (conv_id, q_turn)"),
 }

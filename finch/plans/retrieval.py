@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import HASH_DIM, cosine, dense_to_sparse_string, sparse_string
-from ..operators.chunks import POS_BITS, chunk_sentences
-from ..functions.constants import TOP_K
-from ..operators.ordering import MAX_BROADCAST_ROWS, broadcast_if_small, row_count_at_most
-from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_with, knn_topk, search_report
+from ..operators.chunks import chunk_sentences
+from ..operators.ordering import broadcast_if_small
+from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_new, embed_with, knn_topk, search_report
+from ..session import scratch_path
 from .common import load, r6, sql_chunks, sql_sparse, sql_topk_buckets
 
-POS_MASK = (1 << POS_BITS) - 1
+EMBEDDING_DIM = 64              # width of the stored vectors
 
 
 # ---------------------------------------------------------------------------
@@ -24,31 +24,31 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk_sentences(load(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table, written to the shared folder and read back, so that its
+    several uses do not compute it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def label_centroids(emb: DataFrame) -> DataFrame:
-    """Mean vector per label -> (label, centroid array<double>). Partial
-    aggregation per (label, dim) runs map-side, so a hot label costs no more
-    than a cold one; a final group holds one value per dimension."""
-    per_dim = (emb.select("label", F.posexplode("embedding").alias("i", "x"))
-                  .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return per_dim.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    """Mean vector per label -> (label, centroid array<double>): one average per
+    dimension in one map-side aggregate, so a hot label costs no more than a cold one."""
+    means = [F.avg(F.col("embedding")[i].cast("double")) for i in range(EMBEDDING_DIM)]
+    return stored(emb.groupBy("label").agg(F.array(*means).alias("centroid")), "centroids")
 
 
 def rag_hits(spark: SparkSession, d: str, distinct: bool = False) -> DataFrame:
-    """Top-5 chunks per benchmark question with the hashed embedder; text is
-    joined back only for the hits. The hit table has at most questions x k
-    rows; it is broadcast when that bound is small, else the join shuffles."""
-    chunks = doc_chunks(spark, d)
+    """Top-5 chunks per benchmark question with the hashed embedder. Hits are
+    stored; only the documents they name are split again for their texts."""
     qs = load(spark, d, "benchmark", ["item_id", "text"])
-    hits = knn_topk(embed_buckets(chunks, "text"), embed_buckets(qs, "text"),
-                    cand_id="chunk_id", cand_vec="buckets", query_id="item_id", query_vec="buckets",
-                    kind="buckets", dim=HASH_DIM, distinct_scores=distinct)
-    small = row_count_at_most(qs, MAX_BROADCAST_ROWS // TOP_K) is not None
-    return ((F.broadcast(hits) if small else hits).join(chunks.select("chunk_id", "text"), hits.cid == chunks.chunk_id)
-             .select(F.col("qid").alias("item_id"),
-                     F.shiftright("cid", POS_BITS).alias("doc_id"),
-                     (F.col("cid").bitwiseAND(F.lit(POS_MASK))).cast("int").alias("pos"),
-                     "rank", "sim", "text"))
+    hits = stored(knn_topk(embed_buckets(doc_chunks(spark, d), "text"), embed_buckets(qs, "text"),
+                           cand_id="doc_id", cand_pos="pos", cand_vec="buckets", query_id="item_id", query_vec="buckets",
+                           kind="buckets", dim=HASH_DIM, distinct_scores=distinct), "hits")
+    hits = hits.select(F.col("qid").alias("item_id"), F.col("cid").alias("doc_id"), F.col("cpos").alias("pos"), "rank", "sim")
+    docs = load(spark, d, "documents", ["doc_id", "text"]).join(broadcast_if_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return hits.join(chunk_sentences(docs, "doc_id", "text"), ["doc_id", "pos"]).select("item_id", "doc_id", "pos", "rank", "sim", "text")
 
 
 # ---------------------------------------------------------------------------
@@ -59,7 +59,7 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     """V2-V4: each label's centroid is a question over every stored vector."""
     emb = load(spark, d, "embeddings", ["vec_id", "embedding", "label"])
     hits = knn_topk(emb, label_centroids(emb), cand_id="vec_id", cand_vec="embedding",
-                    query_id="label", query_vec="centroid", kind="dense")
+                    query_id="label", query_vec="centroid", kind="dense", dim=EMBEDDING_DIM)
     return hits.select(F.col("qid").alias("label"), F.col("cid").alias("vec_id"), "rank", r6("sim"))
 
 
@@ -94,27 +94,29 @@ def embed_text(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_text_udf(spark: SparkSession, d: str) -> DataFrame:
     """V1 through the plug-in path: the Python embedder in an Arrow pandas UDF."""
-    ch = embed_with(doc_chunks(spark, d), "text", HashingEmbedder(HASH_DIM))
+    ch = embed_with(doc_chunks(spark, d), "text", HashingEmbedder)
     return ch.select("doc_id", "pos", dense_to_sparse_string("embedding").alias("vec"))
 
 
 def embed_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """K6: embed only chunks whose id is not stored yet and append them; the
-    second run finds every id stored and adds nothing."""
-    from ..session import scratch_path
-    from ..sinks.files import append_rows
+    """K6: embed only chunks that are not stored yet and append them; the second
+    run finds every chunk stored and adds nothing."""
     path = scratch_path(spark, "embedded")
     for _ in range(2):
-        ch = doc_chunks(spark, d)
-        try:
-            stored = spark.read.parquet(path).select("chunk_id")
-            ch = ch.join(stored, "chunk_id", "left_anti")
-        except Exception as e:  # noqa: BLE001 - first run: nothing stored
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-                raise
-        append_rows(embed_buckets(ch, "text").select("chunk_id", "doc_id", "pos", "buckets"), path)
-    t = spark.read.parquet(path)
-    return t.select("doc_id", "pos", sparse_string("buckets").alias("vec"))
+        embed_new(doc_chunks(spark, d), path, ["doc_id", "pos"], lambda c: embed_buckets(c, "text").select("doc_id", "pos", "buckets"))
+    return spark.read.parquet(path).select("doc_id", "pos", sparse_string("buckets").alias("vec"))
+
+
+def plugin_topk_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """V1-V5 end to end with a plug-in: turns are embedded by the model, stored,
+    searched as dense vectors, and repeated texts and scores are skipped."""
+    path = scratch_path(spark, "plugin-vectors")
+    conv = load(spark, d, "conversations", ["conv_id", "turn", "text"])
+    embed_new(conv, path, ["conv_id", "turn"], lambda c: embed_with(c, "text", HashingEmbedder).select("conv_id", "turn", "embedding"))
+    qs = embed_with(load(spark, d, "benchmark", ["item_id", "text"]), "text", HashingEmbedder)
+    hits = knn_topk(spark.read.parquet(path), qs, cand_id="conv_id", cand_pos="turn", cand_vec="embedding", query_id="item_id",
+                    query_vec="embedding", kind="dense", dim=HASH_DIM, distinct_scores=True)
+    return hits.select(F.col("qid").alias("item_id"), F.col("cid").alias("conv_id"), F.col("cpos").cast("long").alias("turn"), "rank", F.round("sim", 6).alias("sim"))
 
 
 QUERIES = {
@@ -126,6 +128,7 @@ QUERIES = {
     "vector_cosine": vector_cosine,
     "embed_text": embed_text,
     "embed_text_udf": embed_text_udf,
+    "plugin_topk_dedup": plugin_topk_dedup,
 }
 
 # ---------------------------------------------------------------------------
@@ -192,4 +195,10 @@ ORACLE = {
     "embed_text": _SQL_EMBED,
     "embed_text_udf": f"SELECT doc_id, pos, vec FROM ({_SQL_EMBED})",
     "embed_incremental": f"SELECT doc_id, pos, vec FROM ({_SQL_EMBED})",
+    "plugin_topk_dedup": f"""
+WITH turns AS (SELECT conv_id * 1000000 + turn AS key, text FROM conversations),
+cv AS ({sql_sparse('turns', 'key', 'text')}),
+qv AS ({sql_sparse('benchmark', 'item_id', 'text')}),
+hits AS ({sql_topk_buckets('cv', 'qv', 5, True)})
+SELECT qid AS item_id, cid // 1000000 AS conv_id, cid % 1000000 AS turn, rank, round(sim, 6) AS sim FROM hits""",
 }

@@ -68,9 +68,9 @@ def cleaned(spark, d):
     return tr.clean_descriptions(transactions(spark, d))
 
 
-def batched(spark, d):
+def batched(spark, d, drop_last=False):
     rows = tr.key_strings(tr.clean_descriptions(transactions(spark, d, numbered=True)))
-    return tr.assign_batches(rows, ORDER, drop_last=True, index_col="idx")
+    return tr.assign_batches(rows, ORDER, drop_last=drop_last, index_col="idx")
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +121,11 @@ def txn_batches(spark, d):
     return batched(spark, d).select("idx", "batch_id", "line")
 
 
+def txn_batches_drop_last(spark, d):
+    """T5 as one notebook's loop has it: the last batch is never sent."""
+    return batched(spark, d, drop_last=True).select("idx", "batch_id", "line")
+
+
 def txn_batch_prompts(spark, d):
     return tr.batch_prompts(batched(spark, d))
 
@@ -160,9 +165,10 @@ def resp_rejected(spark, d):
 
 def txn_union(spark, d):
     """Batch results appended; both parse paths, tagged."""
-    nb = first_valid_rows(spark, d).select(F.lit("notebook").alias("path"), "batch_id", "attempt", "line_no",
+    answers = responses(spark, d)          # numbered once, used by both paths
+    nb = tr.first_valid(tr.batch_valid(tr.response_block(answers))).select(F.lit("notebook").alias("path"), "batch_id", "attempt", "line_no",
                                            "Date", "Description", "Amount", "Category")
-    src = tr.validate_categories(tr.parse_response_lines(responses(spark, d))).select(
+    src = tr.validate_categories(tr.parse_response_lines(answers)).select(
         F.lit("module").alias("path"), "batch_id", "attempt", "line_no",
         F.col("date").alias("Date"), F.col("description").alias("Description"),
         F.col("amount").alias("Amount"), F.col("category").alias("Category"))
@@ -212,12 +218,18 @@ def txn_category_share(spark, d):
 
 
 def scan_csv(spark, d):
-    """Transactions written as CSV with a header, read back with a schema."""
+    """Transactions as a card export has them (another column order, a
+    further column, quotes and line breaks), read back by header."""
     path = scratch_path(spark, "txn-csv")
-    write_csv(transactions(spark, d).select("Date", "Description", "Amount"), path)
+    write_csv(csv_export(transactions(spark, d)).select("Amount", "Card Member", "Description", "Date"), path)
     return read_transactions_csv(spark, path)
 
 
+def csv_export(txn: DataFrame) -> DataFrame:
+    noisy = F.when(F.pmod("l_orderkey", F.lit(5)) == 0, F.concat(F.lit('say "hi", '), "Description", F.lit("\nsecond line"))).otherwise(F.col("Description"))
+    return txn.select("Date", noisy.alias("Description"), "Amount", F.concat(F.lit("Holder "), F.pmod("l_orderkey", F.lit(7)).cast("string")).alias("Card Member"))
+
+
 def sink_csv_roundtrip(spark, d):
     """K1: categorised transactions to CSV and back."""
     path = scratch_path(spark, "categorized-csv")
@@ -231,6 +243,7 @@ QUERIES = {
     "txn_clean_description": txn_clean_description,
     "txn_key_string": txn_key_string,
     "txn_batches": txn_batches,
+    "txn_batches_drop_last": txn_batches_drop_last,
     "txn_batch_prompts": txn_batch_prompts,
     "txn_batch_prompts_src": txn_batch_prompts_src,
     "resp_parse_lines": resp_parse_lines,
@@ -285,8 +298,7 @@ clean AS (
   FROM txn),
 keyed AS (SELECT *, concat_ws(' - ', coalesce(Date, 'nan'), coalesce(Description, 'nan'), coalesce(Amount, 'nan')) AS line FROM clean),
 numbered AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS idx FROM keyed),
-batched0 AS (SELECT *, CAST(floor(idx / 10) AS BIGINT) AS batch_id FROM numbered),
-batched AS (SELECT * FROM batched0 WHERE batch_id < (SELECT max(batch_id) FROM batched0))"""
+batched AS (SELECT *, CAST(floor(idx / 10) AS BIGINT) AS batch_id FROM numbered)"""
 
 _RESP = f"""{_TXN},
 rl AS (SELECT batch_id, idx, concat_ws(' - ', line, {_list(RESP_CATEGORIES)}[idx % {len(RESP_CATEGORIES)} + 1]) AS rl FROM batched),
@@ -350,6 +362,7 @@ ORACLE = {
     "txn_clean_description": f"WITH {_TXN} SELECT l_orderkey, l_linenumber, raw, Description FROM clean",
     "txn_key_string": f"WITH {_TXN} SELECT l_orderkey, l_linenumber, line FROM keyed",
     "txn_batches": f"WITH {_TXN} SELECT idx, batch_id, line FROM batched",
+    "txn_batches_drop_last": f"WITH {_TXN} SELECT idx, batch_id, line FROM batched WHERE batch_id < (SELECT max(batch_id) FROM batched)",
     "txn_batch_prompts": (f"WITH {_TXN} SELECT batch_id, {_lit(BATCH_INSTRUCTION)} || string_agg(line, ',' ORDER BY idx) "
                           f"AS prompt FROM batched GROUP BY batch_id"),
     "txn_batch_prompts_src": (f"WITH {_TXN} SELECT batch_id, {_lit(BATCH_INSTRUCTION_SRC)} || "
@@ -379,6 +392,7 @@ ORACLE = {
     "txn_per_category": f"WITH {_EVENTS} SELECT Category, count(*) AS Count FROM canon GROUP BY Category",
     "txn_category_share": (f"WITH {_EVENTS}, c AS (SELECT Category, count(*) AS Count FROM canon GROUP BY Category) "
                            f"SELECT Category, Count, round(100.0 * Count / sum(Count) OVER (), 6) AS Percent FROM c"),
-    "scan_csv": f"WITH {_TXN} SELECT Date, Description, Amount FROM txn",
+    "scan_csv": (f"WITH {_TXN} SELECT Date, CASE WHEN l_orderkey % 5 = 0 THEN 'say \"hi\", ' || Description || chr(10) || 'second line' "
+                 f"ELSE Description END AS Description, Amount, 'Holder ' || CAST(l_orderkey % 7 AS VARCHAR) AS \"Card Member\" FROM txn"),
     "sink_csv_roundtrip": f"WITH {_RESP} SELECT Date, Description, Amount, Category FROM fv",
 }

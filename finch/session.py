@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,11 +48,14 @@ def get_session(master: str | None = None, app: str = "finch",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a folder under the system
-    temp dir is set; on a cluster the setting always comes from the cluster.
+    A session that names none gets a folder under the system temp dir only if
+    its master is local (tests); on a cluster the setting has to be there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", master):
+            raise ValueError(f"spark.checkpoint.dir is not set and the master is {master}: name a folder that all executors share")
         root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "finch-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

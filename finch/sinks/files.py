@@ -7,33 +7,53 @@ from pyspark.sql import DataFrame, functions as F
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header row and no index column; values are written as they
-    are (Spark's writer would otherwise trim surrounding spaces)."""
-    (df.write.mode("overwrite").option("header", True)
+    are (Spark's writer would otherwise trim surrounding spaces), quotes doubled."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
 
 
 def write_docs_as_text(df: DataFrame, path: str, key_cols: list[str], text_col: str = "text") -> None:
-    """One text file per key (a folder per key value), e.g. one per document."""
+    """One text file per key (a folder per key value), for readers that want
+    files; tables of many documents belong in ``write_text_by_file``."""
     df.select(*key_cols, text_col).write.mode("overwrite").partitionBy(*key_cols).text(path)
 
 
 def write_text_by_file(df: DataFrame, path: str, file_col: str = "file", text_col: str = "text") -> None:
-    """Page texts keyed by file name; a later write of the same name wins, so
-    callers pass one row per file (see operators.links.file_name_dedup)."""
-    df.select(file_col, text_col).write.mode("overwrite").partitionBy(file_col).parquet(path)
+    """Texts keyed by file name, as a Parquet table (not a folder for each). A
+    later write of the same name wins, so callers pass one row per file (see
+    operators.links.file_name_dedup)."""
+    df.select(file_col, text_col).write.mode("overwrite").parquet(path)
 
 
-def append_rows(df: DataFrame, path: str, key_col: str | None = None) -> None:
-    """Append rows to a parquet table. With ``key_col`` rows whose key is
+def text_file_name(col) -> F.Column:
+    """The text file that a document file's text is saved under: ``.pdf`` at the
+    end becomes ``.txt``, any other name gets ``.txt`` added."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.concat(F.regexp_replace(c, r"\.pdf$", ""), F.lit(".txt"))
+
+
+def write_ordered(df: DataFrame, path: str, order_col: str) -> None:
+    """Rows in ``order_col`` order: ranges of it in successive files, sorted within."""
+    df.repartitionByRange(order_col).sortWithinPartitions(order_col).write.mode("overwrite").parquet(path)
+
+
+def append_rows(df: DataFrame, path: str, key_cols: list[str] | None = None) -> None:
+    """Append rows to a parquet table. With ``key_cols`` rows whose key is
     already stored are skipped (left anti-join against the stored keys), so a
     rerun adds nothing; without it a rerun duplicates rows, as the original."""
-    spark = df.sparkSession
-    if key_col is not None:
-        try:
-            stored = spark.read.parquet(path).select(key_col)
-            df = df.join(stored, key_col, "left_anti")
-        except Exception as e:  # noqa: BLE001 - first write: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-                raise
+    if key_cols:
+        stored = stored_keys(df.sparkSession, path, key_cols)
+        if stored is not None:
+            df = df.join(stored, key_cols, "left_anti")
     df.write.mode("append").parquet(path)
+
+
+def stored_keys(spark, path: str, key_cols: list[str]) -> DataFrame | None:
+    """The keys of a stored table; None before the first write."""
+    try:
+        return spark.read.parquet(path).select(*key_cols)
+    except Exception as e:  # noqa: BLE001 - first write: nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        return None

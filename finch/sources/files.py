@@ -26,10 +26,23 @@ def read_text_dir(spark: SparkSession, path: str, recursive: bool = True, glob:
                  .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
-def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA) -> DataFrame:
-    """Transactions CSV with a header row; explicit schema (Amount kept as text
-    so it prints exactly as stored)."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
+def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA,
+                          multi_line: bool = True) -> DataFrame:
+    """Transactions CSV, columns found by their header names: first those of
+    ``schema`` (cast to its types; Amount is text, so it prints as stored), then
+    any others as text, in file order. A column that the header lacks raises.
+
+    Fields are quoted as in RFC 4180 (a quote inside is doubled, line breaks
+    allowed). ``multi_line=False`` lets Spark split large files, for sources
+    whose fields hold no line breaks.
+    """
+    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+                .option("multiLine", multi_line).csv(path))
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"CSV without column(s) {', '.join(missing)}: {', '.join(raw.columns)}")
+    named = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
+    return raw.select(*named, *[F.col(f"`{c}`") for c in raw.columns if c not in schema.names])
 
 
 def read_sitemap(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:

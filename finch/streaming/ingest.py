@@ -9,6 +9,8 @@ and stops, which suits a scheduled indexing job.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,7 +24,9 @@ def ingest_text_stream(spark: SparkSession, source: str, sink: str, *, doc_id_pa
     """Start (and by default finish) the ingest stream.
 
     ``doc_id_pattern``: a regex with one group that turns the file path into a
-    numeric document id; without it the path is the document key.
+    numeric document id; without it the path is the document key. The default
+    checkpoint folder is named by a digest of source and sink, so that a new
+    process goes on where the last one stopped.
     """
     stream = (spark.readStream.option("pathGlobFilter", glob)
                    .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -33,7 +37,7 @@ def ingest_text_stream(spark: SparkSession, source: str, sink: str, *, doc_id_pa
     else:
         docs = docs.withColumnRenamed("path", "doc")
     chunks = chunk_sentences(docs.select("doc", "text"), "doc", "text", clean=clean)
-    ckpt = checkpoint or f"{checkpoint_root(spark)}/finch-streams/{abs(hash((source, sink)))}"
+    ckpt = checkpoint or f"{checkpoint_root(spark)}/finch-streams/{hashlib.sha256(f'{source}\n{sink}'.encode()).hexdigest()[:32]}"
     q = (chunks.writeStream.format("parquet").outputMode("append")
                .option("path", sink).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())

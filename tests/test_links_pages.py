@@ -44,9 +44,21 @@ HTML = """<html><body><nav>menu</nav><main><h1> Title </h1><script>x=1</script>
 
 
 def test_exact_extraction():
-    assert pg.extract_main_text(HTML) == "Title one\ntwo\nthree four"
-    assert pg.extract_main_text("<body><main></main><article><p>a</p></article></body>") == "a"
-    assert pg.extract_main_text("<body><p>x</p><script>s</script></body>") == "x"
+    text = lambda html: pg.main_node(html)[2]
+    assert text(HTML) == "Title one\ntwo\nthree four"
+    assert text("<body><p>x</p><script>s</script></body>") == "x"
+    assert pg.main_node("<body><main></main><article><p>a</p></article></body>") == ("main", "", "")       # an empty node counts
+    assert pg.main_node('<div role="main"><div>a b c</div><p>kept</p></div>')[1:] == ("<div>a b c</div><p>kept</p>", "a b c kept")
+    assert pg.main_node("<article>own<article><p>in</p></article><p>tail</p></article>x")[2] == "in tail"
+    assert text("<article><h1>Title here</h1><p>one two</p><p>three four</p></article>") == "Title here one two three four"
+    assert text("<article><p>a &lt;b&gt;\n c<br>d<!-- no --></p><style>s</style><div><script>s</script>e</div></article>") == "a <b>\n c\nd e"
+    assert text("<article><p>a</b></p></i>t<p>b") == "a b"
+    assert pg.main_node(None) == pg.main_node("") == pg.main_node("plain") == (None, None, "")
+
+
+def test_deep_pages_do_not_end_the_task():
+    assert pg.main_node("<body>" + "<p>x" * 100_000)[2] == "\n".join("x" * 100_000)
+    assert pg.main_node("<article>" + "<i>" * 50_000 + "</b>" * 50_000)[2] == ""
 
 
 def test_main_block_and_native_text(spark):
@@ -94,3 +106,25 @@ def test_text_dir_flat_and_recursive(spark):
     write_docs_as_text(docs, root, ["lang", "doc_id"])
     assert read_text_dir(spark, root).count() == 2                             # recursive, *.txt only
     assert read_text_dir(spark, f"{root}/lang=en/doc_id=1", recursive=False).count() == 1
+
+
+def test_crawl_has_no_depth_limit(spark):
+    import inspect
+    assert inspect.signature(lk.crawl).parameters["max_rounds"].default is None
+    chain = spark.createDataFrame([("index" if i == 0 else f"p{i}", f"p{i + 1}", f"u{i}") for i in range(24)], "src string, target string, url string")
+    assert lk.crawl(chain).count() == 24 and lk.crawl(chain, max_rounds=5).count() == 5
+
+
+def test_text_file_names(spark):
+    from finch.sinks.files import text_file_name
+    got = [r[0] for r in spark.createDataFrame([("a.pdf",), ("b.PDF",), ("c.pdf.x",)], "f string").select(text_file_name("f")).collect()]
+    assert got == ["a.txt", "b.PDF.txt", "c.pdf.x.txt"]
+
+
+def test_ordered_write(spark):
+    from finch.session import scratch_path
+    from finch.sinks.files import write_ordered
+    path = scratch_path(spark, "t-ordered")
+    write_ordered(spark.range(1000).select((999 - F.col("id")).alias("pos")), path, "pos")
+    files = sorted({r[0] for r in spark.read.parquet(path).select(F.col("_metadata.file_path")).collect()})
+    assert [r.pos for f in files for r in spark.read.parquet(f).collect()] == list(range(1000))

@@ -12,7 +12,7 @@ def test_dense_index_equals_row_number(spark):
 
 def test_dense_chunk_ids(spark):
     docs = spark.createDataFrame([Row(doc_id=5, text="A. B. C."), Row(doc_id=2, text="D! E."), Row(doc_id=9, text="")])
-    ch = dense_chunk_ids(chunk_sentences(docs, "doc_id", "text"), "doc_id").collect()
+    ch = dense_chunk_ids(docs, "doc_id", "text").collect()
     assert sorted((r.doc_id, r.pos, r.seq_id) for r in ch) == [(2, 0, 0), (2, 1, 1), (5, 0, 2), (5, 1, 3), (5, 2, 4)]
 
 
@@ -21,15 +21,9 @@ def test_concat_pages_in_order_without_separator(spark):
     assert concat_pages(pages, "doc").first().text == "abc"
 
 
-def test_chunk_ids_keep_document_order(spark):
-    docs = spark.createDataFrame([Row(doc_id=1, text="x. y."), Row(doc_id=2, text="z.")])
-    ids = [r.chunk_id for r in chunk_sentences(docs, "doc_id", "text").orderBy("chunk_id").collect()]
-    assert ids == sorted(ids) and len(ids) == 3
-
-
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
-from finch.operators.chunks import chunk_pages, chunk_pdf_pages, clean_pages, prefix_scan  # noqa: E402
+from finch.operators.chunks import chunk_pages, clean_pages, prefix_scan  # noqa: E402
 
 PAGE_CHARS = st.lists(st.sampled_from(list("ab.!?'\")] #\n") + ["  ", "x."]), max_size=12).map("".join)
 
@@ -88,25 +82,54 @@ def test_configure_for_input(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-def test_chunk_pdf_pages_paths_agree(spark):
+def _gathered(pages):
+    """The same chunks by way of each document's whole text."""
+    return sorted(map(tuple, chunk_sentences(concat_pages(clean_pages(pages), "doc"), "doc", "text").collect()))
+
+
+def test_page_chunks_equal_those_of_the_joined_text(spark):
     pages = spark.createDataFrame([Row(doc=1, page_no=i, text=t) for i, t in enumerate(
         ["One. Two", "more. Three!", "' Four", "five."])] + [Row(doc=2, page_no=0, text="Solo.")])
-    small = sorted(map(tuple, chunk_pdf_pages(pages, "doc").collect()))
-    paged = sorted(map(tuple, chunk_pdf_pages(pages, "doc", max_group_pages=1).collect()))
-    assert small == paged == [(1, 0, "one."), (1, 1, "twomore."), (1, 2, "three!'"), (1, 3, "fourfive."), (2, 0, "solo.")]
+    paged = sorted(map(tuple, chunk_pages(pages, "doc").collect()))
+    assert paged == _gathered(pages) == [(1, 0, "one."), (1, 1, "twomore."), (1, 2, "three!'"), (1, 3, "fourfive."), (2, 0, "solo.")]
 
 
 def test_hot_document_spreads_over_partitions(spark):
-    # one document holds most pages: the page-wise path must not put it in one task
+    # one document holds most pages: it must not land in one task
     words = ["alpha", "beta.", "gamma", "delta!", "'", "eps"]
     rows = [Row(doc=0, page_no=i, text=" ".join(words[(i + j) % 6] for j in range(7))) for i in range(1200)]
     rows += [Row(doc=d, page_no=0, text="small doc. end") for d in range(1, 40)]
     pages = spark.createDataFrame(rows, "doc long, page_no int, text string").repartition(8)
-    paged = chunk_pdf_pages(pages, "doc", max_group_pages=100)          # forces the page-wise path
-    whole = chunk_pdf_pages(pages, "doc")
-    assert sorted(map(tuple, paged.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, chunk_pages(pages, "doc").collect())) == _gathered(pages)
     # the range-partitioned scan places the hot document's pages in several partitions
     from finch.operators.chunks import prefix_scan
     narrow = pages.select(F.struct("doc", "page_no").alias("k"), "doc", F.lit(1).alias("one"))
     parts = prefix_scan(narrow, "k", "one", "s").where("doc = 0").select(F.spark_partition_id()).distinct().count()
     assert parts > 1
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    from finch.operators.ordering import broadcast_if_small, bytes_at_most
+    wide = spark.createDataFrame([(1, "x" * 5000)], "k int, t string")
+    assert bytes_at_most(wide, 6000) and not bytes_at_most(wide, 4000) and bytes_at_most(wide.limit(0), 1)
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hint(broadcast_if_small(wide, 6000)) and not hint(broadcast_if_small(wide, 4000))
+
+
+def test_checkpoint_folder_is_asked_for_off_a_local_master():
+    import pytest
+    from finch.session import checkpoint_root
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Fake:
+        def __init__(self, master, **conf):
+            self.conf, self.sparkContext = Conf(conf), type("S", (), {"master": master})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_root(Fake(master))
+    assert checkpoint_root(Fake("yarn", **{"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    assert checkpoint_root(Fake("local[8]")).endswith("finch-checkpoints")

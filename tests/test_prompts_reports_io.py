@@ -75,8 +75,8 @@ def test_csv_roundtrip_keeps_spaces(spark):
 def test_keyed_append(spark):
     path = scratch_path(spark, "t-append")
     df = spark.createDataFrame([Row(id=1, v="a"), Row(id=2, v="b")])
-    append_rows(df, path, key_col="id")
-    append_rows(spark.createDataFrame([Row(id=2, v="B"), Row(id=3, v="c")]), path, key_col="id")
+    append_rows(df, path, ["id"])
+    append_rows(spark.createDataFrame([Row(id=2, v="B"), Row(id=3, v="c")]), path, ["id"])
     assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
     append_rows(df, path)   # unkeyed: a rerun duplicates, as the original
     assert spark.read.parquet(path).count() == 5
@@ -110,3 +110,43 @@ def test_no_hits_frame_is_used_without_context(spark):
     a, b = [r.p for r in df.select(frame.alias("p")).collect()]
     assert "\nContext:" not in a and "\nContext: ctx" in b
     assert "Age: N/A" in a and 'Your Question: "Q"' in a
+
+
+def test_csv_by_header_with_quotes_and_line_breaks(spark, tmp_path):
+    import pytest
+    f = tmp_path / "export.csv"
+    f.write_text('Date,Amount,Card Member,Description\n01/02/2023,4.50,J DOE,"say ""hi"", ok\nsecond line"\n01/03/2023,,,plain\n')
+    rows = read_transactions_csv(spark, str(f)).orderBy("Date").collect()
+    assert rows[0].asDict() == {"Date": "01/02/2023", "Description": 'say "hi", ok\nsecond line', "Amount": "4.50", "Card Member": "J DOE"}
+    assert rows[1].Description == "plain" and rows[1].Amount is None and len(rows) == 2
+    with pytest.raises(ValueError, match="Amount"):
+        (tmp_path / "bad.csv").write_text("Date,Description\n1,2\n")
+        read_transactions_csv(spark, str(tmp_path / "bad.csv"))
+
+
+def test_prompt_frames_keep_their_blanks():
+    from finch.functions import constants as c
+    assert "financial resources. \n                You prioritize" in c.PERSONA
+    assert "situation and goals.\n                \n                Example 1:" in c.PERSONA and "Response Style: \n" in c.PERSONA
+    for frame in (c.PROMPT_RAG, c.PROMPT_NO_HITS, c.PROMPT_NON_RAG, c.PROMPT_RAG_NOTEBOOK, c.PROMPT_NON_RAG_NOTEBOOK, c.PROMPT_LOCAL_NOTEBOOK):
+        lines = frame.split("\n")
+        assert sum(x.endswith('"{employment}", ') for x in lines) == 1 and sum("credit score: {credit_score}, " in x and x.endswith(" ") for x in lines) == 1
+    for frame in (c.PROMPT_RAG_NOTEBOOK, c.PROMPT_NON_RAG_NOTEBOOK, c.PROMPT_LOCAL_NOTEBOOK):
+        assert "next steps. \n" in frame and "Response Style: \n" in frame and frame.startswith("[INST]\n    Persona")
+    assert c.PROMPT_NON_RAG_NOTEBOOK.count("Example ") == 3 and c.PROMPT_RAG_NOTEBOOK.count("Example ") == 2
+    assert c.PROMPT_LOCAL_NOTEBOOK.count('{time_horizon}"".') == 1 and "{life_event}" not in c.PROMPT_LOCAL_NOTEBOOK
+
+
+def test_embedder_is_built_in_the_worker(spark):
+    from finch.operators.retrieval import embed_with
+
+    class Unpicklable:
+        def __init__(self):
+            import threading
+            self.lock = threading.Lock()
+
+        def __call__(self, texts):
+            return [[float(len(t))] for t in texts]
+
+    got = embed_with(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda: Unpicklable()).collect()
+    assert [r.embedding for r in got] == [[2.0], [0.0]]

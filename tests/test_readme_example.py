@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from finch.functions.constants import PROMPT_RAG
+from finch.functions.vectors import HASH_DIM
 from finch.operators import transactions as tr
 from finch.operators.chunks import chunk_sentences
 from finch.operators.prompts import build_context, render
@@ -15,9 +16,10 @@ def test_readme_example(spark):
     questions = spark.read.parquet(f"{SMALL}/benchmark.parquet").select(
         F.col("item_id").alias("qid"), F.col("text").alias("question"))
     chunks = embed_buckets(chunk_sentences(docs, "doc_id", "text"), "text")
-    hits = knn_topk(chunks, embed_buckets(questions, "question"), cand_id="chunk_id", cand_vec="buckets",
-                    query_id="qid", query_vec="buckets", kind="buckets", k=5)
-    ctx = build_context(hits.join(chunks.select(F.col("chunk_id").alias("cid"), "text"), "cid"), "qid")
+    hits = knn_topk(chunks, embed_buckets(questions, "question"), cand_id="doc_id", cand_pos="pos", cand_vec="buckets",
+                    query_id="qid", query_vec="buckets", kind="buckets", dim=HASH_DIM, k=5)
+    texts = chunks.select(F.col("doc_id").alias("cid"), F.col("pos").alias("cpos"), "text")
+    ctx = build_context(hits.join(texts, ["cid", "cpos"]), "qid")
     asked = questions.join(ctx, "qid", "left")
     prompts = asked.select("qid", render(PROMPT_RAG, columns=asked.columns).alias("prompt"))
     assert prompts.count() == questions.count()

@@ -25,3 +25,27 @@ def test_stream_ingest_picks_up_new_files_only(spark):
     ingest_text_stream(spark, f"{src}/*/*", sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=ckpt)
     got = sorted((r.doc, r.pos, r.text) for r in spark.read.parquet(sink).collect())
     assert got == [(1, 0, "One."), (1, 1, "Two."), (2, 0, "Three.")]
+
+
+CHILD = """
+import sys
+sys.path.insert(0, {repo!r})
+from finch.session import get_session
+from finch.streaming.ingest import ingest_text_stream
+spark = get_session("local[2]", shuffle_partitions=2, extra={{"spark.checkpoint.dir": {root!r}}})
+ingest_text_stream(spark, {src!r}, {sink!r})
+"""
+
+
+def test_default_checkpoint_goes_on_in_another_process(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+    repo, src, sink = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "src", str(tmp_path / "sink")
+    src.mkdir()
+    for k, text in enumerate(["One. Two.", "Three."]):
+        (src / f"{k}.txt").write_text(text)
+        code = CHILD.format(repo=repo, root=str(tmp_path / "ckpt"), src=str(src), sink=sink)
+        run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-1500:]
+    assert sorted(r.text for r in spark.read.parquet(sink).collect()) == ["One.", "Three.", "Two."]
