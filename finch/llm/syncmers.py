@@ -69,7 +69,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (key, h, text, fp, next_prefix, next_fp).
+    """One row per row of ``docs``: (key, h, text, fp, next_key, next_prefix, next_fp).
 
     The next document is the one that follows in (id, text hash) order, null ids
     first; the first follows the last. Rows that repeat id and text are one
@@ -85,12 +85,13 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = F.lit(max(order.count(), 1)).cast("long")
     cur = order.select("idx", F.col("row").alias("cur_row"), F.col("h").alias("cur_h"), "need")
     links = cur.join(order.select(F.pmod(F.col("idx") - 1, n).alias("idx"), "row", "h"), "idx").drop("idx")
-    rows = base.select("key", row, "h", "text", fingerprint(F.col("text")).alias("fp")).withColumn(
-        "rn", F.row_number().over(Window.partitionBy("row", "h").orderBy("h")))
-    ahead = rows.where("rn = 1").join(links, ["row", "h"]).select(
-        F.col("cur_row").alias("row"), F.col("cur_h").alias("h"), F.col("text").substr(F.lit(1), F.col("need")).alias("next_prefix"),
-        F.col("fp").alias("next_fp"))
-    return rows.join(ahead, ["row", "h"]).select("key", "h", "text", "fp", "next_prefix", "next_fp")
+    # a running count, not row_number: a limit pushed below the shuffle would keep the two uses from sharing it
+    turn = F.count(F.lit(1)).over(Window.partitionBy("row", "h").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    rows = base.select("key", row, "h", "text", fingerprint(F.col("text")).alias("fp"))
+    ahead = rows.withColumn("turn", turn).where("turn = 1").join(links, ["row", "h"]).select(
+        F.col("cur_row").alias("row"), F.col("cur_h").alias("h"), F.col("key").alias("next_key"),
+        F.col("text").substr(F.lit(1), F.col("need")).alias("next_prefix"), F.col("fp").alias("next_fp"))
+    return rows.join(ahead, ["row", "h"]).select("key", "h", "text", "fp", "next_key", "next_prefix", "next_fp")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,4 +109,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return pairs.select(F.col("key").alias(id_col), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                         as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
                         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.size("fp").alias("n_anchors"))
+                        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.size("fp").alias("n_anchors"),
+                        F.col("next_key").alias(f"next_{id_col}"))
