@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import hashed_words, mix, slices, written
 
-ORDER, MU = 2, 40.0
+ORDER, MU = 2, 400.0
 BUCKET_BYTES = 6 << 20          # text per bucket
 RANGE_BYTES = 6 << 20           # text per range of the hash space
 SPARE_BITS = 22                 # an n-gram shares its hash with another at a chance below 2^-22
