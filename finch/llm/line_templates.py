@@ -28,32 +28,38 @@ WILDCARD = "<*>"
 LEAF_CLASSES = 1 << 20
 
 
-def masked_tokens(line: Column) -> Column:
-    """The line's tokens, those with a digit as wildcards."""
-    fixed = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", WILDCARD)).otherwise(line)
-    return F.filter(F.split(fixed, r"\s+"), lambda t: t != "")
+def masked(line: Column) -> Column:
+    """The line's tokens, those with a digit as wildcards, with one space between
+    them. Most lines have single spaces and no digits and are only looked at."""
+    def spaced(t: Column) -> Column:
+        return F.when(t.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(t, r"\s+", " ")).otherwise(t)
 
+    def without_digits(t: Column) -> Column:
+        return F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"\S*[0-9]\S*", WILDCARD)).otherwise(t)
+    return let(let(F.btrim(line, F.lit(" \t\x0b\f\r")), spaced), without_digits)
 
-def _line_ids(tokens: Column) -> Column:
+
+def _line_ids(masked_line: Column) -> Column:
     """struct(l1, l2): 128 bits that identify a masked line."""
-    l1, l2 = hash_pair(tokens)
+    l1, l2 = hash_pair(masked_line)
     return F.struct(l1.alias("l1"), l2.alias("l2"))
 
 
 def _described(depth: int):
-    """line -> struct(id, n, leaf, tokens)."""
+    """line -> struct(id, n, leaf, line): its number of tokens and its leaf."""
     def describe(line: Column) -> Column:
         def of(t: Column) -> Column:
-            leaf = F.xxhash64(F.size(t), F.slice(t, 1, depth))
-            return F.struct(_line_ids(t).alias("id"), F.size(t).alias("n"), leaf.alias("leaf"), t.alias("tokens"))
-        return let(masked_tokens(line), of)
+            n = F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+            return let(n, lambda n: F.struct(_line_ids(t).alias("id"), n.alias("n"), F.xxhash64(
+                n, F.substring_index(t, " ", depth)).alias("leaf"), t.alias("line")))
+        return let(masked(line), of)
     return describe
 
 
 def _lines(rows: DataFrame, depth: int) -> DataFrame:
     """(key, h, l1, l2, n, leaf): the distinct masked lines of each document."""
     each = F.transform(F.split("text", "\n"), _described(depth))
-    each = F.filter(F.transform(each, lambda x: x.dropFields("tokens")), lambda x: x["n"] > 0)
+    each = F.filter(F.transform(each, lambda x: x.dropFields("line")), lambda x: x["n"] > 0)
     return rows.select("key", "h", F.explode(F.array_distinct(each)).alias("x")).select(
         "key", "h", "x.id.l1", "x.id.l2", "x.n", "x.leaf")
 
@@ -69,7 +75,7 @@ def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: f
     in_class = F.pmod(F.col("leaf"), F.lit(LEAF_CLASSES)).cast("int")
     classes = F.broadcast(leaves.select(in_class.alias("class")).distinct())
     each = F.filter(F.transform(F.split("text", "\n"), _described(depth)), lambda x: x["n"] > depth)
-    spelt = (rows.select(F.explode(each).alias("x")).select("x.id.l1", "x.id.l2", "x.n", "x.leaf", F.array_join("x.tokens", " ").alias("line"))
+    spelt = (rows.select(F.explode(each).alias("x")).select("x.id.l1", "x.id.l2", "x.n", "x.leaf", "x.line")
              .withColumn("class", in_class).join(classes, "class", "left_semi")
              .groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("line").alias("line"))
              .join(leaves.select("leaf", "n"), ["leaf", "n"]))
@@ -131,12 +137,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.collect_set(F.struct("l1", "l2")).alias("gone"),
         F.collect_set(F.when(F.col("generalised"), F.struct("l1", "l2"))).alias("wide")).withColumnsRenamed({"key": "k", "h": "g"})
     joined = rows.join(lost, rows["key"].eqNullSafe(lost["k"]) & (rows["h"] == lost["g"]), "left")
-    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _line_ids(masked_tokens(x)).alias("id")))
-    stay = F.filter(parts, lambda p: ~F.array_contains(F.col("gone"), p["id"]))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _line_ids(masked(x)).alias("id")))
     none = F.col("gone").isNull()
     n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
-    out = joined.select("row", none.alias("whole"), n.alias("n"), F.when(~none, stay).alias("stay"), F.when(
-        ~none, F.size(F.filter(parts, lambda p: F.array_contains(F.col("wide"), p["id"])))).alias("wide"))
+    cut = F.when(~none, let(parts, lambda ps: F.struct(
+        F.filter(ps, lambda p: ~F.array_contains(F.col("gone"), p["id"])).alias("stay"),
+        F.size(F.filter(ps, lambda p: F.array_contains(F.col("wide"), p["id"]))).alias("wide"))))
+    out = joined.select("row", none.alias("whole"), n.alias("n"), cut.alias("cut")).select("row", "whole", "n", "cut.stay", "cut.wide")
     if drop_emptied:
         out = out.where(F.col("whole") | F.exists("stay", lambda p: F.trim(p["line"]) != ""))
     kept = F.when(F.col("whole"), text).otherwise(F.array_join(F.transform("stay", lambda p: p["line"]), "\n"))
