@@ -11,7 +11,7 @@ from test_jaccard_join import edited, plain
 def sf_dir(spark, tmp_path_factory, words):
     rng = random.Random(3)
     d = str(tmp_path_factory.mktemp("sf"))
-    item = words(40, 77, 590)
+    item = words(40, 77777, 590)
     rows = []
     for k in range(200):
         rows.append((k, "\n".join([words(60, k, 590), words(50, 500 + k, 590), "Terms of use apply to all of it."]), "en", f"s{k % 3}"))
