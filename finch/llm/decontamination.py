@@ -1,32 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every n-gram of a test item is a possible seed. One scan of the corpus finds
-where seeds stand in documents and cuts out the words around them, one row per
-(document, item, place); the seeds' document counts come from the same rows. An
-item keeps as seeds its n-grams no more common than ``RARITY`` times the median of
-its own, so a passage that thousands of documents hold keeps its seeds while
-n-grams of everyday words lose them. Around the seeds that are left, item and
-document words are aligned locally; the score is the alignment's share of a
-perfect match of the item.
-
-The seed table comes from the benchmark and is broadcast after a check of its
-size; a larger benchmark is scanned for in parts. Each row carries the words of
-one place, so a long document or a common passage is many small rows, and an
-item of any length is aligned in pieces of bounded length.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every n-gram of a test item is a seed. One scan of the corpus finds where seeds
+stand in documents and takes the words around them. A place whose words hold too
+few of the item's words to reach the score at all is passed over, which loses
+nothing; every other place is aligned with the item locally, however many
+documents share it. The score is the alignment's share of a perfect match.
+
+The seed table and the items' words come from the benchmark and are broadcast
+after a check of their size; a larger benchmark is scanned for in parts. An item
+of any length is aligned in pieces of bounded length, where it was found, so
+neither a long document nor a common passage gathers in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import hash_pair, hashed_words, ngram_hashes, slices, written
+from .common import hashed_words, mix, ngram_hashes, slices, written
 
 SEED = 4                        # words of a seed
-RARITY = 4.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5                     # least share of the perfect score
+PLACES = 4096                   # places that a task compares with their items at a time
 PIECE, STRIDE = 64, 48          # longer items are aligned by overlapping pieces of so many words
 PAD = 8                         # document words that a window holds beyond each end of the piece
 MAX_SEEDS = 4 << 20             # seeds a broadcast may hold: 64 MB
@@ -82,20 +80,33 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _hits(docs: DataFrame, seeds: DataFrame, seed: int) -> DataFrame:
-    """(id, h, item, piece, place, grams, window): where a document may hold a
-    piece, the piece's grams found there, and the document's words around."""
-    kind, item_kind = docs.schema["id"].dataType.simpleString(), seeds.schema["item"].dataType.simpleString()
-    table = seeds.toPandas()            # at most about MAX_SEEDS rows
-    order = np.argsort(table["gram"].to_numpy(np.int64).view(np.uint64), kind="stable")
-    grams = table["gram"].to_numpy(np.int64).view(np.uint64)[order]
+def _tagged(words: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tag, key) of the words of each range: its number, and a hash of that and the word."""
+    sizes = stop - begin
+    tag = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(tag)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[tag]
+    return tag, mix(words[at] + tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _scan(docs: DataFrame, parts: DataFrame, seed: int, least: float) -> DataFrame:
+    """(id, h, item, score) of every place where a document holds a piece with ``least`` or more."""
+    kind, item_kind = docs.schema["id"].dataType.simpleString(), parts.schema["item"].dataType.simpleString()
+    table = parts.select("item", "grams", "words").toArrow()            # at most about MAX_SEEDS grams
+    items = np.empty(table.num_rows, object)
+    items[:] = table["item"].to_pylist()
+    n_grams = pc.list_value_length(table["grams"]).to_numpy().astype(np.int64)
+    size = pc.list_value_length(table["words"]).to_numpy().astype(np.int32)
+    grams = pc.list_flatten(table["grams"]).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(grams, kind="stable")
+    piece = np.repeat(np.arange(len(items), dtype=np.int32), n_grams)
+    pos = (np.arange(len(grams)) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((
-        grams, table["item"].to_numpy()[order], table["piece"].to_numpy(np.int32)[order],
-        table["pos"].to_numpy(np.int32)[order], table["len"].to_numpy(np.int32)[order]))
+        grams[order], piece[order], pos[order], items, size, pc.list_flatten(table["words"]).to_numpy().astype(np.int64).view(np.uint64)))
 
     def scan(batches):
-        grams, items, piece, pos, size = shared.value
+        grams, piece, pos, items, size, text_of = shared.value
         sizes = sorted(set(np.minimum(size, seed).tolist()))              # short items have shorter grams
+        last = np.cumsum(size.astype(np.int64))
         for frame in batches:
             texts = frame["text"].tolist()
             for a, b in slices(texts):
@@ -109,43 +120,47 @@ def _hits(docs: DataFrame, seeds: DataFrame, seed: int) -> DataFrame:
                     g, counts = ngram_hashes(words, lens, n)
                     start = np.repeat(ends - lens - (np.cumsum(counts) - counts), counts) + np.arange(len(g))
                     lo = np.searchsorted(grams, g, "left")
-                    hit = np.flatnonzero((lo < len(grams)) & (grams[np.minimum(lo, len(grams) - 1)] == g)) if len(grams) else []
+                    hit = np.flatnonzero((lo < len(grams)) & (grams[np.minimum(lo, len(grams) - 1)] == g))
                     if not len(hit):
                         continue
                     lo, hi = lo[hit], np.searchsorted(grams, g[hit], "right")
                     each = np.repeat(np.arange(len(hit)), hi - lo)
                     k = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
-                    fits = np.minimum(size[k], seed) == n
-                    found.append(pd.DataFrame({"at": start[hit][each][fits], "k": k[fits]}))
+                    fits = np.minimum(size[piece[k]], seed) == n
+                    found.append((start[hit][each][fits], k[fits]))
                 if not found:
                     continue
-                hits = pd.concat(found)
-                at, k = hits["at"].to_numpy(), hits["k"].to_numpy()
+                at, k = (np.concatenate(x) for x in zip(*found))
                 # hits of a piece on nearby diagonals are one place
-                near = PAD + 1
-                rows = pd.DataFrame({"doc": doc_of[at], "item": items[k], "piece": piece[k], "diag": at - pos[k], "gram": grams[k].view(np.int64), "size": size[k]})
-                rows = rows.sort_values(["doc", "item", "piece", "diag"], kind="stable")
-                new = np.ones(len(rows), bool)
-                d = rows["diag"].to_numpy()
-                same = (rows[["doc", "item", "piece"]].to_numpy()[1:] == rows[["doc", "item", "piece"]].to_numpy()[:-1]).all(1)
-                new[1:] = ~same | (np.diff(d) > near)
-                rows["place"] = np.cumsum(new)
-                got = rows.groupby("place", sort=True).agg(doc=("doc", "first"), item=("item", "first"), piece=("piece", "first"),
-                                                           low=("diag", "min"), high=("diag", "max"), size=("size", "first"))
-                got["grams"] = np.split(rows["gram"].to_numpy(), np.flatnonzero(new)[1:])
-                begin = np.maximum(got["low"].to_numpy() - PAD, (ends - lens)[got["doc"]])
-                stop = np.minimum(got["high"].to_numpy() + got["size"].to_numpy() + PAD, ends[got["doc"]])
+                doc, part, diag = doc_of[at], piece[k], at - pos[k]
+                o = np.lexsort((diag, part, doc))
+                doc, part, diag = doc[o], part[o], diag[o]
+                new = np.ones(len(o), bool)
+                new[1:] = (np.diff(doc) != 0) | (np.diff(part) != 0) | (np.diff(diag) > PAD + 1)
+                first = np.flatnonzero(new)
+                low, high = diag[first], diag[np.append(first[1:], len(o)) - 1]
+                doc, part = doc[first], part[first]
+                begin = np.maximum(low - PAD, (ends - lens)[doc])
+                stop = np.minimum(high + size[part] + PAD, ends[doc])
                 ids, hs = frame["id"].to_numpy()[a:b], frame["h"].to_numpy()[a:b]
-                yield pd.DataFrame({"id": ids[got["doc"]], "h": hs[got["doc"]], "item": got["item"].to_numpy(), "piece": got["piece"].to_numpy(),
-                                    "place": begin - (ends - lens)[got["doc"]], "grams": got["grams"].to_numpy(),
-                                    "window": [words[x:y].view(np.int64) for x, y in zip(begin, stop)]})
+                for c in range(0, len(first), PLACES):
+                    d, p, x, y = doc[c : c + PLACES], part[c : c + PLACES], begin[c : c + PLACES], stop[c : c + PLACES]
+                    # an alignment matches no more words than the item has in the window
+                    tag, held = _tagged(text_of, last[p] - size[p], last[p])
+                    most = np.bincount(tag, np.isin(held, _tagged(words, x, y)[1]), len(p))
+                    at = np.flatnonzero(most >= least * size[p])
+                    if not len(at):
+                        continue
+                    got = align([text_of[last[i] - size[i] : last[i]] for i in p[at]], [words[i:j] for i, j in zip(x[at], y[at])])
+                    share = got / (MATCH * size[p[at]].astype(float))
+                    at, share = at[share >= least], share[share >= least]
+                    yield pd.DataFrame({"id": ids[d[at]], "h": hs[d[at]], "item": items[p[at]], "score": share})
 
-    return docs.mapInPandas(scan, f"id {kind}, h long, item {item_kind}, piece int, place int, grams array<long>, window array<long>")
+    return docs.mapInPandas(scan, f"id {kind}, h long, item {item_kind}, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", seed: int = SEED, rarity: float = RARITY,
-                 least: float = SCORE) -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", seed: int = SEED, least: float = SCORE) -> DataFrame:
     """(id, h, item, score): every document that holds an item, or a piece of a
     long item, with an alignment score of ``least`` or more; the best score of each.
 
@@ -153,36 +168,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     documents and repeated items count once.
     """
     parts = written(pieces(benchmark, item_col, item_text, seed), "leak-pieces")
-    seeds = parts.select("item", "piece", F.size("words").alias("len"), F.posexplode("grams").alias("pos", "gram"))
-    n_seeds = seeds.count()
+    n_seeds = parts.agg(F.sum(F.size("grams"))).first()[0] or 0
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    scans = -(-n_seeds // MAX_SEEDS)
+    scans = max(1, -(-n_seeds // MAX_SEEDS))
     found = None
-    for s in range(max(1, scans)):
-        some = seeds.where(F.pmod(F.xxhash64("item", "piece"), F.lit(max(1, scans))) == s)
-        part = _hits(rows, some, seed)
+    for s in range(scans):
+        some = parts.where(F.pmod(F.xxhash64("item", "piece"), F.lit(scans)) == s)
+        part = _scan(rows, some, seed, least)
         found = part if found is None else found.unionByName(part)
-    found = written(found, "leak-hits")
-
-    df = found.select("id", "h", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rare = seeds.select("item", "piece", "gram").distinct().join(df, "gram", "left").fillna(0, ["df"])
-    level = rare.groupBy("item", "piece").agg(F.percentile("df", 0.5).alias("median"))
-    rare = rare.join(level, ["item", "piece"]).where(F.col("df") <= F.lit(rarity) * F.greatest("median", F.lit(1.0)))
-    keep = rare.groupBy("item", "piece").agg(F.collect_set("gram").alias("rare"))             # at most PIECE a piece
-    keep = keep.join(parts.select("item", "piece", "words").dropDuplicates(["item", "piece"]), ["item", "piece"])
-    near = found.join(keep, ["item", "piece"]).where(F.arrays_overlap("grams", "rare")).select("id", "h", "item", "words", "window")
-    kind, item_kind = rows.schema["id"].dataType.simpleString(), parts.schema["item"].dataType.simpleString()
-
-    def score(batches):
-        for frame in batches:
-            x = [np.asarray(w, np.int64).view(np.uint64) for w in frame["words"]]
-            got = align(x, [np.asarray(w, np.int64).view(np.uint64) for w in frame["window"]]) if len(x) else []
-            share = np.array(got, float) / (MATCH * np.array([len(w) for w in x], float))
-            yield frame[["id", "h", "item"]].assign(score=share)[share >= least]
-
-    scored = near.mapInPandas(score, f"id {kind}, h long, item {item_kind}, score double")
-    return scored.groupBy("id", "h", "item").agg(F.max("score").alias("score"))
+    return found.groupBy("id", "h", "item").agg(F.max("score").alias("score"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

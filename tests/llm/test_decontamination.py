@@ -75,3 +75,16 @@ def test_edges(spark, frame, planted):
     assert dc.contaminated(frame([]), items).collect() == []
     twice = items.unionByName(items)
     assert dc.contaminated(frame(odd), twice).count() == len(got)
+
+
+def test_edited_copy_that_many_documents_share(spark, frame, words):
+    item = [f"item{k}" for k in range(40)]
+    edited = ["changed" if k % 6 == 5 else w for k, w in enumerate(item)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for copy in (edited, item[:22]):                        # every sixth word changed; little more than half of the item
+        docs = [(k, f"{words(20, k)} {' '.join(copy)} {words(20, 500 + k)}") for k in range(300)]
+        clean = [(1000 + k, words(60, 1000 + k)) for k in range(20)]
+        got = dc.contaminated(frame(docs + clean), items).collect()
+        assert {r["id"] for r in got} == set(range(300)) and len(got) == 300
+        scores = plain_align(item, copy) / (2 * len(item))
+        assert all(abs(r["score"] - scores) < 1e-9 for r in got)
