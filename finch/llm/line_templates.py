@@ -7,9 +7,9 @@ that place; the other places are variable fields. A line with at least
 ``similarity`` fixed places takes that pattern as its template, any other line
 is its own template.
 
-A template recurs when its lines are found in at least two documents and at
-least ``min_lines`` times (a document counts once for each distinct line). All
-documents but the first that has it, in (id, text hash) order, lose its lines,
+A template recurs when its lines are found in at least two documents and, unless
+they have ``long_line`` tokens or more, at least ``min_lines`` times (a document
+counts once for each distinct line). All documents but the first that has it, in (id, text hash) order, lose its lines,
 so no content leaves the corpus altogether.
 
 Scale: lines travel as hashes; equal lines are counted map-side, so a line that
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import hash_pair, let, written
 
 DEPTH, SIMILARITY, MIN_LINES = 3, 0.7, 3
+LONG_LINE = 20                  # tokens of a line that two documents do not share by chance
 WILDCARD = "<*>"
 LEAF_CLASSES = 1 << 20
 
@@ -95,7 +96,7 @@ def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: f
 
 
 def recurring_lines(rows: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY,
-                    min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
+                    min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> tuple[DataFrame, DataFrame]:
     """(lines, recurring): the distinct lines of each document, and (l1, l2,
     first, generalised) for every line whose template recurs."""
     lines = written(_lines(rows, depth), "lines")
@@ -104,18 +105,18 @@ def recurring_lines(rows: DataFrame, depth: int = DEPTH, similarity: float = SIM
                                              F.min(who).alias("first"), F.max(who).alias("last"))
     distinct = written(distinct, "distinct-lines")
     general = written(_generalised(rows, distinct, depth, similarity), "line-templates")
+    recurs = ((F.col("m") >= min_lines) | (F.col("n") >= long_line)) & (F.col("first") != F.col("last"))
     some = distinct.join(general, ["l1", "l2"])
-    kept = (some.groupBy("t1", "t2").agg(F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last"))
-            .where((F.col("m") >= min_lines) & (F.col("first") != F.col("last"))))
+    kept = some.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last")).where(recurs)
     wide = general.join(kept.select("t1", "t2", "first"), ["t1", "t2"]).select("l1", "l2", "first", F.lit(True).alias("generalised"))
-    plain = (distinct.where((F.col("m") >= min_lines) & (F.col("first") != F.col("last"))).join(general, ["l1", "l2"], "left_anti")
+    plain = (distinct.where(recurs).join(general, ["l1", "l2"], "left_anti")
              .select("l1", "l2", "first", F.lit(False).alias("generalised")))
     return lines, plain.unionByName(wide)
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
                          similarity: float = SIMILARITY, min_lines: int = MIN_LINES, stats: bool = True,
-                         drop_emptied: bool = False) -> DataFrame:
+                         drop_emptied: bool = False, long_line: int = LONG_LINE) -> DataFrame:
     """``docs`` with ``text_col`` less the lines it loses, plus ``n_lines``,
     ``n_dropped`` and ``n_generalised`` (with ``stats``; columns of these names are
     replaced then). ``drop_emptied``: rows that lost all lines but blank ones go.
@@ -130,7 +131,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.col(f"row.`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     rows = rows.select(F.col(f"row.`{id_col}`").alias("key"), F.xxhash64(text).alias("h"), "row")
-    lines, recurring = recurring_lines(rows.select("key", "h", text.alias("text")), depth, similarity, min_lines)
+    lines, recurring = recurring_lines(rows.select("key", "h", text.alias("text")), depth, similarity, min_lines, long_line)
     hit = lines.join(recurring, ["l1", "l2"]).where(
         ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("h") == F.col("first.h"))))
     lost = hit.groupBy("key", "h").agg(

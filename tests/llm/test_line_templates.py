@@ -58,6 +58,16 @@ def test_two_documents_are_not_enough_and_one_long_text(frame, words):
     assert got == plain(rows) and got[2] == "twice"
 
 
+def test_long_lines_recur_from_two_documents_on(frame, words):
+    passage, short = words(55, 1, 600), words(lt.LONG_LINE - 1, 2, 600)
+    edited = passage.rsplit(" ", 1)[0] + " otherwise"       # a template of two long lines
+    other = words(lt.LONG_LINE, 3, 600)
+    rows = [(k, f"{words(8, 10 + k, 600)}\n{line}") for k, line in enumerate([passage, passage, short, short, other, other, edited])]
+    got = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(frame(rows)).collect()}
+    assert {k for k, t in rows if got[k] == t} == {0, 2, 3, 4}
+    assert all(got[k] == rows[k][1].split("\n")[0] for k in (1, 5, 6))
+
+
 def test_native(spark):
     from finch.llm import queries
     plan = queries.op2_line_templates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
