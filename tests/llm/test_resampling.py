@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from finch.llm import resampling
@@ -46,3 +48,25 @@ def test_gumbel_noise_has_its_distribution(spark):
     import numpy as np
     x = np.array([r[0] for r in spark.range(20000).select(resampling.gumbel("id")).collect()])
     assert abs(x.mean() - 0.5772) < 0.03 and abs(x.std() - np.pi / 6**0.5) < 0.03
+
+
+def test_toxic_documents_go(spark, frame, words):
+    rng = random.Random(3)
+    bad = ["vile", "scum", "moron", "filth", "creep"]
+    rows, labels, planted = [], [], set()
+    for k in range(1200):
+        text = words(80 + k % 60, k).split()
+        toxic = k % 4 == 0
+        for w in rng.sample(bad, 2 if toxic else 0):
+            text[rng.randrange(len(text))] = w
+        rows.append((k, " ".join(text)))
+        if k % 3:
+            labels.append((k, 1, int(toxic)))
+        elif toxic:
+            planted.add(k)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = resampling.resample(frame(rows), labels).collect()
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert len(planted) == 100 and len(planted & kept) <= 5
+    assert sum(k in kept for k in range(1200) if k % 4) >= 0.97 * 900
+    assert {r["doc_id"] for r in resampling.keep_good(frame(rows, 5), labels).collect()} == kept
