@@ -2,8 +2,13 @@
 
 The tree has a fixed depth: a line goes down by its number of tokens, then by
 its first ``depth`` tokens (tokens that hold a digit count as a wildcard). In a
-leaf, a token stays fixed where two or more distinct lines of the leaf have it at
-that place; the other places are variable fields. A line with at least
+leaf, a token's support is the number of distinct lines that have it at that
+place. A line of the template must share ``similarity`` of its places with others,
+so the support of its least common token among the commonest so many stands for
+the template's size; tokens with at least ``SHARE`` of that (and two lines) stay
+fixed, the other places are variable fields. Supports grow together with the
+corpus, so a field whose values recur stays a field on any size, and small
+templates count by their own size in a leaf of many. A line with at least
 ``similarity`` fixed places takes that pattern as its template, any other line
 is its own template.
 
@@ -25,6 +30,7 @@ from .common import hash_pair, let, written
 
 DEPTH, SIMILARITY, MIN_LINES = 3, 0.7, 3
 LONG_LINE = 20                  # tokens of a line that two documents do not share by chance
+SHARE = 0.5                     # of its template's size, for a token to stay fixed
 WILDCARD = "<*>"
 LEAF_CLASSES = 1 << 20
 
@@ -82,17 +88,20 @@ def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: f
              .join(leaves.select("leaf", "n"), ["leaf", "n"]))
     places = spelt.select("l1", "l2", "n", "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= depth)
     places = written(places.withColumn("token", F.xxhash64("token")), "line-places")
-    shared = (places.groupBy("leaf", "n", "pos", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-              .select("leaf", "n", "pos", "token", F.lit(1).alias("fixed")))
-    a, b = hash_pair("pos", "token")
+    shared = places.groupBy("leaf", "n", "pos", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     marks = places.join(shared, ["leaf", "n", "pos", "token"], "left")
-    each = marks.groupBy("l1", "l2", "n", "leaf").agg(
-        F.count("fixed").alias("fixed"),
-        F.coalesce(F.bit_xor(F.when(F.col("fixed") == 1, a)), F.lit(0)).alias("x1"),
-        F.coalesce(F.bit_xor(F.when(F.col("fixed") == 1, b)), F.lit(0)).alias("x2"))
-    u, v = hash_pair("leaf", "n", "x1", "x2")
-    fits = (F.col("fixed") + depth >= F.lit(similarity) * F.col("n")) & (F.col("fixed") + depth < F.col("n"))
-    return each.where(fits).select("l1", "l2", u.alias("t1"), v.alias("t2"))
+    each = marks.groupBy("l1", "l2", "n", "leaf").agg(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "pos", "token")).alias("all"))
+    needed = F.greatest(F.ceil(F.lit(similarity) * F.col("n")).cast("int") - depth, F.lit(1))
+    level = F.sort_array(F.transform("all", lambda x: x["m"]), asc=False)[F.least(needed, F.size("all")) - 1]
+    fixed = let(level, lambda least: F.filter("all", lambda x: (x["m"] > 1) & (x["m"] >= F.lit(SHARE) * least)))
+
+    def template(fixed: Column) -> Column:
+        u, v = hash_pair("leaf", "n", fixed)
+        return F.struct(u.alias("t1"), v.alias("t2"), (F.size(fixed) + depth).alias("fixed"))
+    one = F.transform(F.array(F.sort_array(F.transform(fixed, lambda x: F.struct(x["pos"], x["token"])))), template)
+    # exploded rather than filtered as a column, which would evaluate it twice
+    fits = F.filter(one, lambda t: (t["fixed"] >= F.lit(similarity) * F.col("n")) & (t["fixed"] < F.col("n")))
+    return each.select("l1", "l2", F.explode(fits).alias("t")).select("l1", "l2", "t.t1", "t.t2")
 
 
 def recurring_lines(rows: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY,

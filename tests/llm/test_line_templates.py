@@ -1,5 +1,6 @@
 """Template dedup against a version that holds everything in dictionaries."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -68,6 +69,19 @@ def test_long_lines_recur_from_two_documents_on(frame, words):
     assert all(got[k] == rows[k][1].split("\n")[0] for k in (1, 5, 6))
 
 
+def test_templates_do_not_fade_with_size(frame, words):
+    def docs(n, values):                                    # a common template, and one of a tenth of its lines in the same leaf
+        rng = random.Random(n)
+        name, city = (lambda: f"name{'abcdefghij'[rng.randrange(values)]}{'abcdefghij'[rng.randrange(values)]}"), (lambda: words(1, rng.randrange(values * values)))
+        return [(k, f"{words(8, 5000 + k, 600)}\n" + (f"the page was seen by {name()} while in {city()} this year" if k % 10 else
+                                                      f"the page was last edited by {name()} from {city()} on request")) for k in range(n)]
+    for n in (100, 1000):
+        rows = docs(n, 10)
+        got = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(frame(rows)).collect()}
+        whole = {k for k, t in rows if got[k] == t}
+        assert whole == {0, 1}, (n, len(whole))
+
+
 def test_native(spark):
     from finch.llm import queries
     plan = queries.op2_line_templates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
