@@ -88,3 +88,10 @@ def test_edited_copy_that_many_documents_share(spark, frame, words):
         assert {r["id"] for r in got} == set(range(300)) and len(got) == 300
         scores = plain_align(item, copy) / (2 * len(item))
         assert all(abs(r["score"] - scores) < 1e-9 for r in got)
+
+
+def test_item_ids_that_are_null_or_repeat(spark, frame, words):
+    texts = [words(30, 700 + k) for k in range(4)]
+    items = spark.createDataFrame(list(zip([None, 7, 7, 1 << 60], texts)), "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in dc.contaminated(frame(list(enumerate(texts))), items).collect()}
+    assert got == {(0, None), (1, 7), (2, 7), (3, 1 << 60)}
