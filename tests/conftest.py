@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from finch.session import get_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("local[*]", app="finch-tests", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-def col1(spark, values, expr, name="x"):
-    """Apply a column expression to a one-column frame of strings."""
-    from pyspark.sql import types as T
-    df = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(name, T.StringType())]))
-    return [r[0] for r in df.select(expr).collect()]

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as E
 from finch.plans import all_oracles, all_queries

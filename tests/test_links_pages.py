@@ -2,7 +2,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Row, functions as F
 
-from conftest import col1
+from helpers import col1
 from finch.functions import urls as u
 from finch.operators import links as lk
 from finch.operators import pages as pg

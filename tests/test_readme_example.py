@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from helpers import SMALL
 from finch.functions.constants import PROMPT_RAG
 from finch.functions.vectors import HASH_DIM
 from finch.operators import transactions as tr

@@ -1,6 +1,6 @@
 from hypothesis import given, settings, strategies as st
 
-from conftest import col1
+from helpers import col1
 from finch.functions import text as tx
 
 ALPHABET = st.sampled_from(list("ab Z9.,;:!?()'\"\n\t\r\x0b\x0c\x1c é-#•") + [" ", " ", "  ", "\n\n"])
