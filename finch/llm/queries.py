@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import backoff_lm, bloom_cascade, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, syncmers
+from . import backoff_lm, bloom_cascade, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
 from .common import table
 
 
@@ -69,12 +69,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "parity", "round_trip", F.xxhash64("token_ids").alias("ids_hash"), "token_ids")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_resampling, op4_backoff_lm, op5_bloom_cascade,
-                                 op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece)}
+                                 op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece, op11_spelling)}
 
 _RULES = ", ".join(f"('{key}', '{key[: key.index('/')]}', '{key[key.index('/') :]}', '{verdict}')" for key, verdict in URL_RULES)
 _WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
 
+# CRC-32 in DuckDB: the table of its polynomial, and a fold over a list of bytes.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc)"""
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
     "op5_bloom_cascade": f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -87,4 +100,23 @@ fits AS (SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_m
 SELECT page_id, host, path, rule,
        coalesce(said, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), [{_WORDS}]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits""",
+    "op11_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[a-zÀ-ÿ]+')) AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS m FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, m, {_crc("""flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))""")} AS h FROM kinds, crc_table),
+results AS (SELECT m, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+          UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+          UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({{'m': -near_n, 'w': near}}) AS b FROM pairs GROUP BY word),
+forms AS (SELECT w.word, CASE WHEN -b.m >= 5 * n THEN b.w END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n
+          FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
 }
