@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import backoff_lm, bloom_cascade, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
+from . import backoff_lm, bloom_cascade, conversation_repair, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
 from .common import table
 
 
@@ -73,8 +73,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_resampling, op4_backoff_lm, op5_bloom_cascade,
-                                 op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece, op11_spelling)}
+                                 op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece, op11_spelling,
+                                 op12_conversations)}
 
 _RULES = ", ".join(f"('{key}', '{key[: key.index('/')]}', '{key[key.index('/') :]}', '{verdict}')" for key, verdict in URL_RULES)
 _WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
@@ -119,4 +124,43 @@ forms AS (SELECT w.word, CASE WHEN -b.m >= 5 * n THEN b.w END AS form, n, coales
 walk AS (SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL),
 roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
+    "op12_conversations": f"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 {_crc("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)")} % 20 AS k
+          FROM conversations, crc_table),
+after AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                 CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE k <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                  rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS body FROM after),
+judged AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                  CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                       WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM judged),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS e, {{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s,
+         {{'c': 5::BIGINT, 'a': 'I', 't': ['user:']}} AS u, {{'c': 10::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS v
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, e, s, u, list_min([v, {{'c': u.c + 5, 'a': u.a || 'I', 't': u.t || ['assistant:']}}]) FROM (
+    SELECT conv_id, i, e, s, v, list_min([u, {{'c': e.c + 5, 'a': e.a || 'I', 't': e.t || ['user:']}}, {{'c': s.c + 5, 'a': s.a || 'I', 't': s.t || ['user:']}},
+                                          {{'c': v.c + 5, 'a': v.a || 'I', 't': v.t || ['user:']}}]) AS u FROM (
+      SELECT w.conv_id, r.i, {{'c': e.c + 2, 'a': e.a || 'D', 't': e.t}} AS e,
+        list_min([{{'c': s.c + 2, 'a': s.a || 'D', 't': s.t}},
+                  {{'c': e.c + r.more + CASE WHEN r.x = 's' THEN 0 ELSE 1000000000 END, 'a': e.a || 'K', 't': e.t || [r.role || ':' || r.text]}}]) AS s,
+        list_min(list_concat([{{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}}], flatten(list_transform([e, s, v], lambda q: [
+                  {{'c': q.c + r.more + CASE WHEN r.x = 'u' THEN 0 ELSE 1000000000 END, 'a': q.a || 'K', 't': q.t || [r.role || ':' || r.text]}},
+                  {{'c': q.c + r.more + 1, 'a': q.a || 'R', 't': q.t || ['user:' || r.text]}}])))) AS u,
+        list_min([{{'c': v.c + 2, 'a': v.a || 'D', 't': v.t}},
+                  {{'c': u.c + r.more + CASE WHEN r.x = 'a' THEN 0 ELSE 1000000000 END, 'a': u.a || 'K', 't': u.t || [r.role || ':' || r.text]}},
+                  {{'c': u.c + r.more + 1, 'a': u.a || 'R', 't': u.t || ['assistant:' || r.text]}}]) AS v
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+done AS (SELECT conv_id, arg_max(list_min([e, v]), i) AS p FROM walk GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, p.c AS cost, p.a AS audit, sha256(array_to_string(p.t, chr(10))) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }
