@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import backoff_lm, bloom_cascade, conversation_repair, decontamination, jaccard_join, language_fusion, line_templates, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
+from . import backoff_lm, bloom_cascade, conversation_repair, decontamination, jaccard_join, language_fusion, line_templates, pii_sanitisation, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
 from .common import table
 
 
@@ -77,9 +77,15 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_sanitisation.sanitised(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term",
+                        F.sha2("clean", 256).alias("clean_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_resampling, op4_backoff_lm, op5_bloom_cascade,
                                  op6_jaccard_join, op7_language_fusion, op8_decontamination, op9_sharding, op10_sentencepiece, op11_spelling,
-                                 op12_conversations)}
+                                 op12_conversations, op13_pii)}
 
 _RULES = ", ".join(f"('{key}', '{key[: key.index('/')]}', '{key[key.index('/') :]}', '{verdict}')" for key, verdict in URL_RULES)
 _WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
