@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordering import broadcast_if_small
 from .bloom_cascade import host_and_path
 from .common import hot_split_join, slices, written
 
@@ -99,9 +100,9 @@ def _normal(logs: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
-    """Sums of the belief vectors by key, as one array column."""
-    got = rows.groupBy(*keys).agg(*[F.sum(F.col("belief")[k]).alias(f"_s{k}") for k in range(n)])
+def _sums(rows: DataFrame, keys: list[str], n: int, name: str, of: str = "belief") -> DataFrame:
+    """Sums of the vectors ``of`` by key, as one array column."""
+    got = rows.groupBy(*keys).agg(*[F.sum(F.col(of)[k]).alias(f"_s{k}") for k in range(n)])
     return got.select(*keys, F.array(*[f"_s{k}" for k in range(n)]).alias(name))
 
 
@@ -140,14 +141,15 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         held = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(sums, parent, lambda a, p: (F.greatest(a, F.lit(0.0)) + weight * p) / (F.greatest(held, F.lit(0.0)) + weight))
 
-    # what declarations and suffixes say, believed as far as texts bear them out: P(value | language)
-    by_declared = _sums(said, ["declared"], n, "d")
-    by_suffix = _sums(said, ["suffix"], n, "u")
-    by_domain = _sums(said, ["domain"], n, "m")
-    by_host = _sums(said, ["host"], n, "o")
-    full = said
-    for sums, key in ((by_declared, "declared"), (by_suffix, "suffix"), (by_domain, "domain"), (by_host, "host")):
-        full = hot_split_join(full, sums, [key])
+    # sums of each level come from those of the level below it, so pages are summed once and joined once by host
+    by_host = written(_sums(said, ["host", "domain", "suffix"], n, "o"), "language-hosts")
+    by_domain = written(_sums(by_host, ["domain", "suffix"], n, "m", "o"), "language-domains")
+    by_suffix = written(_sums(by_domain, ["suffix"], n, "u", "m"), "language-suffixes")
+    by_domain = written(hot_split_join(by_domain, by_suffix, ["suffix"]).drop("suffix"), "language-domains")
+    by_host = written(hot_split_join(by_host, by_domain, ["domain"]).drop("domain", "suffix"), "language-hosts")
+    # what declarations say, believed as far as texts bear them out: P(value | language); two or three letters, so few
+    by_declared = broadcast_if_small(written(_sums(said, ["declared"], n, "d"), "language-declared"))
+    full = hot_split_join(said, by_host, ["host"]).join(by_declared, "declared")
     own = F.col("belief")
     less = lambda sums: F.zip_with(sums, own, lambda a, b: a - b)  # noqa: E731  without the page itself
     suffix_prior = smooth(less(F.col("u")), flat, SUFFIX_WEIGHT)
