@@ -34,14 +34,18 @@ def hash_pair(*cols) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(-7046029254386353131), *cols)
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int = 100) -> DataFrame:
+def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int = 100,
+                   hot: list[tuple] | None = None) -> DataFrame:
     """Equi-join against ``right`` (one row per key) whatever the skew of ``left``.
 
     The ``most`` commonest keys of the left side are joined by broadcast, so that
-    no key of the rest holds more than ``1/most`` of the rows. ``keys`` must not be null.
+    no key of the rest holds more than ``1/most`` of the rows. ``keys`` must not be
+    null. ``hot`` names the commonest keys where the caller knows them; else they are
+    counted first, so ``left`` is best a stored table.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    hot = [tuple(r[k] for k in keys) for r in counts.orderBy(F.desc("_n")).limit(most).collect()]
+    if hot is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        hot = [tuple(r[k] for k in keys) for r in counts.orderBy(F.desc("_n")).limit(most).collect()]
     if not hot:
         return left.join(right, keys, how)
     hot_keys = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)

@@ -26,49 +26,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import hash_pair, let, written
+from .common import hash_pair, hot_split_join, let, written
 
 DEPTH, SIMILARITY, MIN_LINES = 3, 0.7, 3
 LONG_LINE = 20                  # tokens of a line that two documents do not share by chance
 SHARE = 0.5                     # of its template's size, for a token to stay fixed
 WILDCARD = "<*>"
 LEAF_CLASSES = 1 << 20
+HOT = 100                       # lines joined by broadcast, however many documents have them
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens, those with a digit as wildcards, with one space between
-    them. Most lines have single spaces and no digits and are only looked at."""
+def masked_lines(text: Column) -> Column:
+    """array<string>: the lines of a text, each with its tokens one space apart and those
+    with a digit as wildcards. The text is rewritten as a whole, and only where it has something to rewrite."""
     def spaced(t: Column) -> Column:
-        return F.when(t.rlike("[\\t\\x0B\\f\\r]|  "), F.regexp_replace(t, r"\s+", " ")).otherwise(t)
+        odd = t.rlike("[\\t\\x0B\\f\\r]|  | \\n|\\n |^ | $")
+        return F.when(odd, F.btrim(F.regexp_replace(F.regexp_replace(t, "[ \\t\\x0B\\f\\r]+", " "), " ?\\n ?", "\n"), F.lit(" "))).otherwise(t)
 
     def without_digits(t: Column) -> Column:
-        return F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"\S*[0-9]\S*", WILDCARD)).otherwise(t)
-    return let(let(F.btrim(line, F.lit(" \t\x0b\f\r")), spaced), without_digits)
+        return F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"[^\s0-9]*+[0-9]\S*+", WILDCARD)).otherwise(t)
+    return F.split(without_digits(spaced(text)), "\n")
 
 
-def _line_ids(masked_line: Column) -> Column:
-    """struct(l1, l2): 128 bits that identify a masked line."""
-    l1, l2 = hash_pair(masked_line)
-    return F.struct(l1.alias("l1"), l2.alias("l2"))
-
-
-def _described(depth: int):
-    """line -> struct(id, n, leaf, line): its number of tokens and its leaf."""
-    def describe(line: Column) -> Column:
-        def of(t: Column) -> Column:
-            n = F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
-            return let(n, lambda n: F.struct(_line_ids(t).alias("id"), n.alias("n"), F.xxhash64(
-                n, F.substring_index(t, " ", depth)).alias("leaf"), t.alias("line")))
-        return let(masked(line), of)
-    return describe
+def _described(lines: DataFrame, depth: int) -> DataFrame:
+    """``lines`` (line) with l1, l2 (128 bits that identify a masked line), its number of tokens n and its leaf."""
+    l1, l2 = hash_pair("line")
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return lines.where("line <> ''").withColumn("l1", l1).withColumn("l2", l2).withColumn("n", n).withColumn(
+        "leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
 
 
 def _lines(rows: DataFrame, depth: int) -> DataFrame:
     """(key, h, l1, l2, n, leaf): the distinct masked lines of each document."""
-    each = F.transform(F.split("text", "\n"), _described(depth))
-    each = F.filter(F.transform(each, lambda x: x.dropFields("line")), lambda x: x["n"] > 0)
-    return rows.select("key", "h", F.explode(F.array_distinct(each)).alias("x")).select(
-        "key", "h", "x.id.l1", "x.id.l2", "x.n", "x.leaf")
+    each = rows.select("key", "h", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line"))
+    return _described(each, depth).select("key", "h", "l1", "l2", "n", "leaf")
 
 
 def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
@@ -81,8 +72,8 @@ def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: f
     leaves = distinct.where(F.col("n") > depth).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     in_class = F.pmod(F.col("leaf"), F.lit(LEAF_CLASSES)).cast("int")
     classes = F.broadcast(leaves.select(in_class.alias("class")).distinct())
-    each = F.filter(F.transform(F.split("text", "\n"), _described(depth)), lambda x: x["n"] > depth)
-    spelt = (rows.select(F.explode(each).alias("x")).select("x.id.l1", "x.id.l2", "x.n", "x.leaf", "x.line")
+    each = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line"))
+    spelt = (_described(each, depth).where(F.col("n") > depth)
              .withColumn("class", in_class).join(classes, "class", "left_semi")
              .groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("line").alias("line"))
              .join(leaves.select("leaf", "n"), ["leaf", "n"]))
@@ -105,22 +96,32 @@ def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: f
 
 
 def recurring_lines(rows: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY,
-                    min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> tuple[DataFrame, DataFrame]:
-    """(lines, recurring): the distinct lines of each document, and (l1, l2,
-    first, generalised) for every line whose template recurs."""
+                    min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
+    """(key, h, l1, l2, generalised): the lines that documents lose, one row for each
+    distinct line of a document whose template recurs and which is not the first to have it.
+
+    A document is told by a hash of (key, h) while templates are counted, so that
+    the sums stay in hash tables; only the lines of recurring templates are asked
+    for the first document.
+    """
     lines = written(_lines(rows, depth), "lines")
-    who = F.struct("key", "h")
+    who = F.xxhash64("key", "h")
     distinct = lines.groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("m"),
-                                             F.min(who).alias("first"), F.max(who).alias("last"))
+                                             F.min(who).alias("least"), F.max(who).alias("most"))
     distinct = written(distinct, "distinct-lines")
     general = written(_generalised(rows, distinct, depth, similarity), "line-templates")
-    recurs = ((F.col("m") >= min_lines) | (F.col("n") >= long_line)) & (F.col("first") != F.col("last"))
+    recurs = ((F.col("m") >= min_lines) | (F.col("n") >= long_line)) & (F.col("least") != F.col("most"))
     some = distinct.join(general, ["l1", "l2"])
-    kept = some.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.min("first").alias("first"), F.max("last").alias("last")).where(recurs)
-    wide = general.join(kept.select("t1", "t2", "first"), ["t1", "t2"]).select("l1", "l2", "first", F.lit(True).alias("generalised"))
+    kept = some.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.min("least").alias("least"), F.max("most").alias("most")).where(recurs)
+    wide = general.join(kept.select("t1", "t2"), ["t1", "t2"]).select("l1", "l2", "t1", "t2", F.lit(True).alias("generalised"))
     plain = (distinct.where(recurs).join(general, ["l1", "l2"], "left_anti")
-             .select("l1", "l2", "first", F.lit(False).alias("generalised")))
-    return lines, plain.unionByName(wide)
+             .select("l1", "l2", F.col("l1").alias("t1"), F.col("l2").alias("t2"), F.lit(False).alias("generalised")))
+    recurring = written(plain.unionByName(wide), "recurring-lines")
+    hot = [(r["l1"], r["l2"]) for r in distinct.join(recurring, ["l1", "l2"], "left_semi").orderBy(F.desc("m")).limit(HOT).collect()]
+    hit = written(hot_split_join(lines.select("key", "h", "l1", "l2"), recurring, ["l1", "l2"], hot=hot), "recurring-hits")
+    first = written(hit.groupBy("t1", "t2").agg(F.min(F.struct("key", "h")).alias("first")), "recurring-first")
+    lost = hot_split_join(hit, first, ["t1", "t2"])
+    return lost.where(~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("h") == F.col("first.h")))).select("key", "h", "l1", "l2", "generalised")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
@@ -140,23 +141,23 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.col(f"row.`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     rows = rows.select(F.col(f"row.`{id_col}`").alias("key"), F.xxhash64(text).alias("h"), "row")
-    lines, recurring = recurring_lines(rows.select("key", "h", text.alias("text")), depth, similarity, min_lines, long_line)
-    hit = lines.join(recurring, ["l1", "l2"]).where(
-        ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("h") == F.col("first.h"))))
+    hit = recurring_lines(rows.select("key", "h", text.alias("text")), depth, similarity, min_lines, long_line)
     lost = hit.groupBy("key", "h").agg(
         F.collect_set(F.struct("l1", "l2")).alias("gone"),
         F.collect_set(F.when(F.col("generalised"), F.struct("l1", "l2"))).alias("wide")).withColumnsRenamed({"key": "k", "h": "g"})
     joined = rows.join(lost, rows["key"].eqNullSafe(lost["k"]) & (rows["h"] == lost["g"]), "left")
-    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _line_ids(masked(x)).alias("id")))
     none = F.col("gone").isNull()
     n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
-    cut = F.when(~none, let(parts, lambda ps: F.struct(
-        F.filter(ps, lambda p: ~F.array_contains(F.col("gone"), p["id"])).alias("stay"),
-        F.size(F.filter(ps, lambda p: F.array_contains(F.col("wide"), p["id"]))).alias("wide"))))
+
+    def divided(ids: Column) -> Column:
+        return F.struct(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("gone"), ids[i])).alias("stay"),
+                        F.size(F.filter(ids, lambda x: F.array_contains(F.col("wide"), x))).alias("wide"))
+    ids = F.transform(masked_lines(text), lambda x: F.struct(*[h.alias(c) for h, c in zip(hash_pair(x), ("l1", "l2"))]))
+    cut = F.when(~none, let(ids, divided))
     out = joined.select("row", none.alias("whole"), n.alias("n"), cut.alias("cut")).select("row", "whole", "n", "cut.stay", "cut.wide")
     if drop_emptied:
-        out = out.where(F.col("whole") | F.exists("stay", lambda p: F.trim(p["line"]) != ""))
-    kept = F.when(F.col("whole"), text).otherwise(F.array_join(F.transform("stay", lambda p: p["line"]), "\n"))
+        out = out.where(F.col("whole") | F.exists("stay", lambda x: F.trim(x) != ""))
+    kept = F.when(F.col("whole"), text).otherwise(F.array_join("stay", "\n"))
     counts = [F.col("n").alias("n_lines"), F.when(F.col("whole"), 0).otherwise(F.col("n") - F.size("stay")).alias("n_dropped"),
               F.coalesce("wide", F.lit(0)).alias("n_generalised")] if stats else []
     return out.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns], *counts)
