@@ -55,16 +55,21 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return cold.unionByName(mark.where("_hot").drop("_hot").join(F.broadcast(hot_right), keys, how))
 
 
+def size_slices(sizes, limit: int = SLICE_BYTES):
+    """(from, to) ranges of ``sizes`` that come to ``limit`` at most; a larger one is a range of its own."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def slices(texts, limit: int = SLICE_BYTES):
-    """(from, to) ranges of ``texts`` of about ``limit`` characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    """``size_slices`` of texts by their characters."""
+    return size_slices([len(t) if t else 0 for t in texts], limit)
 
 
 def hashed_words(token_lists: list[list]) -> tuple[np.ndarray, np.ndarray]:

@@ -25,15 +25,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices
+from .common import size_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6     # piece types of the model format
 SEGMENT = re.compile(" +[^ ]*")
-GROUP, LINE = 65_536, 128        # words looked at together; words of one line
+GROUP, LINE = 32_768, 128        # words looked at together; words of one line
+KEEP = 100_000                   # segments that a task remembers, at some 250 bytes each
 
 
 def _fields(buf: bytes):
@@ -129,7 +130,7 @@ def segmentable(spec: dict) -> bool:
 class Codec:
     """Encoder and decoder of one task, with a bounded memory of segments."""
 
-    def __init__(self, tokenizer_json: str, model: bytes, by_segment: bool, threads: int = 2, keep: int = 300_000):
+    def __init__(self, tokenizer_json: str, model: bytes, by_segment: bool, threads: int = 2, keep: int = KEEP):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -219,10 +220,11 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
     true. ``round_trip`` is false where the model's normaliser changes the text.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     parts = load_model(model_path)
     new = ("token_ids", "n_tokens", "parity", "round_trip")
-    docs = docs.select(*[c for c in docs.columns if c not in new])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     schema = T.StructType(docs.schema.fields + [
         T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()),
         T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
@@ -230,9 +232,9 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
     def run(batches):
         codec = Codec(*parts, threads=threads)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for a, b in slices(texts):
-                ids, same, back = codec.encode(texts[a:b])
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for a, b in size_slices(pc.binary_length(column).fill_null(0).to_pylist()):
+                ids, same, back = codec.encode(column.slice(a, b - a).to_pylist())
                 lens = np.fromiter(map(len, ids), np.int32, len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
