@@ -40,7 +40,9 @@ def masked_lines(text: Column) -> Column:
     """array<string>: the lines of a text, each with its tokens one space apart and those
     with a digit as wildcards. The text is rewritten as a whole, and only where it has something to rewrite."""
     def spaced(t: Column) -> Column:
-        odd = t.rlike("[\\t\\x0B\\f\\r]|  | \\n|\\n |^ | $")
+        odd = t.rlike("[\\t\\x0B\\f\\r]") | t.startswith(" ") | t.endswith(" ")
+        for pair in ("  ", " \n", "\n "):
+            odd = odd | t.contains(pair)
         return F.when(odd, F.btrim(F.regexp_replace(F.regexp_replace(t, "[ \\t\\x0B\\f\\r]+", " "), " ?\\n ?", "\n"), F.lit(" "))).otherwise(t)
 
     def without_digits(t: Column) -> Column:
@@ -57,31 +59,30 @@ def _described(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def _lines(rows: DataFrame, depth: int) -> DataFrame:
-    """(key, h, l1, l2, n, leaf): the distinct masked lines of each document."""
+    """(key, h, line, l1, l2, n, leaf): the distinct masked lines of each document."""
     each = rows.select("key", "h", F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line"))
-    return _described(each, depth).select("key", "h", "l1", "l2", "n", "leaf")
+    return _described(each, depth)
 
 
-def _generalised(rows: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
+def _generalised(lines: DataFrame, distinct: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(l1, l2, t1, t2): lines that have a template with variable fields.
 
-    The lines to be spelt out are found in a second scan, in which a broadcast
-    of the leaves' hash classes (at most LEAF_CLASSES numbers) passes over the
-    others before anything is shuffled.
+    A broadcast of the leaves' hash classes (at most LEAF_CLASSES numbers) passes over
+    the stored lines of other leaves before anything is shuffled. A leaf's hash covers its token count.
     """
     leaves = distinct.where(F.col("n") > depth).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     in_class = F.pmod(F.col("leaf"), F.lit(LEAF_CLASSES)).cast("int")
     classes = F.broadcast(leaves.select(in_class.alias("class")).distinct())
-    each = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line"))
-    spelt = (_described(each, depth).where(F.col("n") > depth)
+    spelt = (lines.where(F.col("n") > depth).select("l1", "l2", "n", "leaf", "line")
              .withColumn("class", in_class).join(classes, "class", "left_semi")
              .groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("line").alias("line"))
              .join(leaves.select("leaf", "n"), ["leaf", "n"]))
     places = spelt.select("l1", "l2", "n", "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= depth)
-    places = written(places.withColumn("token", F.xxhash64("token")), "line-places")
-    shared = places.groupBy("leaf", "n", "pos", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    marks = places.join(shared, ["leaf", "n", "pos", "token"], "left")
-    each = marks.groupBy("l1", "l2", "n", "leaf").agg(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "pos", "token")).alias("all"))
+    places = written(places.select("l1", "l2", "n", "leaf", "pos", F.xxhash64("pos", "token").alias("token")), "line-places")
+    shared = places.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    marks = places.join(shared, ["leaf", "token"], "left")
+    each = marks.groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"),
+                                         F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "pos", "token")).alias("all"))
     needed = F.greatest(F.ceil(F.lit(similarity) * F.col("n")).cast("int") - depth, F.lit(1))
     level = F.sort_array(F.transform("all", lambda x: x["m"]), asc=False)[F.least(needed, F.size("all")) - 1]
     fixed = let(level, lambda least: F.filter("all", lambda x: (x["m"] > 1) & (x["m"] >= F.lit(SHARE) * least)))
@@ -109,7 +110,7 @@ def recurring_lines(rows: DataFrame, depth: int = DEPTH, similarity: float = SIM
     distinct = lines.groupBy("l1", "l2").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("m"),
                                              F.min(who).alias("least"), F.max(who).alias("most"))
     distinct = written(distinct, "distinct-lines")
-    general = written(_generalised(rows, distinct, depth, similarity), "line-templates")
+    general = written(_generalised(lines, distinct, depth, similarity), "line-templates")
     recurs = ((F.col("m") >= min_lines) | (F.col("n") >= long_line)) & (F.col("least") != F.col("most"))
     some = distinct.join(general, ["l1", "l2"])
     kept = some.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.min("least").alias("least"), F.max("most").alias("most")).where(recurs)
