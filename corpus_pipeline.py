@@ -12,8 +12,18 @@ from finch.llm.common import table
 from finch.session import scratch_path
 
 
+# Rows of text that a Python worker unpacks at a time; workers live on from stage to stage and keep what they once took.
+BATCH_ROWS = 500
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling draws; the others go."""
+    bounded(spark)
     return resampling.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,16 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
+    bounded(spark)
     return jaccard_join.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whole or edited."""
+    bounded(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
+    bounded(spark)
     return sentencepiece_codec.encode_documents(docs)
 
 
