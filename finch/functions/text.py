@@ -13,8 +13,8 @@ PY_SPACE = "[\\s\\x1c-\\x1f]"
 PY_LINE_BREAK = "\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 # Whitespace that separates sentences (ASCII, so both regex dialects agree).
 SENTENCE_GAP = "[ \\t\\n\\r\\f]+"
-SENTENCE_TRIM = "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$"
-_MARK = "\u0001"
+SENTENCE_BLANKS = " \t\n\r\f\x0b"
+_MARK, _ESCAPE = "\u0001", "\u0002"
 
 
 def _c(col) -> Column:
@@ -52,12 +52,26 @@ def clean_pdf_text(col, lowercase: bool = True) -> Column:
 def sentence_split(col) -> Column:
     """Rule sentence splitter: break after . ! ? (plus closing quotes or
     brackets) followed by whitespace; strip each sentence, drop empty ones."""
-    # a marker character in the text itself becomes marker + "t", a boundary is marker + "b"
-    safe = F.replace(_c(col), F.lit(_MARK), F.lit(_MARK + "t"))
-    marked = F.regexp_replace(safe, f"({SENTENCE_END}{SENTENCE_CLOSERS}){SENTENCE_GAP}", "$1" + _MARK + "b")
-    parts = F.transform(F.split(marked, _MARK + "b"), lambda s: F.replace(
-        F.regexp_replace(s, SENTENCE_TRIM, ""), F.lit(_MARK + "t"), F.lit(_MARK)))
-    return F.filter(parts, lambda s: s != "")
+    def pieces(text: Column) -> Column:
+        return F.split(F.regexp_replace(text, f"({SENTENCE_END}{SENTENCE_CLOSERS}){SENTENCE_GAP}", "$1" + _MARK), _MARK)
+
+    def trimmed(s: Column) -> Column:
+        return F.btrim(s, F.lit(SENTENCE_BLANKS))
+    text = _c(col)
+    # a marker character in the text itself becomes two others meanwhile
+    safe = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "e")), F.lit(_MARK), F.lit(_ESCAPE + "m"))
+    rare = F.transform(pieces(safe), lambda s: F.replace(F.replace(trimmed(s), F.lit(_ESCAPE + "m"), F.lit(_MARK)), F.lit(_ESCAPE + "e"), F.lit(_ESCAPE)))
+    return F.filter(F.when(text.contains(_MARK), rare).otherwise(F.transform(pieces(text), trimmed)), lambda s: s != "")
+
+
+def sentence_count(col) -> Column:
+    """``size(sentence_split(text))`` without building a sentence: every boundary
+    ends one, and there is one more unless only blanks are left behind the last."""
+    text = _c(col)
+    boundary = f"{SENTENCE_END}{SENTENCE_CLOSERS}{SENTENCE_GAP}"
+    body = F.rtrim(text, F.lit(SENTENCE_BLANKS))
+    ends = F.when(F.length(body) < F.length(text), text.rlike(f"{boundary}[{SENTENCE_BLANKS}]*\\z")).otherwise(F.lit(False))
+    return F.regexp_count(text, F.lit(boundary)) + F.when((body == "") | ends, 0).otherwise(1)
 
 
 def splitlines(col) -> Column:

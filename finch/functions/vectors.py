@@ -28,11 +28,16 @@ def token_buckets(col, dim: int = HASH_DIM) -> Column:
 
 
 def sparse_string(buckets) -> Column:
-    """"bucket:count" pairs in bucket order: the hashed vector in sparse form."""
-    b = _c(buckets)
-    return F.array_join(F.transform(F.array_distinct(F.array_sort(b)),
-                                    lambda i: F.concat(i.cast("string"), F.lit(":"),
-                                                       F.size(F.filter(b, lambda x: x == i)).cast("string"))), ",")
+    """"bucket:count" pairs in bucket order: the hashed vector in sparse form. The
+    sorted buckets are read as runs."""
+    def runs(b: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (b[i] != b[F.greatest(i - 1, F.lit(0))]))
+
+        def spelt(at: Column) -> Column:
+            return F.array_join(F.transform(at, lambda i, k: F.concat(b[i].cast("string"), F.lit(":"), (
+                F.coalesce(F.get(at, k + 1), F.size(b)) - i).cast("string"))), ",")
+        return F.transform(F.array(starts), spelt)[0]
+    return F.when(F.size(_c(buckets)) > 0, F.transform(F.array(F.sort_array(_c(buckets))), runs)[0]).when(_c(buckets).isNotNull(), F.lit(""))
 
 
 def dense_to_sparse_string(vec) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
-from ..functions.text import clean_pdf_text, pages_of, sentence_split
+from ..functions.text import clean_pdf_text, pages_of, sentence_count, sentence_split
 
 
 def split_pages(docs: DataFrame, id_col: str, text_col: str, page_chars: int = 2000) -> DataFrame:
@@ -29,20 +29,22 @@ def concat_pages(pages: DataFrame, doc_col: str, page_col: str = "page_no",
     return pages.groupBy(doc_col).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(text_col))
 
 
-def split_with(splitter: Callable[[str], list[str]]):
-    """Plug-in sentence splitter (e.g. a Punkt model) as an Arrow-batched
-    pandas UDF: str -> array<string>; the model loads once per worker."""
+def split_with(factory: Callable[[], Callable[[str], list[str]]]):
+    """Plug-in sentence splitter (e.g. a Punkt model) as an Arrow-batched pandas
+    UDF: str -> array<string>. ``factory()`` builds the splitter once per task, inside the worker."""
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[s.strip() for s in splitter(t) if s.strip()] if t is not None else None for t in texts])
+    def _split(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        splitter = factory()
+        for texts in chunks:
+            yield pd.Series([[s.strip() for s in splitter(t) if s.strip()] if t is not None else None for t in texts], dtype=object)
     return _split
 
 
 def chunk_sentences(docs: DataFrame, doc_col: str, text_col: str, clean: bool = False,
-                    lowercase: bool = True, splitter: Callable[[str], list[str]] | None = None) -> DataFrame:
+                    lowercase: bool = True, splitter: Callable[[], Callable[[str], list[str]]] | None = None) -> DataFrame:
     """Sentence chunks -> (doc, pos, text), keyed by (doc, pos). Text files are chunked as
     they are; page text from PDFs is cleaned first (``clean=True``). The rule
-    splitter runs JVM-side; ``splitter`` plugs in any Python splitter."""
+    splitter runs JVM-side; ``splitter`` plugs in any Python splitter by its factory."""
     text = clean_pdf_text(text_col, lowercase) if clean else F.col(text_col)
     parts = split_with(splitter)(text) if splitter else sentence_split(text)
     return docs.select(F.col(doc_col), F.posexplode(parts).alias("pos", "text"))
@@ -56,7 +58,7 @@ def dense_chunk_ids(docs: DataFrame, doc_col: str, text_col: str, out_col: str =
     over the counts table, never over chunk rows); positions are exploded last,
     from the counts alone, so each text is split once and never moves.
     """
-    counts = docs.select(doc_col, F.size(sentence_split(F.col(text_col))).alias("_n")).where("_n > 0")
+    counts = docs.select(doc_col, sentence_count(text_col).alias("_n")).where("_n > 0")
     offs = _prefix_sums(counts, doc_col, "_n", "_off")
     pos = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("pos")
     return offs.select(doc_col, pos, "_off").select(doc_col, "pos", (F.col("_off") + F.col("pos")).alias(out_col))

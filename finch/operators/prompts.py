@@ -66,14 +66,15 @@ def validate_profiles(raw: DataFrame, int_cols=("age", "income", "debt", "assets
 
 
 def generate(df: DataFrame, key_cols: list[str], prompt_col: str,
-             generator: Callable[[list[str]], list[str]], attempt: int = 1) -> DataFrame:
-    """Run an injected text generator over prompts in Arrow batches ->
-    (keys..., attempt, response). The generator builds its client once per
-    Python worker; tests pass a deterministic stub."""
+             factory: Callable[[], Callable[[list[str]], list[str]]], attempt: int = 1) -> DataFrame:
+    """Run a text generator over prompts in Arrow batches -> (keys..., attempt,
+    response). ``factory()`` builds the generator (its client, its model) once per task, inside
+    the worker; only the factory travels with the plan. Tests pass a deterministic stub."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in key_cols) + ", attempt int, response string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generator = factory()
         for pdf in batches:
             out = pdf[key_cols].copy()
             out["attempt"] = attempt

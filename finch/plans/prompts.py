@@ -102,7 +102,7 @@ def prompt_notebook_local(spark, d):
 
 def answer_lines(spark, d):
     """A local model's answers, split into lines."""
-    answers = pr.generate(prompt_notebook_local(spark, d), ["profile_id", "item_id"], "prompt", pr.StubGenerator())
+    answers = pr.generate(prompt_notebook_local(spark, d), ["profile_id", "item_id"], "prompt", pr.StubGenerator)
     return answers.select("profile_id", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
 
 
@@ -129,13 +129,13 @@ def profile_validate(spark, d):
 
 
 def eval_scores(spark, d):
-    """P8 on stored vectors: triples (3i, 3i+1, 3i+2) = (true, RAG, non-RAG)."""
+    """P8 on stored vectors: triples (3i, 3i+1, 3i+2) = (true, RAG, non-RAG). Every
+    case stays; one that lacks a vector has no score with it."""
     e = load(spark, d, "embeddings", ["vec_id", "embedding"])
     role = F.pmod("vec_id", F.lit(3))
     g = (e.groupBy(F.floor(F.col("vec_id") / 3).alias("case_id"))
           .agg(*[F.first(F.when(role == r, F.col("embedding")), ignorenulls=True).alias(n)
-                 for r, n in ((0, "t"), (1, "r"), (2, "n"))])
-          .where(F.col("t").isNotNull() & F.col("r").isNotNull() & F.col("n").isNotNull()))
+                 for r, n in ((0, "t"), (1, "r"), (2, "n"))]))
     s = ev.score_vectors(g, "t", "r", "n")
     return s.select("case_id", F.round("rag_score", 6).alias("rag_score"), F.round("non_rag_score", 6).alias("non_rag_score"))
 
@@ -160,7 +160,7 @@ def eval_text_scores(spark, d):
 
 def generate_answers(spark, d):
     """The generator plug-in over every RAG prompt (stub model)."""
-    return pr.generate(prompt_rag(spark, d), ["profile_id", "item_id"], "prompt", pr.StubGenerator())
+    return pr.generate(prompt_rag(spark, d), ["profile_id", "item_id"], "prompt", pr.StubGenerator)
 
 
 QUERIES = {
@@ -297,7 +297,7 @@ g AS (SELECT case_id, any_value(e) FILTER (WHERE role = 0) AS t, any_value(e) FI
 SELECT case_id,
   round(list_inner_product(t, r) / sqrt(list_inner_product(t, t) * list_inner_product(r, r)), 6) AS rag_score,
   round(list_inner_product(t, n) / sqrt(list_inner_product(t, t) * list_inner_product(n, n)), 6) AS non_rag_score
-FROM g WHERE t IS NOT NULL AND r IS NOT NULL AND n IS NOT NULL""",
+FROM g""",
     "eval_text_scores": (f"WITH {_SPARSE_CONV} SELECT cases.conv_id, cases.q_turn, round(r.sim, 6) AS rag_score, "
                          f"round(n.sim, 6) AS non_rag_score FROM cases LEFT JOIN {_sparse_cos('side_t', 'side_r')} r USING (conv_id, q_turn) "
                          f"LEFT JOIN {_sparse_cos('side_t', 'side_n')} n USING (conv_id, q_turn)"),

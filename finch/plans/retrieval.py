@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.vectors import HASH_DIM, cosine, dense_to_sparse_string, sparse_string
+from ..operators.ann import ann_topk as search_lists, build_index
 from ..operators.chunks import chunk_sentences
 from ..operators.ordering import broadcast_if_small
 from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_new, embed_with, knn_topk, search_report
 from ..session import scratch_path
+from ..sinks.keyed import embed_upsert as upsert_embeddings, read_keyed
 from .common import load, r6, sql_chunks, sql_sparse, sql_topk_buckets
 
 EMBEDDING_DIM = 64              # width of the stored vectors
@@ -119,7 +121,35 @@ def plugin_topk_dedup(spark: SparkSession, d: str) -> DataFrame:
     return hits.select(F.col("qid").alias("item_id"), F.col("cid").alias("conv_id"), F.col("cpos").cast("long").alias("turn"), "rank", F.round("sim", 6).alias("sim"))
 
 
+LISTS = 16
+
+
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """V7: the inverted file over every stored vector, asked with every 20th. All
+    lists are probed here, so that the answer is the exact one."""
+    emb = load(spark, d, "embeddings", ["vec_id", "embedding"])
+    path = scratch_path(spark, "inverted-file")
+    build_index(emb, path, id_col="vec_id", vec_col="embedding", dim=EMBEDDING_DIM, lists=LISTS)
+    hits = search_lists(spark, path, emb.where(F.col("vec_id") % 20 == 0), query_id="vec_id", query_vec="embedding", dim=EMBEDDING_DIM, probes=LISTS)
+    return hits.select(F.col("qid").alias("question"), F.col("cid").alias("vec_id"), "rank", r6("sim"))
+
+
+def embed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """K6 as an update: the chunks of an earlier state of the documents are stored (some texts
+    in draft, some documents not there yet, some that are gone by now), then brought up to date."""
+    path = scratch_path(spark, "embedded-keyed")
+    now = doc_chunks(spark, d)
+    k = F.pmod("doc_id", F.lit(5))
+    earlier = now.where(k != 1).withColumn("text", F.when(k == 2, F.concat(F.lit("Draft: "), "text")).otherwise(F.col("text")))
+    gone = now.where(k == 3).withColumn("doc_id", -1 - F.col("doc_id"))
+    for rows in (earlier.unionByName(gone), now):
+        upsert_embeddings(rows, path, ["doc_id", "pos"], "text", lambda c: embed_buckets(c, "text"), buckets=8)
+    return read_keyed(spark, path).select("doc_id", "pos", "text", sparse_string("buckets").alias("vec"))
+
+
 QUERIES = {
+    "ann_topk": ann_topk,
+    "embed_upsert": embed_upsert,
     "embed_incremental": embed_incremental,
     "semantic_topk": semantic_topk,
     "rag_topk": rag_topk,
@@ -187,6 +217,13 @@ FROM chunks ch LEFT JOIN cnt ON cnt.doc_id = ch.doc_id AND cnt.pos = ch.pos
 GROUP BY ch.doc_id, ch.pos"""
 
 ORACLE = {
+    "ann_topk": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (SELECT q.vec_id AS question, v.vec_id, list_inner_product(q.e, v.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(v.e, v.e)) AS sim
+         FROM v q JOIN v ON q.vec_id % 20 = 0)
+SELECT question, vec_id, rank, round(sim, 6) AS sim FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY sim DESC, vec_id) AS INTEGER) AS rank FROM sims) WHERE rank <= 5""",
+    "embed_upsert": f"SELECT doc_id, pos, text, vec FROM ({_SQL_EMBED}) JOIN ({sql_chunks()}) USING (doc_id, pos)",
     "semantic_topk": _SQL_SEMANTIC,
     "rag_topk": _round_sim(_sql_rag(False)),
     "semantic_topk_dedup": _round_sim(_sql_rag(True)),

@@ -97,7 +97,7 @@ def test_sitemap_reader(spark):
 
 def test_generator_plugin(spark):
     df = spark.createDataFrame([Row(k=1, prompt='x\n   Your Question: "Why?"\n')])
-    out = pr.generate(df, ["k"], "prompt", pr.StubGenerator()).first()
+    out = pr.generate(df, ["k"], "prompt", pr.StubGenerator).first()
     assert out.attempt == 1 and 'Your Question: "Why?"' in out.response
 
 

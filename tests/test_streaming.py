@@ -49,3 +49,38 @@ def test_default_checkpoint_goes_on_in_another_process(spark, tmp_path):
         run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
         assert run.returncode == 0, run.stderr[-1500:]
     assert sorted(r.text for r in spark.read.parquet(sink).collect()) == ["One.", "Three.", "Two."]
+
+
+def test_rewritten_file_and_replayed_batch(spark, tmp_path):
+    from finch.sinks.keyed import read_keyed
+    from finch.streaming.ingest import chunk_upsert, ingest_text_upsert
+    src, sink = tmp_path / "src", str(tmp_path / "table")
+    kw = dict(doc_id_pattern=r"doc-(\d+)", checkpoint=str(tmp_path / "ckpt"), buckets=4)
+
+    def rows():
+        return sorted((r.doc, r.pos, r.text) for r in read_keyed(spark, sink).collect())
+    src.mkdir()
+    (src / "doc-1_a.txt").write_text("One. Two. Three.")
+    (src / "doc-2_a.txt").write_text("Other.")
+    ingest_text_upsert(spark, str(src), sink, **kw)
+    assert rows() == [(1, 0, "One."), (1, 1, "Two."), (1, 2, "Three."), (2, 0, "Other.")]
+    (src / "doc-1_b.txt").write_text("Uno.")
+    (src / "doc-2_b.txt").write_text("  ")
+    ingest_text_upsert(spark, str(src), sink, **kw)
+    assert rows() == [(1, 0, "Uno.")]
+    upsert = chunk_upsert(sink, "stream", buckets=4)
+    batch = spark.createDataFrame([(7, "2024-01-01", "p", "First. Second.")], "doc long, written string, path string, text string")
+    upsert(batch, 5)
+    after = rows()
+    upsert(batch.withColumn("text", batch["text"]), 5)
+    upsert(batch, 5)
+    assert rows() == after == [(1, 0, "Uno."), (7, 0, "First."), (7, 1, "Second.")]
+
+
+def test_last_written_file_of_a_batch_counts(spark, tmp_path):
+    from finch.sinks.keyed import read_keyed
+    from finch.streaming.ingest import chunk_upsert
+    sink = str(tmp_path / "table")
+    rows = [(1, f"2024-01-0{k}", f"p{k}", f"Day {k}. Night {k}.") for k in (2, 3, 1)]
+    chunk_upsert(sink, "s", buckets=2)(spark.createDataFrame(rows, "doc long, written string, path string, text string"), 0)
+    assert sorted((r.pos, r.text) for r in read_keyed(spark, sink).collect()) == [(0, "Day 3."), (1, "Night 3.")]
