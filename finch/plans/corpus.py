@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
+from ..operators.boundaries import chunk_sentences_learnt as _learnt_chunks
 from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk_sentences, clean_pages, \
     concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
@@ -48,6 +49,11 @@ def chunk_sentences_q(spark: SparkSession, d: str) -> DataFrame:
     return doc_chunks(spark, d).select("doc_id", "pos", "text")
 
 
+def chunk_sentences_learnt(spark: SparkSession, d: str) -> DataFrame:
+    """C3 with boundaries learnt from all documents: abbreviations, collocations, starters."""
+    return _learnt_chunks(_docs(spark, d), "doc_id", "text")
+
+
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     """Sequential ids from 0 across all documents."""
     return dense_chunk_ids(_docs(spark, d), "doc_id", "text")
@@ -119,6 +125,7 @@ QUERIES = {
     "pages_concat": pages_concat,
     "pdf_chunks": pdf_chunks,
     "chunk_sentences": chunk_sentences_q,
+    "chunk_sentences_learnt": chunk_sentences_learnt,
     "chunk_ids": chunk_ids,
     "chunk_counts": chunk_counts,
     "phrase_removal": phrase_removal,
@@ -143,7 +150,59 @@ _CONCAT = (f"SELECT doc_id, string_agg({sql_clean_pdf('text')}, '' ORDER BY page
 _PY_WS = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LINES = r"string_split_regex(text, '\r\n|[\n\v\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')"
 
+_WORD = r"""lower(rtrim(ltrim({0}, '"''([{{'), '"'')]}},;:!?'))"""
+_GAP = r"[ \t\n\r\f\v]+"
+
+
+def _word(token: str) -> str:
+    return _WORD.format(token)
+
+
+def _bare(word: str) -> str:
+    return f"regexp_replace({word}, '[.]$', '')"
+
+
+def _xlog(x: str, p: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE ({x}) * ln({p}) END)"
+
+
+def _assoc(a: str, b: str, ab: str, n: str) -> str:
+    rest, p, p1, p2 = f"({n} - {a} - {b} + {ab})", f"({b} / {n})", f"({ab} / {a})", f"(({b} - {ab}) / ({n} - {a}))"
+    return (f"-2 * ({_xlog(ab, p)} + {_xlog(f'({a} - {ab})', f'(1 - {p})')} + {_xlog(f'({b} - {ab})', p)} + {_xlog(rest, f'(1 - {p})')}"
+            f" - {_xlog(ab, p1)} - {_xlog(f'({a} - {ab})', f'(1 - {p1})')} - {_xlog(f'({b} - {ab})', p2)} - {_xlog(rest, f'(1 - {p2})')})")
+
+
+_LEARNT = rf"""
+WITH toks AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_GAP}'), lambda x: x <> '') AS t FROM documents),
+one AS (SELECT {_word('token')} AS w FROM (SELECT unnest(t) AS token FROM toks)),
+counts AS (SELECT {_bare('w')} AS word, count(*) FILTER (ends_with(w, '.')) AS w, count(*) FILTER (NOT ends_with(w, '.')) AS o FROM one
+           GROUP BY 1 HAVING regexp_matches(word, '[\p{{L}}\p{{N}}]')),
+total AS (SELECT sum(w + o)::DOUBLE AS n, sum(w)::DOUBLE / sum(w + o) AS p FROM counts),
+abbr AS (SELECT word FROM (SELECT *, length(word) - length(replace(word, '.', '')) AS inner_n FROM counts), total WHERE w > 0 AND regexp_matches(word, '\p{{L}}')
+         AND 2 * (w * (ln(0.99) - ln(p)) + o * (ln(1 - 0.99) - ln(1 - p))) * exp(-(length(word) - inner_n)) * (inner_n + 1) * pow((length(word) - inner_n)::DOUBLE, -o) >= 0.3),
+after AS (SELECT {_word('x.a')} AS a, {_bare(_word('x.b'))} AS next FROM (
+            SELECT unnest(list_transform(list_filter(range(1, len(t)), lambda i: regexp_matches(t[i], '[.!?]["'')\]]*$')), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x
+            FROM toks WHERE len(t) > 1)),
+pairs AS (SELECT ends_with(a, '.') AS period, {_bare('a')} AS word, next, count(*)::DOUBLE AS m FROM after WHERE regexp_matches(next, '[\p{{L}}\p{{N}}]') GROUP BY ALL),
+size AS (SELECT word, (w + o)::DOUBLE AS c FROM counts),
+coll AS (SELECT pairs.word, pairs.next FROM pairs JOIN size a ON a.word = pairs.word JOIN size b ON b.word = pairs.next, total
+         WHERE period AND m >= 2 AND regexp_matches(pairs.word, '^(\p{{L}}|[0-9][0-9.,-]*)$') AND m * n > a.c * b.c AND {_assoc('a.c', 'b.c', 'm', 'n')} >= 7.88),
+starts AS (SELECT next, sum(m) AS m FROM pairs WHERE NOT period OR word NOT IN (SELECT word FROM abbr) GROUP BY next),
+breaks AS (SELECT sum(m) AS k FROM starts),
+starter AS (SELECT next AS word FROM starts JOIN size b ON b.word = next, total, breaks WHERE m * n > k * b.c AND {_assoc('k', 'b.c', 'm', 'n')} >= 30),
+pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+             SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*)([ \t\n\r\f]+)', '\1\2' || chr(1), 'g'), chr(1)) AS p FROM documents)),
+ends AS (SELECT doc_id, i, piece, {_word(f"list_last(regexp_split_to_array(rtrim(piece, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{_GAP}'))")} AS last,
+                {_bare(_word(f"regexp_split_to_array(ltrim(piece, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{_GAP}')[1]"))} AS first FROM pieces),
+placed AS (SELECT doc_id, i, piece, first, lag(last) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM ends),
+judged AS (SELECT doc_id, i, piece, coalesce(ends_with(before, '.') AND first NOT IN (SELECT word FROM starter)
+             AND ({_bare('before')} IN (SELECT word FROM abbr) OR ({_bare('before')}, first) IN (SELECT (word, next) FROM coll)), false) AS held FROM placed),
+merged AS (SELECT doc_id, s, trim(string_agg(piece, '' ORDER BY i), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS text FROM (
+             SELECT *, sum(CASE WHEN held THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM judged) GROUP BY doc_id, s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS pos, text FROM merged WHERE text <> ''"""
+
 ORACLE = {
+    "chunk_sentences_learnt": _LEARNT,
     "doc_clean": f"SELECT doc_id, {sql_clean_pdf('text')} AS text FROM documents",
     "doc_clean_cased": f"SELECT doc_id, {sql_clean_pdf('text', False)} AS text FROM documents",
     "scan_doc_pages": _PAGES,
