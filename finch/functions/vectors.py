@@ -27,17 +27,21 @@ def token_buckets(col, dim: int = HASH_DIM) -> Column:
     return F.transform(tokens(col), lambda t: F.pmod(token_hash(t), F.lit(dim)).cast("int"))
 
 
-def sparse_string(buckets) -> Column:
-    """"bucket:count" pairs in bucket order: the hashed vector in sparse form. The
-    sorted buckets are read as runs."""
+def run_lengths(values) -> Column:
+    """array<struct<v, n>>: the distinct values of an array in order and how often
+    each stands in it; the sorted values are read as runs. Null for a null array."""
     def runs(b: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (b[i] != b[F.greatest(i - 1, F.lit(0))]))
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(
+            b[i].alias("v"), (F.coalesce(F.get(at, k + 1), F.size(b)) - i).alias("n"))))[0]
+    v = _c(values)
+    full = F.transform(F.array(F.sort_array(v)), runs)[0]
+    return F.when(F.size(v) > 0, full).when(v.isNotNull(), F.filter(F.transform(v, lambda x: F.struct(x.alias("v"), F.lit(0).alias("n"))), lambda _: F.lit(False)))
+
 
-        def spelt(at: Column) -> Column:
-            return F.array_join(F.transform(at, lambda i, k: F.concat(b[i].cast("string"), F.lit(":"), (
-                F.coalesce(F.get(at, k + 1), F.size(b)) - i).cast("string"))), ",")
-        return F.transform(F.array(starts), spelt)[0]
-    return F.when(F.size(_c(buckets)) > 0, F.transform(F.array(F.sort_array(_c(buckets))), runs)[0]).when(_c(buckets).isNotNull(), F.lit(""))
+def sparse_string(buckets) -> Column:
+    """"bucket:count" pairs in bucket order: the hashed vector in sparse form."""
+    return F.array_join(F.transform(run_lengths(buckets), lambda r: F.concat(r["v"].cast("string"), F.lit(":"), r["n"].cast("string"))), ",")
 
 
 def dense_to_sparse_string(vec) -> Column:

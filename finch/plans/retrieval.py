@@ -9,10 +9,11 @@ from ..functions.vectors import HASH_DIM, cosine, dense_to_sparse_string, sparse
 from ..operators.ann import ann_topk as search_lists, build_index
 from ..operators.chunks import chunk_sentences
 from ..operators.ordering import broadcast_if_small
+from ..operators.trained import bucket_weights, embed_trained as with_trained, signed_buckets, train_embedder, weighted_pairs
 from ..operators.retrieval import HashingEmbedder, embed_buckets, embed_new, embed_with, knn_topk, search_report
 from ..session import scratch_path
 from ..sinks.keyed import embed_upsert as upsert_embeddings, read_keyed
-from .common import load, r6, sql_chunks, sql_sparse, sql_topk_buckets
+from .common import load, r6, sql_chunks, sql_sparse, sql_tokens, sql_topk_buckets
 
 EMBEDDING_DIM = 64              # width of the stored vectors
 
@@ -147,7 +148,31 @@ def embed_upsert(spark: SparkSession, d: str) -> DataFrame:
     return read_keyed(spark, path).select("doc_id", "pos", "text", sparse_string("buckets").alias("vec"))
 
 
+WEIGHTED_WIDE = 256
+
+
+def embed_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """V1 trained on the corpus, before its reduction: signed hashed words of every
+    document, weighted by how few documents hold them."""
+    docs = load(spark, d, "documents", ["doc_id", "text"]).select("doc_id", signed_buckets("text", WEIGHTED_WIDE).alias("ids"))
+    weights = bucket_weights(docs.select("ids"), WEIGHTED_WIDE)
+    pairs = F.transform(weighted_pairs(F.col("ids"), weights), lambda p: F.concat(p["b"].cast("string"), F.lit(":"), F.round(p["x"] * 1000).cast("long").cast("string")))
+    return docs.select("doc_id", F.array_join(pairs, ",").alias("vec"))
+
+
+def embed_trained(spark: SparkSession, d: str) -> DataFrame:
+    """V1 to V4 with the trained embedder: the five documents nearest to each benchmark question."""
+    docs = load(spark, d, "documents", ["doc_id", "text"])
+    model = train_embedder(docs, "text")
+    dim = model.basis.shape[1]
+    asked = with_trained(load(spark, d, "benchmark", ["item_id", "text"]), "text", model, "v")
+    hits = knn_topk(with_trained(docs, "text", model, "v"), asked, cand_id="doc_id", cand_vec="v", query_id="item_id", query_vec="v", dim=dim)
+    return hits.select(F.col("qid").alias("item_id"), F.col("cid").alias("doc_id"), "rank", r6("sim"))
+
+
 QUERIES = {
+    "embed_weighted": embed_weighted,
+    "embed_trained": embed_trained,
     "ann_topk": ann_topk,
     "embed_upsert": embed_upsert,
     "embed_incremental": embed_incremental,
@@ -217,6 +242,14 @@ FROM chunks ch LEFT JOIN cnt ON cnt.doc_id = ch.doc_id AND cnt.pos = ch.pos
 GROUP BY ch.doc_id, ch.pos"""
 
 ORACLE = {
+    "embed_weighted": f"""
+WITH toks AS (SELECT doc_id, unnest({sql_tokens('text')}) AS t FROM documents),
+hashed AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT % {2 * WEIGHTED_WIDE}) AS h FROM toks),
+df AS (SELECT h % {WEIGHTED_WIDE} AS b, count(DISTINCT doc_id) AS df FROM hashed GROUP BY 1),
+cells AS (SELECT doc_id, h % {WEIGHTED_WIDE} AS b, sum(CASE WHEN h < {WEIGHTED_WIDE} THEN 1 ELSE -1 END) AS n FROM hashed GROUP BY ALL HAVING n <> 0),
+pairs AS (SELECT doc_id, b, n * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM cells JOIN df USING (b))
+SELECT d.doc_id, coalesce(string_agg(b || ':' || round(x * 1000)::BIGINT, ',' ORDER BY b), '') AS vec
+FROM documents d LEFT JOIN pairs p ON p.doc_id = d.doc_id GROUP BY d.doc_id""",
     "ann_topk": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sims AS (SELECT q.vec_id AS question, v.vec_id, list_inner_product(q.e, v.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(v.e, v.e)) AS sim
