@@ -36,10 +36,11 @@ def plain(rows, held, order, mu):
     return out, prob, counts
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_against_dictionaries(frame, words, monkeypatch, order):
     monkeypatch.setattr(lm, "BUCKET_BYTES", 3000)       # several buckets and ranges
     monkeypatch.setattr(lm, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(lm, "STRETCH", 37)              # long texts in several lanes
     rows = [(k, words(30 + k, k, 60)) for k in range(40)] + [(50, None), (51, ""), (52, "ÀB Ab c\x0bd\x1fe"), (53, words(4000, 9, 80))]
     want, _, _ = plain(rows, lambda i: i % 4 == 1, order, lm.MU)
     got = lm.score_documents(frame(rows), held_out=F.col("doc_id") % 4 == 1, order=order).collect()
@@ -50,6 +51,36 @@ def test_against_dictionaries(frame, words, monkeypatch, order):
         assert r["base_score"] == pytest.approx(w[4]) and r["score"] == pytest.approx(w[5])
 
 
+def test_counts_beyond_32_bits():
+    """Three buckets of two billion occurrences each."""
+    import numpy as np
+    import pandas as pd
+    grams = np.array([5, 9], np.uint64)
+    frame = pd.DataFrame({"n": 1, "range": 0, "bucket": [1, 2, 3], "grams": [lm._pack(grams)] * 3,
+                          "counts": [lm._zip(np.array([2_000_000_000, 1], np.uint64).tobytes())] * 3})
+    out = lm._answer(frame)
+    assert [lm._unzip(x, np.uint64).tolist() for x in out["counts"]] == [[6_000_000_000, 3]] * 3
+    assert out["tokens"].sum() == 6_000_000_003 and out["types"].sum() == 2
+
+
+def test_automaton_states_arcs_and_failure():
+    """a b a b: states of the histories seen; an unseen word falls to the root."""
+    import numpy as np
+    words = np.array([3, 7, 3, 7, 11], np.uint64)
+    lens = np.array([5])
+    grams = lm._grams(words, lens, 3, 64)
+    counts = [np.array([dict(zip(*np.unique(g, return_counts=True)))[u] for u in np.unique(g)], float) for g in grams]
+    machine = lm.Automaton(grams, counts, 4.0, 5 + 0.5 * 4)
+    assert len(machine.fail) == 1 + 3 + 3 and (machine.fail[1:4] == 0).all() and (machine.fail[4:] > 0).all()
+    a, b, end = (int(machine.words[k]) for k in (0, 1, 4))
+    _, state = machine.step(np.zeros(1, np.int64), np.array([a]))
+    logs, state = machine.step(state, np.array([b]))
+    p_b = 2.5 / 7
+    assert logs[0] == pytest.approx(math.log10((2 + 4 * p_b) / (2 + 4))) and state[0] >= 4
+    logs, state = machine.step(state, np.array([b]))            # a b b: two failure arcs, then the root's arc
+    assert logs[0] == pytest.approx(math.log10(4 / 6 * 4 / 6 * p_b)) and 0 < state[0] < 4
+
+
 def test_histories_give_distributions(words):
     rows = [(k, words(30, k, 20)) for k in range(5)]
     _, prob, counts = plain(rows, lambda i: False, 2, lm.MU)
