@@ -65,11 +65,12 @@ def _grams(words: np.ndarray, lens: np.ndarray, order: int, bits: int) -> list[n
     place = np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
     out = [mix(words)]
     for n in range(2, order + 1):
+        # of the history's code, not its words: histories that share a code share their arcs as well
         prev = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])
-        g = mix(prev * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
+        g = mix(prev * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n)) >> np.uint64(64 - bits)
         g[place < n - 1] = 0
         out.append(g)
-    return out[:1] + [g >> np.uint64(64 - bits) for g in out[1:]]
+    return out
 
 
 def _packed(frames):

@@ -81,6 +81,18 @@ def test_automaton_states_arcs_and_failure():
     assert logs[0] == pytest.approx(math.log10(4 / 6 * 4 / 6 * p_b)) and 0 < state[0] < 4
 
 
+def test_shared_hashes_still_make_an_automaton(words):
+    """With hashes of 12 bits n-grams collide; every arc stays single and all scores finite."""
+    import numpy as np
+    tokens, lens = lm._tokens([words(3000, 1), words(900, 2)])
+    grams = lm._grams(tokens, lens, 3, 12)
+    counts = [np.unique(g, return_counts=True)[1].astype(float) for g in grams]
+    machine = lm.Automaton(grams, counts, 4.0, len(tokens) + 500.0)
+    assert machine.arcs.is_unique
+    scores = machine.traverse(lens, 2)
+    assert np.isfinite(scores).all() and (scores < 0).all()
+
+
 def test_histories_give_distributions(words):
     rows = [(k, words(30, k, 20)) for k in range(5)]
     _, prob, counts = plain(rows, lambda i: False, 2, lm.MU)
