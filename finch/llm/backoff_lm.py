@@ -38,7 +38,7 @@ from .common import hashed_words, mix, size_slices, slices, written
 
 ORDER, MU = 3, 400.0
 BUCKET_BYTES = 6 << 20          # text per bucket
-RANGE_BYTES = 24 << 20          # text per range of the hash space
+RANGE_BYTES = 12 << 20          # text per range of the hash space
 SPARE_BITS = 16
 STRETCH = 512                   # tokens that a lane of the traversal reads
 END = "\n"                      # no word holds a line feed
@@ -181,9 +181,10 @@ class Automaton:
     def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray], mu: float, floor: float):
         order = len(grams)
         uniq, first, codes = zip(*(np.unique(g, return_index=True, return_inverse=True) for g in grams))
+        codes = [c.astype(np.int32) for c in codes]
         counts = [np.where(u == 0, 0, c) if n else c for n, (u, c) in enumerate(zip(uniq, counts))]
-        self.words = codes[0]
-        self.width = len(uniq[0])
+        self.words, self.width = codes[0].astype(np.int64), len(uniq[0])
+        del uniq
         state, fail, weight, size = [], [np.zeros(1, np.int64)], [np.zeros(1)], 1
         for n in range(order - 1):              # histories of n + 1 words
             seen = counts[n] > 0
@@ -203,6 +204,7 @@ class Automaton:
                 before = codes[n - 1][np.maximum(last - 1, 0)]          # the n-gram's history, whose count is c(h)
                 prob = (counts[n] + mu * prob[codes[n - 1][last]]) / (counts[n - 1][before] + mu)
                 source = state[n - 1][before]
+                seen = seen & (source > 0)          # by a shared hash a seen n-gram may lack its history
             # behind the longest n-grams the state is that of the last order - 1 words
             target = state[n] if n < order - 1 else state[n - 1][codes[n - 1][last]] if n else np.zeros(len(seen), np.int64)
             keys.append((source * self.width + codes[0][last])[seen])
