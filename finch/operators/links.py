@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.constants import WIKI_START_PAGE, WIKI_SUBREDDIT
 from ..functions.urls import is_internal_wiki, markdown_links, topic_allowed, url_file_name, url_topic, wiki_target
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 
 def page_links(pages: DataFrame, title_col: str = "title", md_col: str = "content_md") -> DataFrame:
@@ -20,39 +20,58 @@ def internal_links(links: DataFrame, subreddit: str = WIKI_SUBREDDIT) -> DataFra
     return links.where(is_internal_wiki("url", subreddit)).withColumn("target", wiki_target("url"))
 
 
-def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int | None = None,
-          checkpoint_every: int = 4) -> DataFrame:
+def _bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``key``, sorted within: later joins on it need no exchange of it."""
+    df.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    spark = df.sparkSession
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def next_pages(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """(target, url): pages that the frontier links to and that are not visited yet,
+    with the smallest URL. ``edges`` lie in buckets of src and ``visited`` in buckets of target, so only
+    the frontier and what it reaches are exchanged."""
+    reached = frontier.select(F.col("target").alias("src")).join(edges, "src").groupBy("target").agg(F.min("url").alias("url"))
+    return reached.join(visited.select("target"), "target", "left_anti")
+
+
+def crawl(edges: DataFrame, start: str = WIKI_START_PAGE, max_rounds: int | None = None) -> DataFrame:
     """Pages reachable from ``start`` over (src, target, url) edges ->
     (target, url, depth), one row per target with the smallest URL that
     reached it first.
 
     Breadth-first: each round joins the frontier to the edges and anti-joins
-    the visited set, so each page is expanded once and cycles end the loop.
-    Edges and every round's result are checkpointed to the shared checkpoint
-    folder, which bounds lineage and survives executor loss.
-    The loop ends when a round finds nothing new; ``max_rounds=1`` is the
+    the visited set, so each page is expanded once and cycles end the loop. Edges and visited pages
+    are resident: Parquet tables below the shared checkpoint folder, bucketed by the key they are joined
+    on, to which a round only adds its own pages; so a round costs what its frontier reaches, and a lost
+    executor costs a new read. The loop ends when a round finds nothing new; ``max_rounds=1`` is the
     one-hop variant.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("src", "target", "url").distinct().checkpoint(eager=True)
-    frontier = (edges.where(F.col("src") == start).groupBy("target").agg(F.min("url").alias("url"))
-                     .withColumn("depth", F.lit(1)).checkpoint(eager=True))
-    visited = frontier
-    rounds = 1
-    while (max_rounds is None or rounds < max_rounds) and not frontier.isEmpty():
-        e = edges.alias("e")
-        nxt = (frontier.alias("f").join(e, F.col("f.target") == F.col("e.src"))
-                       .select(F.col("e.target").alias("target"), F.col("e.url").alias("url"))
-                       .join(visited.select("target"), "target", "left_anti")
-                       .groupBy("target").agg(F.min("url").alias("url"))
-                       .withColumn("depth", F.lit(rounds + 1)))
-        rounds += 1
-        nxt = nxt.checkpoint(eager=True)
-        visited = visited.unionByName(nxt)
-        if rounds % checkpoint_every == 0:
-            visited = visited.checkpoint(eager=True)
-        frontier = nxt
-    return visited
+    spark = edges.sparkSession
+    path = scratch_path(spark, "crawl")
+    name = "finch_" + path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "target string, url string, depth int"
+    try:
+        stored = _bucketed(edges.select("src", "target", "url").distinct(), f"{name}_edges", f"{path}/edges", "src", buckets)
+        frontier = stored.where(F.col("src") == start).groupBy("target").agg(F.min("url").alias("url"))
+        rounds = 0
+        while True:
+            rounds += 1
+            found = f"{path}/found-{rounds}"
+            frontier.select("target", "url").withColumn("depth", F.lit(rounds)).write.parquet(found)
+            fresh = spark.read.schema(schema).parquet(found)
+            if fresh.isEmpty() and rounds > 1:
+                break
+            visited = _bucketed(fresh, f"{name}_visited", f"{path}/visited", "target", buckets)
+            if fresh.isEmpty() or rounds == max_rounds:
+                break
+            frontier = next_pages(fresh, stored, visited)
+        return spark.read.schema(schema).parquet(f"{path}/visited")
+    finally:                                                # the files stay, the names go
+        for table in ("edges", "visited"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{table}")
 
 
 def drop_percent_urls(sitemap: DataFrame, col: str = "loc") -> DataFrame:

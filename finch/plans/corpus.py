@@ -10,7 +10,7 @@ from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk
     concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
 from ..sinks.files import append_rows, write_docs_as_text
-from ..sources.files import read_text_dir
+from ..sources.files import read_page_files, read_text_dir
 from .common import load, sql_chunks, sql_clean_pdf
 from .retrieval import doc_chunks
 
@@ -81,14 +81,27 @@ def peek_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
-    """S3: documents written as one text file each under per-language folders,
-    read back recursively with a ``*.txt`` filter."""
+    """S3: documents written as one text file each (its id, then its text) in folders
+    per language, read back recursively with a ``*.txt`` filter."""
     path = scratch_path(spark, "textdir")
-    write_docs_as_text(load(spark, d, "documents", ["lang", "doc_id", "text"]), path, ["lang", "doc_id"])
+    docs = load(spark, d, "documents", ["lang", "doc_id", "text"])
+    docs.select("lang", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
     files = read_text_dir(spark, path)
-    body = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, char_length(text) - 1)")) \
-            .otherwise(F.col("text"))
-    return files.select(F.regexp_extract("path", "doc_id=(\\d+)", 1).cast("long").alias("doc_id"), body.alias("text"))
+    body = F.expr("substring(text, instr(text, '\n') + 1)")
+    return files.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"),
+                        F.substring(body, F.lit(1), F.length(body) - 1).alias("text"))
+
+
+def scan_page_files(spark: SparkSession, d: str) -> DataFrame:
+    """S5 from files: one paginated file per language, its pages in document order."""
+    path = scratch_path(spark, "pages")
+    pages = split_pages(load(spark, d, "documents", ["doc_id", "lang", "text"]).withColumn("key", F.struct("lang", "doc_id")), "key", "text", PAGE_CHARS)
+    lines = pages.select("key.lang", "key.doc_id", "page_no", F.concat_ws("|", "key.doc_id", "page_no", F.replace("text", F.lit("\f"), F.lit(" "))).alias("value"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id", "page_no").select("lang", "value").write.partitionBy("lang").option("lineSep", "\f").text(path)
+    found = read_page_files(spark, path)
+    parts = F.split("text", r"\|", 3)
+    return found.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "page_no", parts[0].cast("long").alias("doc_id"),
+                        parts[1].cast("int").alias("doc_page"), parts[2].alias("text"))
 
 
 def chunks_append(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +146,7 @@ QUERIES = {
     "quote_block": quote_block,
     "peek_one": peek_one,
     "scan_text_dir": scan_text_dir,
+    "scan_page_files": scan_page_files,
     "chunks_append": chunks_append,
     "chunks_append_plain": chunks_append_plain,
     "scan_text_dir_flat": scan_text_dir_flat,
@@ -222,6 +236,8 @@ ORACLE = {
     "quote_block": "SELECT doc_id, regexp_replace(replace(text, '•', '  *'), '(?m)^', '> ', 'g') AS text FROM documents",
     "peek_one": f"SELECT doc_id, pos, text FROM ({sql_chunks()}) ORDER BY chunk_id LIMIT 1",
     "scan_text_dir": "SELECT doc_id, text FROM documents",
+    "scan_page_files": (f"SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, page_no) - 1 AS INTEGER) AS page_no, doc_id, "
+                        f"page_no AS doc_page, replace(p.text, chr(12), ' ') AS text FROM ({_PAGES}) p JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"),
     "chunks_append": f"SELECT doc_id, pos, text FROM ({sql_chunks()})",
     "chunks_append_plain": f"SELECT doc_id, pos, text FROM ({sql_chunks()}), range(2)",
     "scan_text_dir_flat": r"SELECT doc_id, regexp_replace(text, '\r\n|[\n\v\f\r\x{85}\x{2028}\x{2029}]', ' ', 'g') AS text FROM documents",

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.constants import BATCH_INSTRUCTION, BATCH_INSTRUCTION_SRC, CATEGORY_RULES, STATE_CODES
 from ..operators import reports as rp
 from ..operators.ordering import dense_index
+from ..operators import retry as rt
 from ..operators import transactions as tr
 from ..session import scratch_path
 from ..sinks.files import write_csv
@@ -158,6 +159,17 @@ def resp_first_valid(spark, d):
     return first_valid_rows(spark, d)
 
 
+def resp_retry(spark, d):
+    """T11 as a loop: each attempt asks only for the batches without a valid answer
+    (here a look-up of that attempt's answers stands for the model)."""
+    path = scratch_path(spark, "retry")
+    responses(spark, d).write.parquet(f"{path}/model")
+    model = spark.read.parquet(f"{path}/model")
+    prompts = tr.batch_prompts(batched(spark, d))
+    return rt.categorise_retry(prompts, path, lambda pending, attempt: model.where(F.col("attempt") == attempt).join(
+        pending.select("batch_id"), "batch_id", "left_semi").select("batch_id", "response"))
+
+
 def resp_rejected(spark, d):
     """T11 reject table: batches without a valid attempt in four tries."""
     return tr.rejected_batches(tr.batch_valid(tr.response_block(responses(spark, d))))
@@ -222,7 +234,7 @@ def scan_csv(spark, d):
     further column, quotes and line breaks), read back by header."""
     path = scratch_path(spark, "txn-csv")
     write_csv(csv_export(transactions(spark, d)).select("Amount", "Card Member", "Description", "Date"), path)
-    return read_transactions_csv(spark, path)
+    return read_transactions_csv(spark, path, multi_line=True)
 
 
 def csv_export(txn: DataFrame) -> DataFrame:
@@ -236,7 +248,7 @@ def sink_csv_roundtrip(spark, d):
     write_csv(first_valid_rows(spark, d).select("Date", "Description", "Amount", "Category"), path)
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("Date", "Description", "Amount", "Category")])
-    return read_transactions_csv(spark, path, schema)
+    return read_transactions_csv(spark, path, schema, multi_line=True)
 
 
 QUERIES = {
@@ -251,6 +263,7 @@ QUERIES = {
     "resp_block": resp_block,
     "resp_batch_valid": resp_batch_valid,
     "resp_first_valid": resp_first_valid,
+    "resp_retry": resp_retry,
     "resp_rejected": resp_rejected,
     "txn_union": txn_union,
     "txn_join_category": txn_join_category,
@@ -374,6 +387,7 @@ ORACLE = {
                    f"FROM blocks WHERE block IS NOT NULL)"),
     "resp_batch_valid": f"WITH {_RESP} SELECT batch_id, attempt, valid FROM checked",
     "resp_first_valid": f"WITH {_RESP} SELECT * FROM fv",
+    "resp_retry": f"WITH {_RESP} SELECT * FROM fv",
     "resp_rejected": (f"WITH {_RESP} SELECT batch_id, count(*) AS attempts FROM checked WHERE attempt <= 4 "
                       f"GROUP BY batch_id HAVING max(CAST(valid AS INTEGER)) = 0"),
     "txn_union": (f"WITH {_RESP} SELECT 'notebook' AS path, batch_id, attempt, line_no, Date, Description, Amount, Category FROM fv "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 TXN_SCHEMA = T.StructType([
     T.StructField("Date", T.StringType()),
@@ -27,14 +27,14 @@ def read_text_dir(spark: SparkSession, path: str, recursive: bool = True, glob:
 
 
 def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA,
-                          multi_line: bool = True) -> DataFrame:
+                          *, multi_line: bool) -> DataFrame:
     """Transactions CSV, columns found by their header names: first those of
     ``schema`` (cast to its types; Amount is text, so it prints as stored), then
     any others as text, in file order. A column that the header lacks raises.
 
-    Fields are quoted as in RFC 4180 (a quote inside is doubled, line breaks
-    allowed). ``multi_line=False`` lets Spark split large files, for sources
-    whose fields hold no line breaks.
+    Fields are quoted as in RFC 4180 (a quote inside is doubled). The caller says
+    whether fields may hold line breaks: ``multi_line=True`` reads every file in one
+    task, as only its start tells where a record begins; ``False`` lets Spark split large files.
     """
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
                 .option("multiLine", multi_line).csv(path))
@@ -67,3 +67,20 @@ def read_sitemap(spark: SparkSession, path: str, name: str | None = None) -> Dat
         F.coalesce(url_authority(F.col("u.loc")), F.lit("")).alias("domain"),
         F.lit(name or "").alias("sitemap_name"),
     )
+
+
+def read_page_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """Pages of paginated text files, a form feed behind each page -> (path, page_no, text).
+
+    The reader cuts at form feeds, so a large file is read in ranges by several
+    tasks, over any file system that Spark reads. A page's number is its place in its range
+    plus the pages of the file's earlier ranges: only the count of each range (a row
+    per split) is added up, and no text is moved. An empty file has no pages.
+    """
+    raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("lineSep", "\f").text(path)
+                .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text")))
+    ranges = raw.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(ranges, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).cast("int").alias("page_no"), "text")

@@ -128,3 +128,38 @@ def test_ordered_write(spark):
     write_ordered(spark.range(1000).select((999 - F.col("id")).alias("pos")), path, "pos")
     files = sorted({r[0] for r in spark.read.parquet(path).select(F.col("_metadata.file_path")).collect()})
     assert [r.pos for f in files for r in spark.read.parquet(f).collect()] == list(range(1000))
+
+
+def test_a_round_exchanges_only_its_frontier(spark):
+    """No exchange below the edges' and the visited pages' bucketed scans."""
+    from finch.session import scratch_path
+    path = scratch_path(spark, "crawl-plan")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        edges = lk._bucketed(spark.range(200).selectExpr("concat('p', id) AS src", "concat('p', id + 1) AS target", "'u' AS url"), "t_plan_edges", f"{path}/e", "src", 8)
+        visited = lk._bucketed(spark.createDataFrame([("p1", "u", 1)], "target string, url string, depth int"), "t_plan_visited", f"{path}/v", "target", 8)
+        frontier = spark.createDataFrame([("p1",)], "target string")
+        plan = lk.next_pages(frontier, edges, visited)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        for t in ("t_plan_edges", "t_plan_visited"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line]
+    assert len(scans) == 2 and sum("Exchange" in line for line in plan) == 2        # the frontier, and what it reaches
+    depth = [max(line.find("+- "), line.find(":- "), -1) for line in plan]
+    for i in scans:
+        at = i
+        for k in range(i, -1, -1):                          # up the tree to the join
+            if depth[k] < depth[at]:
+                at = k
+                assert "Exchange" not in plan[k]
+                if "Join" in plan[k]:
+                    break
+        assert "Join" in plan[at]
+
+
+def test_crawl_without_pages(spark):
+    assert lk.crawl(spark.createDataFrame([], "src string, target string, url string")).collect() == []

@@ -69,7 +69,7 @@ def test_csv_roundtrip_keeps_spaces(spark):
     path = scratch_path(spark, "t-csv")
     df = spark.createDataFrame([Row(Date="1/2/2023", Description=" lead and trail ", Amount="-5.00")])
     write_csv(df, path)
-    assert read_transactions_csv(spark, path).first().Description == " lead and trail "
+    assert read_transactions_csv(spark, path, multi_line=True).first().Description == " lead and trail "
 
 
 def test_keyed_append(spark):
@@ -116,12 +116,12 @@ def test_csv_by_header_with_quotes_and_line_breaks(spark, tmp_path):
     import pytest
     f = tmp_path / "export.csv"
     f.write_text('Date,Amount,Card Member,Description\n01/02/2023,4.50,J DOE,"say ""hi"", ok\nsecond line"\n01/03/2023,,,plain\n')
-    rows = read_transactions_csv(spark, str(f)).orderBy("Date").collect()
+    rows = read_transactions_csv(spark, str(f), multi_line=True).orderBy("Date").collect()
     assert rows[0].asDict() == {"Date": "01/02/2023", "Description": 'say "hi", ok\nsecond line', "Amount": "4.50", "Card Member": "J DOE"}
     assert rows[1].Description == "plain" and rows[1].Amount is None and len(rows) == 2
     with pytest.raises(ValueError, match="Amount"):
         (tmp_path / "bad.csv").write_text("Date,Description\n1,2\n")
-        read_transactions_csv(spark, str(tmp_path / "bad.csv"))
+        read_transactions_csv(spark, str(tmp_path / "bad.csv"), multi_line=True)
 
 
 def test_prompt_frames_keep_their_blanks():
@@ -150,3 +150,27 @@ def test_embedder_is_built_in_the_worker(spark):
 
     got = embed_with(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda: Unpicklable()).collect()
     assert [r.embedding for r in got] == [[2.0], [0.0]]
+
+
+def test_page_files_in_ranges(spark, tmp_path):
+    """One large file is read by several tasks; page numbers hold across its ranges."""
+    from finch.sources.files import read_page_files
+    big = [f"page {k} é " + "x" * (k * 37 % 400) for k in range(700)]
+    (tmp_path / "big.txt").write_text("\f".join(big) + "\f")
+    (tmp_path / "small.txt").write_text("one\nline two\f\fthree")
+    (tmp_path / "empty.txt").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        pages = read_page_files(spark, str(tmp_path))
+        rows = pages.collect()
+        tasks = spark.read.option("lineSep", "\f").text(str(tmp_path / "big.txt")).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in rows:
+        got.setdefault(r.path.rsplit("/", 1)[1], {})[r.page_no] = r.text
+    assert tasks > 5 and got["big.txt"] == dict(enumerate(big))
+    assert got["small.txt"] == {0: "one\nline two", 1: "", 2: "three"} and "empty.txt" not in got
