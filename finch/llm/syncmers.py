@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers, with DataFrame operations only.
 
-Words are hashed; a k-mer of words is kept when the least of its s-mers stands
+A text is read as words, or, where it has fewer than ``SHORT`` characters or hardly any
+spaces, as characters: then a text of some dozens of characters has several anchors too, and one
+changed character in a long unspaced text leaves the others. Both depend on the text alone. Tokens are hashed; a k-mer of words is kept when the least of its s-mers stands
 at its first or last place. That depends on the k-mer alone, so an edit changes
 only the anchors whose k-mer it touches, and equal passages have equal anchors
 wherever they stand. ``syncmers`` keeps the place of each anchor for positional
@@ -15,20 +17,29 @@ from ..operators.ordering import dense_index
 from .common import let
 
 K, S = 8, 2
+SHORT, LONG_WORD = 512, 16      # characters of a text, and on average of a word, that are read one by one
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def tokens_of(text: Column) -> Column:
+    """Words, or the characters of a short or unspaced text."""
+    def chosen(words: Column) -> Column:
+        spaced = (F.length(text) >= SHORT) & (F.size(words) * LONG_WORD >= F.length(text))
+        return F.when(spaced | (F.size(words) == 0), words).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
+    return let(words_of(text), chosen)
+
+
 def _short(h: Column) -> Column:
     """The upper 32 bits of a 64-bit hash."""
     return F.shiftright(h, 32).cast("int")
 
 
 def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<pos int, hash int>>: the closed syncmers of a text by word
-    position. A text of fewer than ``k`` words has one anchor, of all its words;
+    """array<struct<pos int, hash int>>: the closed syncmers of a text by token
+    position. A text of fewer than ``k`` tokens has one anchor, of all of them;
     a text without words has none."""
     inner = k - s + 1                       # s-mers of a k-mer
 
@@ -48,7 +59,7 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
 
     if inner < 3:
         raise ValueError("k - s must be at least 2")
-    return let(F.transform(words_of(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)), anchors)
+    return let(F.transform(tokens_of(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)), anchors)
 
 
 def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
