@@ -179,7 +179,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit_and_weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   max_labels: int = MAX_LABELS) -> DataFrame:
     """(row, id, h, sets_level, n_features, mean, toxicity); row holds all columns of ``docs``."""
-    sample = F.broadcast(labelled_sample(labels, limit=max_labels))     # at most max_labels ids
+    sample = F.broadcast(labelled_sample(labels, id_col, max_labels))     # at most max_labels ids
     rows = _rows(docs, id_col, text_col).join(sample, "id", "left")
     marks = [F.coalesce(c, F.lit(False)).alias(name) for c, name in ((F.col("good") & F.col("fits"), "target"), (F.col("toxic"), "toxic"))]
     weigh = log_weight(docs.sparkSession, fit(rows.select("text", *marks)))
