@@ -39,7 +39,8 @@ def has(level: Level, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _probes(h1, h2, size, probes, salt):
-    a = (h1.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    # both hashes enter every probe, mixed anew at each level: keys that meet at one level part at another
+    a = (h1.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1) ^ (h2.view(np.uint64) * np.uint64(2 * salt + 1))) * np.uint64(0xFF51AFD7ED558CCD)
     a ^= a >> np.uint64(32)
     b = h2.view(np.uint64) | np.uint64(1)
     for i in range(probes):

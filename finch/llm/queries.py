@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import backoff_lm, bloom_cascade, conversation_repair, decontamination, jaccard_join, language_fusion, line_templates, pii_sanitisation, resampling, sentencepiece_codec, shards, spelling_variants, syncmers
-from .common import table
+from .common import table, written
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,15 +28,22 @@ def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The rules of the query's contract; the longest that fits decides.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-# Words that put a host on the list of the method's own verdict.
-LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+# A host is listed if its pages link more than the corpus' pages do, by so much.
+LINKS_MORE = 1.25
 
 
 def listed_hosts(pages: DataFrame) -> DataFrame:
-    """(key): the hosts of ``pages`` with a name part that is a listed word."""
+    """(key): the hosts with an outsize share of link pages (more anchors than paragraphs), by grouped aggregates."""
     host, _ = bloom_cascade.host_and_path(F.col("url"))
-    return pages.select(host.alias("key")).where(
-        F.arrays_overlap(F.split("key", "[.-]"), F.array(*[F.lit(w) for w in LISTED_WORDS]))).distinct()
+    html = F.coalesce(F.lower("html"), F.lit(""))
+
+    def times(tag: str) -> F.Column:
+        return (F.length(html) - F.length(F.replace(html, F.lit(tag), F.lit("")))) / len(tag)
+    share = pages.select(host.alias("key"), (times("<a ") > times("<p")).cast("int").alias("links")).groupBy("key").agg(
+        F.sum("links").alias("links"), F.count(F.lit(1)).alias("n"))
+    share = written(share, "host-links")
+    links, n = share.agg(F.sum("links"), F.sum("n")).first()
+    return share.where((F.col("key") != "") & (F.col("links") * F.lit(n or 0) > F.col("n") * F.lit(links or 0) * LINKS_MORE)).select("key")
 
 
 def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +95,6 @@ QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_templates, op3_res
                                  op12_conversations, op13_pii)}
 
 _RULES = ", ".join(f"('{key}', '{key[: key.index('/')]}', '{key[key.index('/') :]}', '{verdict}')" for key, verdict in URL_RULES)
-_WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
 
 # CRC-32 in DuckDB: the table of its polynomial, and a fold over a list of bytes.
 _CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
@@ -104,12 +110,16 @@ ORACLE: dict[str, str] = {
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+linked AS (SELECT host, count(*) AS n, count(*) FILTER ((length(html) - length(replace(lower(html), '<a ', ''))) / 3.0
+                                                         > (length(html) - length(replace(lower(html), '<p', ''))) / 2.0) AS links
+           FROM parts JOIN pages USING (page_id) GROUP BY host),
+listed AS (SELECT host FROM linked WHERE host <> '' AND links * (SELECT sum(n) FROM linked) > n * (SELECT sum(links) FROM linked) * {LINKS_MORE}),
 rules AS (SELECT * FROM (VALUES {_RULES}) AS t(key, rule_host, rule_path, verdict)),
 fits AS (SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(key, length(key)) AS rule, arg_max(verdict, length(key)) AS said
          FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
          GROUP BY page_id)
 SELECT page_id, host, path, rule,
-       coalesce(said, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), [{_WORDS}]) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(said, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE fits.host = listed.host OR ends_with(fits.host, '.' || listed.host)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits""",
     "op11_spelling": f"""
 WITH RECURSIVE {_CRC_TABLE},
