@@ -25,7 +25,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(all_queries()) == set(all_oracles())
+    # power iteration has no SQL; tests/test_trained.py compares it with dense linear algebra
+    assert set(all_queries()) - {"embed_trained"} == set(all_oracles())
     assert set(all_queries()) <= set(E.queries()) and set(all_oracles()) <= set(E.oracle_sql())
 
 
