@@ -95,9 +95,9 @@ def toxic_holders(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return got["bucket"].to_numpy()[at], got["n"].to_numpy()[at], int(got["n"].to_numpy()[~at].sum())
 
 
-def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratio of target to raw by bucket, and of toxic to raw by fine bucket (0
-    where that is less than even), from rows (text, target, toxic)."""
+def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log ratio of target to raw by bucket, and the fine buckets whose ratio of toxic
+    to raw is more than even with these, from rows (text, target, toxic)."""
     buckets, toxic, n_toxic = toxic_holders(rows)
     shared = rows.sparkSession.sparkContext.broadcast(buckets)
 
@@ -129,20 +129,21 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[coarse["bucket"]], target[coarse["bucket"]] = coarse["raw"], coarse["target"]
     expected = raw * target.sum() / max(raw.sum(), 1)
-    fine = got[got["bucket"] < 0]
-    held = np.zeros(TOXIC_BUCKETS + 1)
-    held[-1 - fine["bucket"].to_numpy()] = fine["raw"]
-    bad = np.zeros(TOXIC_BUCKETS, np.float32)
-    bad[buckets] = np.maximum(np.log((toxic + TOXIC_PRIOR) / (held[buckets] * n_toxic / max(held[-1], 1) + TOXIC_PRIOR)), 0)
-    return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32), bad
-
-
-def log_weight(spark, models: tuple[np.ndarray, np.ndarray]):
+    # only the toxic sample's buckets are looked up, so no table of all fine buckets stands on the driver
+    fine = got[got["bucket"] < 0].sort_values("bucket", ascending=False)
+    place, held = -1 - fine["bucket"].to_numpy(np.int64), fine["raw"].to_numpy(float)
+    documents = held[-1] if len(place) and place[-1] == TOXIC_BUCKETS else 0.0
+    at = np.minimum(np.searchsorted(place, buckets), max(len(place) - 1, 0))
+    of_bucket = np.where(place[at] == buckets, held[at], 0.0) if len(place) else np.zeros(len(buckets))
+    ratios = np.maximum(np.log((toxic + TOXIC_PRIOR) / (of_bucket * n_toxic / max(documents, 1) + TOXIC_PRIOR)), 0).astype(np.float32)
+    some = np.flatnonzero(ratios)
+    return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32), buckets[some].astype(np.int32), ratios[some]
+
+
+def log_weight(spark, models: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """A column function: text -> struct(n_features, mean, toxicity): the log weight
     by the document's mean, and the toxic ratio of its strongest feature."""
-    model, bad = models
-    at = np.flatnonzero(bad).astype(np.int32)
-    shared = spark.sparkContext.broadcast((model, at, bad[at]))     # BUCKETS floats, and the toxic sample's buckets
+    shared = spark.sparkContext.broadcast(models)           # BUCKETS floats, and the toxic sample's buckets
 
     @F.pandas_udf("n_features long, mean double, toxicity double")
     def weigh(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
