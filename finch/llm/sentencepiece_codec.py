@@ -33,8 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6     # piece types of the model format
 SEGMENT = re.compile(" +[^ ]*")
-GROUP, LINE = 32_768, 128        # words looked at together; words of one line
-KEEP = 100_000                   # segments that a task remembers, at some 250 bytes each
+GROUP, LINE = 65_536, 128        # words looked at together; words of one line
+KEEP = 300_000                   # segments that a task remembers, at some 250 bytes each
 
 
 def _fields(buf: bytes):
@@ -211,7 +211,7 @@ def load_model(path: str = MODEL) -> tuple[str, bytes, bool]:
     return build_tokenizer(spec), blob, segmentable(spec)
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, threads: int = 2) -> DataFrame:
+def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, threads: int = 2, keep: int = KEEP) -> DataFrame:
     """``docs`` with ``token_ids`` array<int>, ``n_tokens`` int, ``parity`` and
     ``round_trip`` booleans; columns of these names are replaced.
 
@@ -230,7 +230,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str =
         T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches):
-        codec = Codec(*parts, threads=threads)
+        codec = Codec(*parts, threads=threads, keep=keep)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             for a, b in size_slices(pc.binary_length(column).fill_null(0).to_pylist()):
