@@ -49,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
     bounded(spark)
-    return sentencepiece_codec.encode_documents(docs)
+    return sentencepiece_codec.encode_documents(docs, keep=100_000)      # segments; memory before time here
 
 
 STAGES = [
