@@ -12,7 +12,6 @@ scored exactly. With ``probes`` equal to the number of lists the answer is that
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -118,8 +117,8 @@ def build_index(df: DataFrame, path: str, *, id_col: str, vec_col: str, dim: int
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32))], names=["cid", "v", "list"])
 
     vectors.mapInArrow(place, "cid long, v array<double>, list int").write.partitionBy("list").parquet(f"{path}/lists")
-    spark.createDataFrame(pd.DataFrame({"list": np.arange(len(centroids), dtype=np.int32), "c": list(centroids)}),
-                          "list int, c array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    # plain numbers: without Arrow on the driver Spark takes no numpy value inside an array
+    spark.createDataFrame(list(enumerate(centroids.tolist())), "list int, c array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
 
 def ann_topk(spark: SparkSession, path: str, queries: DataFrame, *, query_id: str, query_vec: str, dim: int,

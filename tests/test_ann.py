@@ -87,3 +87,17 @@ def test_another_length_raises(spark, tables):
     odd = spark.createDataFrame([(1, [1.0, 2.0])], "qid long, qv array<double>")
     with pytest.raises(ValueError, match="length 2"):
         ann_topk(spark, path, odd, probes=1, **KEYS)
+
+
+def test_index_without_arrow_on_the_driver(spark, tables):
+    """Sessions without Arrow for local data take no numpy number inside an array."""
+    vectors, asked, _ = tables
+    key, path = "spark.sql.execution.arrow.pyspark.enabled", scratch_path(spark, "test-ann-plain")
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        build_index(vectors, path, id_col="id", vec_col="v", dim=16, lists=8)
+        got = hits(ann_topk(spark, path, asked, probes=8, **KEYS))
+    finally:
+        spark.conf.set(key, old)
+    assert got == exact(vectors, asked)
