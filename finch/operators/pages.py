@@ -3,9 +3,9 @@ outcome over an attempt log."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import BACKOFF_FACTOR, ERROR_MARKER, FAILURE_TEXT, FETCH_RETRIES
@@ -62,6 +62,7 @@ def trim_lines(df: DataFrame, col: str = "text", skip_lines: int = 6, min_words:
 # exact tree-walk extraction (Python, Arrow batches)
 # ---------------------------------------------------------------------------
 
+SLICE_CHARS = 1 << 20           # characters of text read for each batch of results
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset(("script", "style", "template"))
 
@@ -147,17 +148,33 @@ def main_node(html: str | None) -> tuple[str | None, str | None, str]:
     return None, None, ""
 
 
+def text_rows(one: Callable[[str | None], tuple], fields: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function over (id, text): the id and what ``one`` makes of the text.
+
+    Texts leave Arrow one by one, and results are passed on every ``SLICE_CHARS`` characters, so a
+    worker holds one of Spark's batches and little beside it, however long the texts are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            done, held, start = [], 0, 0
+            for at, value in enumerate(texts, 1):
+                text = value.as_py()
+                done.append(one(text))
+                held += len(text or "")
+                if held >= SLICE_CHARS or at == len(texts):
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*done), fields.values())]
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(done)), *columns], names=[batch.schema.names[0], *fields])
+                    done, held, start = [], 0, at
+    return run
+
+
 def page_main(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
     """(id, tag, block, text) of every page's main node: a small per-row helper
-    in mapInPandas; Spark spreads pages over tasks."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [main_node(h) for h in pdf[html_col]]
-            out = pd.DataFrame(rows, columns=["tag", "block", "text"], index=pdf.index)
-            out.insert(0, id_col, pdf[id_col])
-            yield out
+    in mapInArrow; Spark spreads pages over tasks."""
+    run = text_rows(main_node, {"tag": pa.string(), "block": pa.string(), "text": pa.string()})
     id_type = dict(df.dtypes)[id_col]
-    return df.select(id_col, html_col).mapInPandas(run, f"{id_col} {id_type}, tag string, block string, text string")
+    return df.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {id_type}, tag string, block string, text string")
 
 
 def page_text_exact(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:

@@ -69,3 +69,21 @@ def test_finds_the_article_of_most_pages(spark):
                 continue
             scores.append(2 * sum((words & found[r.page_id]).values()) / max(1, sum(words.values()) + sum(found[r.page_id].values())))
     assert scores and sum(scores) / len(scores) > 0.95
+
+
+def test_worker_holds_little_beside_its_batch():
+    """Results of a batch of long pages are passed on while later pages are still to be read."""
+    import pyarrow as pa
+
+    from finch.operators.pages import SLICE_CHARS, text_rows
+    pages = [f"<p>{'word ' * (SLICE_CHARS // 20)}</p>"] * 40 + [None, "", "<p>short</p>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["page_id", "html"])
+    asked = []
+    run = text_rows(lambda h: (asked.append(h), article(h))[1], {"text": pa.string(), "n_words": pa.int32(), "n_blocks": pa.int32(), "page_blocks": pa.int32()})
+    seen, got = [], []
+    for part in run(iter([batch, batch.slice(0, 0)])):
+        seen.append(len(asked))
+        got += part.to_pylist()
+    assert seen[0] <= 5 and len(seen) >= 10
+    assert [r["page_id"] for r in got] == list(range(len(pages)))
+    assert [(r["text"], r["n_words"], r["n_blocks"], r["page_blocks"]) for r in got] == [article(p) for p in pages]
