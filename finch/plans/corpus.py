@@ -93,12 +93,14 @@ def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_page_files(spark: SparkSession, d: str) -> DataFrame:
-    """S5 from files: one paginated file per language, its pages in document order."""
+    """S5 from files: a paginated book per language, its pages in document order. A book is
+    written by many tasks, each a volume of it, and numbered from the first page to the last."""
     path = scratch_path(spark, "pages")
     pages = split_pages(load(spark, d, "documents", ["doc_id", "lang", "text"]).withColumn("key", F.struct("lang", "doc_id")), "key", "text", PAGE_CHARS)
     lines = pages.select("key.lang", "key.doc_id", "page_no", F.concat_ws("|", "key.doc_id", "page_no", F.replace("text", F.lit("\f"), F.lit(" "))).alias("value"))
-    lines.repartition("lang").sortWithinPartitions("lang", "doc_id", "page_no").select("lang", "value").write.partitionBy("lang").option("lineSep", "\f").text(path)
-    found = read_page_files(spark, path)
+    order = ["lang", "doc_id", "page_no"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("lang", "value").write.partitionBy("lang").option("lineSep", "\f").text(path)
+    found = read_page_files(spark, path, by_folder=True)
     parts = F.split("text", r"\|", 3)
     return found.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "page_no", parts[0].cast("long").alias("doc_id"),
                         parts[1].cast("int").alias("doc_page"), parts[2].alias("text"))

@@ -69,18 +69,22 @@ def read_sitemap(spark: SparkSession, path: str, name: str | None = None) -> Dat
     )
 
 
-def read_page_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def read_page_files(spark: SparkSession, path: str, glob: str = "*.txt", by_folder: bool = False) -> DataFrame:
     """Pages of paginated text files, a form feed behind each page -> (path, page_no, text).
 
     The reader cuts at form feeds, so a large file is read in ranges by several
     tasks, over any file system that Spark reads. A page's number is its place in its range
     plus the pages of the file's earlier ranges: only the count of each range (a row
-    per split) is added up, and no text is moved. An empty file has no pages.
+    per split) is added up and sent to the tasks, and no text is moved. An empty file has no
+    pages. With ``by_folder`` the files of a folder are the volumes of one book, in order
+    of their names: numbers run on from one to the next (a name that is
+    longer comes later, as part files are numbered).
     """
     raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("lineSep", "\f").text(path)
                 .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
                         F.monotonically_increasing_id().alias("id"), F.col("value").alias("text")))
     ranges = raw.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("path", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return raw.join(ranges, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).cast("int").alias("page_no"), "text")
+    book = F.regexp_extract("path", "^(.*)/", 1) if by_folder else F.col("path")
+    before = Window.partitionBy("book").orderBy(F.length("path"), "path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("book", book).select("path", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(F.broadcast(ranges), ["path", "start"]).select("path", (F.col("id") + F.col("shift")).cast("int").alias("page_no"), "text")

@@ -174,3 +174,27 @@ def test_page_files_in_ranges(spark, tmp_path):
         got.setdefault(r.path.rsplit("/", 1)[1], {})[r.page_no] = r.text
     assert tasks > 5 and got["big.txt"] == dict(enumerate(big))
     assert got["small.txt"] == {0: "one\nline two", 1: "", 2: "three"} and "empty.txt" not in got
+
+
+def test_book_of_a_language_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The pages of one language are volumes by several tasks, numbered through in document order."""
+    from finch.plans import corpus
+    docs = [(k, "en" if k % 9 else "de", f"{k} " + "x" * (k * 613 % 9000)) for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    books = []
+    monkeypatch.setattr(corpus, "read_page_files", lambda s, path, **k: (books.append(path), read_page_files(s, path, **k))[1])
+    from finch.sources.files import read_page_files
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1000")
+        rows = corpus.scan_page_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    files = spark.read.text(f"{books[0]}/lang=en").inputFiles()
+    assert len(files) > 2
+    for lang in ("en", "de"):
+        want = [(k, p, t[p * 2000 : p * 2000 + 2000]) for k, g, t in docs if g == lang for p in range(-(-len(t) // 2000))]
+        got = sorted((r for r in rows if r.lang == lang), key=lambda r: r.page_no)
+        assert [r.page_no for r in got] == list(range(len(want))) and [(r.doc_id, r.doc_page, r.text) for r in got] == want
