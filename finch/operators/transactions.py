@@ -5,7 +5,7 @@ groups (a batch holds at most ``BATCH_SIZE`` rows)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import BATCH_INSTRUCTION, BATCH_SIZE, FIELD_SEP, MAX_ATTEMPTS
 from ..functions.transactions import canonical_category, category_is_short, clean_description, row_key
@@ -51,9 +51,21 @@ def batch_prompts(batched: DataFrame, line_col: str = "line", sep: str = ",",
         F.concat(F.lit(instruction), F.array_join(F.transform(rows, lambda r: r["l"]), sep)).alias("prompt"))
 
 
-def _split4(line) -> list:
-    parts = F.split(line, FIELD_SEP)
-    return [parts.getItem(i) for i in range(4)], F.size(parts)
+def _field_count(line) -> Column:
+    """How many fields " - " cuts a line into, without cutting it."""
+    return ((F.char_length(line) - F.char_length(F.replace(line, F.lit(FIELD_SEP), F.lit("")))) / len(FIELD_SEP)).cast("int") + 1
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is worked out once a row, however often later
+    expressions and filters name it (a plain column is put in the place of each of its uses)."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _fields(lines: DataFrame) -> tuple[DataFrame, list]:
+    """The rows with their ``line`` cut, and its first four fields."""
+    cut = _once(lines, "_f", F.split("line", FIELD_SEP))
+    return cut, [F.col("_f").getItem(i) for i in range(4)]
 
 
 def parse_response_lines(responses: DataFrame, resp_col: str = "response",
@@ -61,9 +73,9 @@ def parse_response_lines(responses: DataFrame, resp_col: str = "response",
     """Module form: every response line that splits into exactly four fields
     on " - " becomes a row (date, description, amount, category)."""
     lines = responses.select(*keys, F.posexplode(F.split(resp_col, "\n")).alias("line_no", "line"))
-    (d, desc, amt, cat), n = _split4(F.col("line"))
-    return lines.where(n == 4).select(*keys, "line_no", d.alias("date"), desc.alias("description"),
-                                      amt.alias("amount"), cat.alias("category"))
+    whole, (d, desc, amt, cat) = _fields(lines.where(_field_count(F.col("line")) == 4))
+    return whole.select(*keys, "line_no", d.alias("date"), desc.alias("description"),
+                        amt.alias("amount"), cat.alias("category"))
 
 
 def validate_categories(parsed: DataFrame, column: str = "category", max_words: int = 3) -> DataFrame:
@@ -74,26 +86,22 @@ def validate_categories(parsed: DataFrame, column: str = "category", max_words:
 def response_block(responses: DataFrame, resp_col: str = "response") -> DataFrame:
     """Notebook form: the lines between the first two empty lines (after the
     only one, if there is one); NULL when the response has no empty line."""
-    # lines and blank positions get their own projections so the split and the
-    # higher-order scan run once per response, not once per CASE branch
-    tmp = responses.withColumn("_lines", F.split(resp_col, "\n"))
-    tmp = tmp.withColumn("_blanks", F.filter(
-        F.transform("_lines", lambda l, i: F.when(l == "", i).otherwise(F.lit(-1))), lambda i: i >= 0))
-    lines, blanks = F.col("_lines"), F.col("_blanks")
-    b0, b1 = blanks.getItem(0), blanks.getItem(1)
-    block = (F.when(F.size(blanks) == 0, F.lit(None))
-              .when(F.size(blanks) == 1, F.slice(lines, b0 + 2, F.size(lines) - b0 - 1))
-              .otherwise(F.slice(lines, b0 + 2, b1 - b0 - 1)))
-    return tmp.withColumn("block", block).drop("_lines", "_blanks")
+    def between(lines):
+        at = F.array_position(lines, "")
+        rest = F.slice(lines, (at + 1).cast("int"), F.size(lines))
+
+        def cut(rest):
+            stop = F.array_position(rest, "")
+            return F.when(stop == 0, rest).otherwise(F.slice(rest, 1, (stop - 1).cast("int")))
+        return F.when(at > 0, F.transform(F.array(rest), cut)[0])
+    return _once(responses, "block", F.transform(F.array(F.split(resp_col, "\n")), between)[0])
 
 
 def batch_valid(blocks: DataFrame) -> DataFrame:
     """All-or-nothing check of a block: every non-empty line has a hyphen and
-    every line splits into exactly four fields."""
-    b = F.col("block")
-    ok = (b.isNotNull()
-          & F.forall(b, lambda l: (l == "") | l.contains("-"))
-          & F.forall(b, lambda l: F.size(F.split(l, FIELD_SEP)) == 4))
+    every line splits into exactly four fields (which takes three hyphens, so it is
+    the one thing to look at)."""
+    ok = F.forall("block", lambda l: _field_count(l) == 4)
     return blocks.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
@@ -106,8 +114,8 @@ def first_valid(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS,
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))
     chosen = ok.select(*keys, "attempt", "block").withColumn("_turn", turn).where("_turn = 1")
     rows = chosen.select(*keys, "attempt", F.posexplode("block").alias("line_no", "line"))
-    (d, desc, amt, cat), _ = _split4(F.col("line"))
-    return rows.select(*keys, "attempt", "line_no", d.alias("Date"), desc.alias("Description"),
+    cut, (d, desc, amt, cat) = _fields(rows)
+    return cut.select(*keys, "attempt", "line_no", d.alias("Date"), desc.alias("Description"),
                        amt.alias("Amount"), cat.alias("Category"))
 
 
