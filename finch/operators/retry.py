@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import MAX_ATTEMPTS
+from ..session import scratch_path
 from .prompts import generate
 from .transactions import batch_valid, first_valid, response_block
 
@@ -43,6 +44,13 @@ def ask_model(factory: Callable[[], Callable[[list[str]], list[str]]]):
     return lambda pending, attempt: generate(pending, ["batch_id"], "prompt", factory, attempt).select("batch_id", "response")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, stored in the shared folder and read back."""
+    kept = scratch_path(df.sparkSession, name)
+    df.write.parquet(kept)
+    return df.sparkSession.read.parquet(kept)
+
+
 def categorise_retry(batches: DataFrame, path: str, respond: Callable[[DataFrame, int], DataFrame],
                      max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The rows of every batch's first valid answer (as ``first_valid`` has them),
@@ -53,7 +61,10 @@ def categorise_retry(batches: DataFrame, path: str, respond: Callable[[DataFrame
     ``path``; ``rejects`` lists the batches that never got a valid one.
     """
     spark = batches.sparkSession
-    for attempt in range(_finished(spark, path) + 1, max_attempts + 1):
+    begun = _finished(spark, path)
+    if begun < max_attempts:                # every round looks at the work table several times: it is worked out once
+        batches = written(batches, "retry-batches")
+    for attempt in range(begun + 1, max_attempts + 1):
         accepted = stored_attempts(spark, path).where("valid").select("batch_id")
         pending = batches.join(accepted, "batch_id", "left_anti")
         if pending.isEmpty():

@@ -76,8 +76,12 @@ def batched(spark, d, drop_last=False):
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """(batch_id, attempt, response) for attempts 1..5 of every sent batch."""
+    return answers_to(batched(spark, d))
+
+
+def answers_to(sent: DataFrame) -> DataFrame:
     cats = F.array(*[F.lit(c) for c in RESP_CATEGORIES])
-    rows = batched(spark, d).withColumn(
+    rows = sent.withColumn(
         "rl", F.concat_ws(" - ", "line", F.element_at(cats, (F.pmod("idx", F.lit(len(RESP_CATEGORIES))) + 1).cast("int"))))
     body = rows.groupBy("batch_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("idx", "rl"))), lambda r: r["rl"]), "\n").alias("body"))
@@ -163,9 +167,10 @@ def resp_retry(spark, d):
     """T11 as a loop: each attempt asks only for the batches without a valid answer
     (here a look-up of that attempt's answers stands for the model)."""
     path = scratch_path(spark, "retry")
-    responses(spark, d).write.parquet(f"{path}/model")
+    sent = batched(spark, d)                # numbered once, for the prompts and the answers
+    answers_to(sent).write.parquet(f"{path}/model")
     model = spark.read.parquet(f"{path}/model")
-    prompts = tr.batch_prompts(batched(spark, d))
+    prompts = tr.batch_prompts(sent)
     return rt.categorise_retry(prompts, path, lambda pending, attempt: model.where(F.col("attempt") == attempt).join(
         pending.select("batch_id"), "batch_id", "left_semi").select("batch_id", "response"))
 

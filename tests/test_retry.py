@@ -68,3 +68,16 @@ def test_generator_plugin(spark):
         return lambda texts: [f"Ok:\n\n2024 - {t} - 1 - Rent\n\nbye" for t in texts]
     rows = retry.categorise_retry(prompts(spark, 2), scratch_path(spark, "retry"), retry.ask_model(model)).collect()
     assert sorted(r.Description for r in rows) == ["prompt 0", "prompt 1"]
+
+
+def test_work_table_is_worked_out_once(spark):
+    """Rounds look at the stored batches, not at what they were made from."""
+    seen, calls, path = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), scratch_path(spark, "retry")
+
+    @F.udf("string")
+    def made(k):
+        seen.add(1)
+        return f"prompt {k}"
+    batches = spark.range(12).select(F.col("id").alias("batch_id"), made("id").alias("prompt"))
+    batches = batches.groupBy("batch_id").agg(F.max("prompt").alias("prompt")).where("prompt <> ''")
+    assert retry.categorise_retry(batches, path, stub(calls)).count() == 8 and seen.value == 12
