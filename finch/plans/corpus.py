@@ -9,7 +9,7 @@ from ..operators.boundaries import chunk_sentences_learnt as _learnt_chunks
 from ..operators.chunks import chunk_counts as _chunk_counts, chunk_pages, chunk_sentences, clean_pages, \
     concat_pages, dense_chunk_ids, split_pages
 from ..session import scratch_path
-from ..sinks.files import append_rows, write_docs_as_text
+from ..sinks.files import append_rows, write_docs_as_text, write_many_files
 from ..sources.files import read_page_files, read_text_dir
 from .common import load, sql_chunks, sql_clean_pdf
 from .retrieval import doc_chunks
@@ -85,7 +85,8 @@ def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
     per language, read back recursively with a ``*.txt`` filter."""
     path = scratch_path(spark, "textdir")
     docs = load(spark, d, "documents", ["lang", "doc_id", "text"])
-    docs.select("lang", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
+    lines = docs.select("lang", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value"))
+    write_many_files(lines).option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
     files = read_text_dir(spark, path)
     body = F.expr("substring(text, instr(text, '\n') + 1)")
     return files.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"),

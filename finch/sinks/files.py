@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -16,7 +16,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_docs_as_text(df: DataFrame, path: str, key_cols: list[str], text_col: str = "text") -> None:
     """One text file per key (a folder per key value), for readers that want
     files; tables of many documents belong in ``write_text_by_file``."""
-    df.select(*key_cols, text_col).write.mode("overwrite").partitionBy(*key_cols).text(path)
+    write_many_files(df.select(*key_cols, text_col)).mode("overwrite").partitionBy(*key_cols).text(path)
+
+
+def write_many_files(df: DataFrame) -> DataFrameWriter:
+    """A writer for tables of which each row becomes a file. Making a file costs the same however
+    short it is, so rows are dealt evenly to all tasks, and each task moves its own files into place
+    (else the driver moves them one after the other)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n).write.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
 
 
 def write_text_by_file(df: DataFrame, path: str, file_col: str = "file", text_col: str = "text") -> None:

@@ -84,3 +84,12 @@ def test_last_written_file_of_a_batch_counts(spark, tmp_path):
     rows = [(1, f"2024-01-0{k}", f"p{k}", f"Day {k}. Night {k}.") for k in (2, 3, 1)]
     chunk_upsert(sink, "s", buckets=2)(spark.createDataFrame(rows, "doc long, written string, path string, text string"), 0)
     assert sorted((r.pos, r.text) for r in read_keyed(spark, sink).collect()) == [(0, "Day 3."), (1, "Night 3.")]
+
+
+def test_files_are_made_by_all_tasks(spark):
+    """A table in one partition becomes files by several tasks: a file costs the same however short."""
+    src = scratch_path(spark, "t-many")
+    write_docs_as_text(spark.range(40).selectExpr("id AS doc_id", "concat('Text ', id) AS text").coalesce(1), src, ["doc_id"])
+    files = spark.read.text(src).inputFiles()
+    assert len(files) == 40 and len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 2
+    assert {(r.doc_id, r.value) for r in spark.read.text(src).collect()} == {(k, f"Text {k}") for k in range(40)}
