@@ -99,3 +99,65 @@ def test_deleting_everything(spark, path):
     assert keyed.read_keyed(spark, path).collect() == []
     keyed.apply_changes(chunks(spark, [(3, 0, "c")]), path, ["doc", "pos"])
     assert [r.doc for r in keyed.read_keyed(spark, path).collect()] == [3]
+
+
+def test_an_update_reads_its_rows_once(spark, path):
+    """Changes are found by one join; neither they nor the vanished rows make the chunks anew."""
+    first = [(d, p, f"text {d} {p}") for d in range(10) for p in range(4)]
+    second = [(d, p, t + (" changed" if d == 2 else "")) for d, p, t in first if d != 4] + [(9, 9, "new text")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        @F.pandas_udf("string")
+        def look(s):
+            seen.add(len(s))
+            return s
+        return chunks(spark, rows).withColumn("text", look("text"))
+    keyed.embed_upsert(counted(first), path, ["doc", "pos"], "text", embed, buckets=4)
+    before = seen.value
+    assert keyed.embed_upsert(counted(second), path, ["doc", "pos"], "text", embed)
+    assert (before, seen.value - before) == (len(first), len(second))
+    assert stored(spark, path) == wanted(spark, second)
+
+
+def test_a_first_version_is_not_staged_and_holds_no_digest(spark, path):
+    keyed.embed_upsert(chunks(spark, [(1, 0, "one"), (2, 0, None)]), path, ["doc", "pos"], "text", embed, buckets=2)
+    assert keyed.read_keyed(spark, path).columns == ["doc", "pos", "text", "buckets"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{path}/staged/*")
+    assert not keyed.embed_upsert(chunks(spark, [(1, 0, "one"), (2, 0, "")]), path, ["doc", "pos"], "text", embed)
+
+
+def test_a_large_bucket_is_merged_by_several_tasks(spark, path, monkeypatch):
+    """Repeated and null keys included: a group's rows meet in one slice."""
+    monkeypatch.setattr(keyed, "SLICE_BYTES", 2000)
+    first = [(d, p, f"text {d} {p}" * 3) for d in range(300) for p in range(4)] + [(None, 0, "null"), (7, 0, "again")]
+    keyed.apply_changes(chunks(spark, first), path, ["doc", "pos"], buckets=2)
+    change = chunks(spark, [(d, 1, f"v2 {d}") for d in range(0, 300, 3)] + [(None, 0, "null v2"), (7, 0, "a"), (7, 0, "b")]).withColumn("_deleted", F.lit(False))
+    keyed.apply_changes(change.union(chunks(spark, [(5, 2, "")]).withColumn("_deleted", F.lit(True))), path, ["doc", "pos"])
+    want = [r for r in first if not (r[1] == 1 and r[0] % 3 == 0) and r[:2] not in ((None, 0), (7, 0), (5, 2))]
+    want += [(d, 1, f"v2 {d}") for d in range(0, 300, 3)] + [(None, 0, "null v2"), (7, 0, "a"), (7, 0, "b")]
+    assert sorted(map(str, keyed.read_keyed(spark, path).collect())) == sorted(f"Row(doc={d}, pos={p}, text={t!r})" for d, p, t in want)
+    files = spark.read.parquet(f"{path}/data/version=2").selectExpr("bucket", "_metadata.file_path AS f").distinct()
+    assert files.groupBy("bucket").count().agg(F.min("count")).first()[0] >= 3
+
+
+def test_stored_rows_are_shuffled_once(spark, path):
+    first = chunks(spark, [(d, 0, f"text {d}") for d in range(20)])
+    keyed.apply_changes(first, path, ["doc", "pos"], buckets=2)
+    schema = keyed.read_keyed(spark, path).schema
+    dealt = first.withColumn("_gone", F.lit(False)).withColumn("_bucket", keyed.bucket_of(["doc", "pos"], 2))
+    merged = keyed._merged(spark, path, keyed._folders(path, keyed._current(spark, path)[1]), dealt, lambda df: df, schema.fieldNames(), ["doc", "pos"], 2, 0)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
+    assert "Join" not in plan
+
+
+def test_tables_that_hold_digests_go_on(spark, path):
+    """Tables of earlier versions store the texts' digests."""
+    rows = [(1, 0, "one"), (2, 0, "two")]
+    keyed.apply_changes(embed(chunks(spark, rows).withColumn("text_sha256", F.sha2("text", 256))), path, ["doc", "pos"], buckets=2)
+    assert not keyed.embed_upsert(chunks(spark, rows), path, ["doc", "pos"], "text", embed)
+    assert keyed.embed_upsert(chunks(spark, [(1, 0, "one"), (2, 0, "other")]), path, ["doc", "pos"], "text", embed)
+    assert stored(spark, path) == wanted(spark, [(1, 0, "one"), (2, 0, "other")])
+    assert keyed.read_keyed(spark, path).where("text_sha256 <> sha2(text, 256) OR text_sha256 IS NULL").isEmpty()
