@@ -86,7 +86,7 @@ def scan_text_dir(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "textdir")
     docs = load(spark, d, "documents", ["lang", "doc_id", "text"])
     lines = docs.select("lang", F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value"))
-    write_many_files(lines).option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
+    write_many_files(lines, path, ["lang"], "value")
     files = read_text_dir(spark, path)
     body = F.expr("substring(text, instr(text, '\n') + 1)")
     return files.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"),
@@ -248,14 +248,14 @@ ORACLE = {
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Documents land as text files; the streaming ingest chunks them into
-    a parquet table (available-now trigger); the table is read back."""
+    """Documents land as text files, named by their ids in a folder per language; the streaming
+    ingest chunks them into a parquet table (available-now trigger); the table is read back."""
     from ..streaming.ingest import ingest_text_stream
     src = scratch_path(spark, "stream-src")
-    write_docs_as_text(load(spark, d, "documents", ["lang", "doc_id", "text"]), src, ["lang", "doc_id"])
+    folders = write_docs_as_text(load(spark, d, "documents", ["lang", "doc_id", "text"]), src, ["lang"], name_col="doc_id")
     sink = scratch_path(spark, "stream-sink")
-    ingest_text_stream(spark, f"{src}/*/*", sink, doc_id_pattern="doc_id=(\\d+)",
-                       checkpoint=scratch_path(spark, "stream-ckpt"))
+    ingest_text_stream(spark, folders, sink, doc_id_pattern="doc_id=(\\d+)",
+                       checkpoint=scratch_path(spark, "stream-ckpt"), compression="zstd")
     return spark.read.parquet(sink).select(F.col("doc").alias("doc_id"), "pos", "text")
 
 

@@ -75,6 +75,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/finch-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def for_many_files(spark: SparkSession) -> SparkSession:
+    """A session of its own, set as ``spark``, to read folders of many short files. Spark takes opening a file
+    for as dear as reading 4 MB and lists paths in up to 10,000 tasks; a short file would be a good part of a
+    task. Here a task reads many, and a list of paths is dealt to as many tasks as run at once."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.files.openCostInBytes", str(64 << 10))
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(spark.sparkContext.defaultParallelism))
+    return own
+
+
 def configure_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20,
                         min_partitions: int = 200) -> int:
     """Size shuffles for the data at hand: about one shuffle partition per

@@ -17,6 +17,21 @@ SITEMAP_URL_SCHEMA = T.StructType([
 ])
 
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def whole_files(reader, path: str, glob: str, path_col: F.Column) -> DataFrame:
+    """Whole files as (path, text) rows of a reader (of a table or a stream). Files whose names end in ``.txt``
+    are never compressed, so their bytes are taken as they are: the text reader, which unpacks
+    others, copies all Hadoop settings for each file, and that takes longer than to read a short one."""
+    reader = reader.option("pathGlobFilter", glob)
+    if glob.endswith(".txt"):
+        files, text = reader.format("binaryFile").schema(BINARY_FILE_SCHEMA).load(path), F.col("content").cast("string")
+    else:
+        files, text = reader.text(path, wholetext=True), F.col("value")
+    return files.select(path_col.alias("path"), text.alias("text"))
+
+
 def read_text_dir(spark: SparkSession, path: str, recursive: bool = True, glob: str = "*.txt") -> DataFrame:
     """One row per text file: (path, text). Whole files, so one document is
     one row; files are split across tasks, never concatenated."""

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunks import chunk_sentences
-from ..session import checkpoint_root
+from ..session import checkpoint_root, for_many_files
 from ..sinks.keyed import BUCKETS, apply_changes
+from ..sources.files import whole_files
 
 
 def _checkpoint(spark: SparkSession, source: str, sink: str) -> str:
@@ -25,18 +26,21 @@ def _checkpoint(spark: SparkSession, source: str, sink: str) -> str:
 
 def ingest_text_stream(spark: SparkSession, source: str, sink: str, *, doc_id_pattern: str | None = None,
                        clean: bool = False, checkpoint: str | None = None, glob: str = "*.txt",
-                       max_files_per_trigger: int = 1000, wait: bool = True) -> StreamingQuery:
+                       max_files_per_trigger: int = 1000, wait: bool = True, compression: str | None = None) -> StreamingQuery:
     """Start (and by default finish) the ingest stream.
 
     ``doc_id_pattern``: a regex with one group that turns the file path into a
     numeric document id; without it the path is the document key. The default
     checkpoint folder is named by a digest of source and sink, so that a new
-    process goes on where the last one stopped.
+    process goes on where the last one stopped. The stream runs in a session of its own, in
+    which the log of its files is written anew every 1000 batches (else every 10: quadratic in files).
+    ``compression``: the codec of the chunk table, if not the session's.
     """
-    stream = (spark.readStream.option("pathGlobFilter", glob)
-                   .option("maxFilesPerTrigger", max_files_per_trigger)
-                   .text(source, wholetext=True))
-    docs = stream.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    own = for_many_files(spark)
+    if compression:
+        own.conf.set("spark.sql.parquet.compression.codec", compression)
+    own.conf.set("spark.sql.streaming.fileSource.log.compactInterval", "1000")
+    docs = whole_files(own.readStream.option("maxFilesPerTrigger", max_files_per_trigger), source, glob, F.input_file_name())
     if doc_id_pattern:
         docs = docs.withColumn("doc", F.regexp_extract("path", doc_id_pattern, 1).cast("long"))
     else:

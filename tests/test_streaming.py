@@ -93,3 +93,57 @@ def test_files_are_made_by_all_tasks(spark):
     files = spark.read.text(src).inputFiles()
     assert len(files) == 40 and len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 2
     assert {(r.doc_id, r.value) for r in spark.read.text(src).collect()} == {(k, f"Text {k}") for k in range(40)}
+
+
+def test_documents_of_a_folder_are_files_named_by_their_ids(spark):
+    """No folder and no checksum file for each document; one row is one file, also of a repeated document."""
+    import os
+    src, sink = scratch_path(spark, "t-named"), scratch_path(spark, "t-named-sink")
+    docs = [(1, "en", "One. Two."), (2, "en", "Three."), (2, "en", "Three."), (3, "a/b=%", "Four.\nFive."), (4, None, None)]
+    folders = write_docs_as_text(spark.createDataFrame(docs, "doc_id long, lang string, text string"), src, ["lang"], name_col="doc_id")
+    top = src.removeprefix("file://")
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    assert sorted(os.listdir(top)) == sorted(["_SUCCESS", *(names.getPartitionPathString("lang", x) for x in ("en", "a/b=%", None))])
+    assert sorted(f.split("-")[0] for f in os.listdir(f"{top}/lang=en")) == ["doc_id=1", "doc_id=2", "doc_id=2"]
+    ingest_text_stream(spark, folders, sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=scratch_path(spark, "t-named-ckpt"), max_files_per_trigger=2)
+    assert sorted((r.doc, r.pos, r.text) for r in spark.read.parquet(sink).collect()) == \
+        [(1, 0, "One."), (1, 1, "Two."), (2, 0, "Three."), (2, 0, "Three."), (3, 0, "Four."), (3, 1, "Five.")]
+
+
+def test_documents_in_a_store_that_only_spark_reaches(spark, tmp_path):
+    """The same rows through Spark's writer, one folder more; a second write takes the place of the first."""
+    spark.conf.set("fs.viewfs.mounttable.t-store.link./out", f"file://{tmp_path}")
+    try:
+        for docs in ([(9, "en", "Old.")], [(1, "en", "One. Two."), (2, "de", "Drei.")]):
+            folders = write_docs_as_text(spark.createDataFrame(docs, "doc_id long, lang string, text string"), "viewfs://t-store/out/src", ["lang"], name_col="doc_id")
+        assert folders == "viewfs://t-store/out/src/*/*"
+        sink = str(tmp_path / "sink")
+        ingest_text_stream(spark, f"{tmp_path}/src/*/*", sink, doc_id_pattern="doc_id=(\\d+)", checkpoint=str(tmp_path / "ckpt"))
+        assert sorted((r.doc, r.pos, r.text) for r in spark.read.parquet(sink).collect()) == [(1, 0, "One."), (1, 1, "Two."), (2, 0, "Drei.")]
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.t-store.link./out")
+
+
+def test_a_batch_of_many_files_is_few_tasks(spark, tmp_path):
+    src, tasks = tmp_path / "src", []
+    src.mkdir()
+    for k in range(300):
+        (src / f"{k}.txt").write_text(f"Text {k}.")
+    q = ingest_text_stream(spark, str(src), str(tmp_path / "sink"), checkpoint=str(tmp_path / "ckpt"))
+    tracker = spark.sparkContext.statusTracker()
+    for job in tracker.getJobIdsForGroup(str(q.runId)):
+        tasks += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds]
+    assert tasks and sum(tasks) <= 6 * spark.sparkContext.defaultParallelism       # 300 to list them alone before
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 300
+
+
+def test_rows_that_lie_evenly_are_not_shuffled(spark):
+    src = scratch_path(spark, "t-even")
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 4 * cores, 1, 2 * cores).selectExpr("id AS doc_id", "spark_partition_id() AS part", "'Text' AS text")
+    write_docs_as_text(docs, src, ["part"], name_col="doc_id")
+    files = spark.read.text(f"{src}/*").inputFiles()
+    assert len(files) == 4 * cores
+    for f in files:
+        folder, name = f.rsplit("/", 2)[1:]
+        assert int(folder.split("=")[1]) == int(name.split("-")[2])
