@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..session import for_many_files
+
 TXN_SCHEMA = T.StructType([
     T.StructField("Date", T.StringType()),
     T.StructField("Description", T.StringType()),
@@ -34,11 +36,10 @@ def whole_files(reader, path: str, glob: str, path_col: F.Column) -> DataFrame:
 
 def read_text_dir(spark: SparkSession, path: str, recursive: bool = True, glob: str = "*.txt") -> DataFrame:
     """One row per text file: (path, text). Whole files, so one document is
-    one row; files are split across tasks, never concatenated."""
-    return (spark.read.option("recursiveFileLookup", recursive)
-                 .option("pathGlobFilter", glob)
-                 .text(path, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    one row; files are split across tasks, never concatenated. A task reads many short ones."""
+    files = whole_files(for_many_files(spark).read.option("recursiveFileLookup", recursive), path, glob, F.col("_metadata.file_path"))
+    none = spark.range(0).where(F.lit(False)).select(F.col("id").cast("string").alias("path"), F.col("id").cast("string").alias("text"))
+    return none.union(files)        # a table of the caller's session; the files are dealt by the other's settings
 
 
 def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA,

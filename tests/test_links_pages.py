@@ -163,3 +163,19 @@ def test_a_round_exchanges_only_its_frontier(spark):
 
 def test_crawl_without_pages(spark):
     assert lk.crawl(spark.createDataFrame([], "src string, target string, url string")).collect() == []
+
+
+def test_many_short_files_are_read_by_few_tasks(spark, tmp_path):
+    """A short file is a small part of a task; compressed files are unpacked, others taken byte by byte."""
+    import gzip
+    from finch.sources.files import read_text_dir
+    cores = spark.sparkContext.defaultParallelism
+    texts = {f"{k}.txt": f"\ufeffText {k}\r\n" for k in range(64 * cores)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "x.gz").write_bytes(gzip.compress(b"packed"))
+    files = read_text_dir(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= cores + 1        # four or more files a task before
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in files.collect()} == texts
+    assert [r.text for r in read_text_dir(spark, str(tmp_path), glob="*.gz").collect()] == ["packed"]
+    assert files.sparkSession is spark
